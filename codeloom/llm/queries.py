@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .documented_functions import documented_functions, documented_rows
+from .unparsable_files import failure_rates, unparsable
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +25,16 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return documented_functions(files).dropDuplicates(["repository_id", "file_path", "start_line", "name"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of File rows whose source does not parse."""
+    return unparsable(_files(spark, folder))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of files that don't parse by repository and language."""
+    return failure_rates(_files(spark, folder))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates}
 
 ORACLES: dict[str, str] = {}
