@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .credentials import credential_lines, redacted
 from .documented_functions import documented_functions, documented_rows
 from .unparsable_files import failure_rates, unparsable
 
@@ -35,6 +36,16 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return failure_rates(_files(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """File id and line of every credential."""
+    return credential_lines(_files(spark, folder))
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of the files that hold credentials, with these blanked out, once for each file."""
+    return redacted(_files(spark, folder)).where("n_redacted > 0").dropDuplicates(["id"])
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted}
 
 ORACLES: dict[str, str] = {}
