@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .credentials import credential_lines, redacted
 from .documented_functions import documented_functions, documented_rows
+from .machine_files import machine_files
 from .unparsable_files import failure_rates, unparsable
 
 
@@ -46,6 +47,16 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted(_files(spark, folder)).where("n_redacted > 0").dropDuplicates(["id"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of source files not written by hand for their repository."""
+    return machine_files(_files(spark, folder)).select("id")
+
+
+def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files with repository_id, path and kind."""
+    return machine_files(_files(spark, folder))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds}
 
 ORACLES: dict[str, str] = {}
