@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .credentials import credential_lines, redacted
 from .documented_functions import documented_functions, documented_rows
+from .leaked_passages import leak_report, leaked_passages
+from .lookalikes import consistent_forms, same_look
 from .machine_files import machine_files
+from .source_mixing import mix, mix_shares
 from .unparsable_files import failure_rates, unparsable
 
 
@@ -57,6 +60,38 @@ def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return machine_files(_files(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item, with the item."""
+    return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of documents each evaluation item leaked into."""
+    return leak_report(p7_found(spark, folder), table(spark, folder, "eval_items"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of each document in the mix."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached by the mix."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    return mix_shares(targets, mix(documents, targets))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that look the same and differ."""
+    return same_look(table(spark, folder, "documents"))
+
+
+def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every document."""
+    return consistent_forms(table(spark, folder, "documents")).select("doc_id", "form")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
+    "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
 ORACLES: dict[str, str] = {}

@@ -100,7 +100,7 @@ def check(text: str) -> tuple[int, str] | None:
     g = grammar()
     if g.full():
         g.reset()
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     empty, state, step = g.empty, g.start, g.step
     match, n = _TOKEN.match, len(text)
     depth, indents, at, fresh = 0, [0], 0, True

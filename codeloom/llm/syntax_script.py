@@ -147,8 +147,8 @@ BINARY = frozenset("+ - * / % ** < > <= >= == != === !== && || ?? & | ^ << >> >>
 ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 
 _TOKEN = re.compile(
-    r"""(?P<space>(?:[ \t\r\n\v\f ﻿   ]|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:
-    (?P<word>[^\W\d][\w$‌‍]*+|\$[\w$]*+|\\u[0-9a-fA-F]{4}[\w$]*+)
+    r"""(?P<space>(?:[ \t\r\n\v\f\u00a0\ufeff\u2028\u2029\u2003]|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:
+    (?P<word>[^\W\d][\w$\u200c\u200d]*+|\$[\w$]*+|\\u[0-9a-fA-F]{4}[\w$]*+)
    |(?P<op>[(){}\[\],;:~@]|\.\.\.|\.(?!\d)|=>|===|!==|==|!=|=|>>>=|>>=|<<=|\*\*=|&&=|\|\|=|\?\?=|[-+*%&|^]=|<=|>=|>>>|>>|<<|\*\*|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|[-+*%&|^<>!?])
    |(?P<string>"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*+"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*+')
    |(?P<number>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*+|0[bB][01](?:_?[01])*+|0[oO][0-7](?:_?[0-7])*+|(?:(?:[0-9](?:_?[0-9])*+)?\.[0-9](?:_?[0-9])*+|[0-9](?:_?[0-9])*+\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*+)?)n?)
@@ -266,7 +266,7 @@ def check(text: str, types: bool, elements: bool) -> tuple[int, str] | None:
             m = re.compile(r"(?:\s|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+").match(text, at)
             return m.end(), "truncated" if text[m.end() : m.end() + 1] == "`" or text.startswith("/*", m.end()) else "syntax"
         kind, space = m.lastgroup, m["space"]
-        line = bool(space) and ("\n" in space or "\r" in space or " " in space)
+        line = bool(space) and ("\n" in space or "\r" in space or "\u2028" in space)
         start, stop = m.end("space"), m.end()
         if kind == "word":
             token = m["word"]
