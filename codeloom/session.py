@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "codeloom", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings tests and the bench use; on a cluster, use the cluster's own session."""
+    root = str(Path(__file__).resolve().parents[1])  # Python workers inherit the variable
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
