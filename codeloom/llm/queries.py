@@ -12,6 +12,7 @@ from .lookalikes import consistent_forms, same_look
 from .machine_files import machine_files
 from .source_mixing import mix, mix_shares
 from .unparsable_files import failure_rates, unparsable
+from .vector_neighbours import neighbour_pairs, neighbours
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +20,16 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "code_nodes").where("type = 'File'")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of nodes of which one is among the five most similar of the other."""
+    return neighbour_pairs(table(spark, folder, "code_nodes"))
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar nodes of each node, with ranks and similarities."""
+    return neighbours(table(spark, folder, "code_nodes"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of Function and Method rows with non-trivial documentation."""
     return documented_rows(table(spark, folder, "code_nodes"))
@@ -91,7 +102,10 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_forms(table(spark, folder, "documents")).select("doc_id", "form")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
+QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
+    "p2_found": p2_found, "p2_pairs": p2_pairs,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
     "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
 ORACLES: dict[str, str] = {}
