@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialize, spread
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
 
@@ -173,19 +173,18 @@ def same_look(documents: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("t1"),
         F.xxhash64(F.lit(7), "text").alias("t2"),
     )
-    return differing_pairs(keyed)
+    return differing_pairs(materialize(keyed.distinct(), "text-forms"))
 
 
 def differing_pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs of doc_ids with equal (f1, f2) and unequal (t1, t2); rows as :func:`same_look` makes them.
+    """Pairs of doc_ids with equal (f1, f2) and unequal (t1, t2); distinct rows as :func:`same_look` makes them.
 
     Only groups with several spellings are joined. A side of a pair is spread by its doc_id, the other side is repeated for each
     of the parts, so that a large group is worked off by many tasks.
     """
     parts = 8
-    rows = keyed.distinct()
-    several = rows.groupBy("f1", "f2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("t2").alias("c"), F.max("t2").alias("d")).where("a <> b or c <> d").select("f1", "f2")
-    live = rows.join(several, ["f1", "f2"])
+    several = keyed.groupBy("f1", "f2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("t2").alias("c"), F.max("t2").alias("d")).where("a <> b or c <> d").select("f1", "f2")
+    live = keyed.join(several, ["f1", "f2"])
     left = live.select("f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), F.col("doc_id").alias("doc_id_a"), F.col("t1").alias("ta"), F.col("t2").alias("ua"))
     right = live.select("f1", "f2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("doc_id").alias("doc_id_b"), F.col("t1").alias("tb"), F.col("t2").alias("ub"))
     return (
