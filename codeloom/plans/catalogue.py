@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import snapshots
+from . import graphs, snapshots
 
-MODULES = (snapshots,)
+MODULES = (snapshots, graphs)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
