@@ -10,6 +10,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.utils import AnalysisException
 
 FORMAT = "zlib-json-v1"
@@ -33,13 +34,13 @@ def decode_snapshot(payload: str) -> dict:
     return data
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pack_text(text: pd.Series) -> pd.Series:
     """base64 of compressed UTF-8; null stays null."""
     return text.map(lambda t: None if t is None else base64.b64encode(zlib.compress(t.encode(), 6)).decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unpack_text(text: pd.Series) -> pd.Series:
     """Inverse of :func:`pack_text`; what is no such text becomes null."""
 
