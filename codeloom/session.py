@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -42,18 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors. The files go when the driver
+    ends; an application that is killed leaves them in the folder ``codeloom-<application id>``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/codeloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_clean_up, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table written by :func:`materialize` (call it when nothing reads the table any more)."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+_folders: set[str] = set()
+
+
+def _clean_up(spark: SparkSession, folder: str) -> None:
+    """Delete what an application has materialized, when its driver ends."""
+    with contextlib.suppress(Exception):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
