@@ -99,7 +99,7 @@ class GraphStore:
         ends = nodes.select("id")
         nodes.write.parquet(f"{self.root}/versions/{version}/nodes")
         linked = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
-        linked.select(*edges.columns).write.partitionBy("type").parquet(f"{self.root}/versions/{version}/edges")
+        linked.select(*edges.columns).write.parquet(f"{self.root}/versions/{version}/edges")
         row = self.spark.createDataFrame([(repository_id, commit_sha, version)], "repository_id string, commit_sha string, version string").withColumn("created_at", F.current_timestamp())
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
         return version
