@@ -107,12 +107,16 @@ _CODE = regex.compile(
      |(?:return|break|continue|pass)(?:\s+[\w$.\-"'()\[\]]+)?\s*;?\s*$
      |(?:if|elif|while|for|with|except|def|class|else|try|finally|async\s+def|match|case)\b[^.!?]*:\s*$
      |(?:if|while|for|switch|catch)\s*\(.*\).*
-     |(?:import|from)\s+[\w.$*{},\s"']+(?:\s+(?:import|as|from)\s+.*)?$
+     |from\s+[\w.]+\s+import\s+.*$
+     |import\s+[\w.$]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.$]+)*\s*$
+     |import\s+.*\bfrom\s*['"].*$
      |@\w+\(.*\)\s*$
      |[)\]}]+[;,]?\s*$
     )""",
     regex.VERBOSE,
 )
+# fixed values: notices of licences, which document no function
+_NOTICE = regex.compile(r"\(c\)|©|\bcopyright\b|all rights reserved|spdx-license", regex.IGNORECASE)
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’‑-]\p{L}[\p{L}\p{M}]*)*")
 _CAMEL = regex.compile(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?\p{Ll}+|\p{Lu}+|\p{L}+")
 _SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n\s*\n|\n(?=\s*(?:todo|fixme|xxx|tbd)\b)", regex.IGNORECASE)
@@ -141,7 +145,8 @@ def plain_docstring(docstring: str) -> str:
 
 
 def prose_words(text: str, name: str) -> int:
-    """Words of prose in ``text`` (marks removed): no tags and names of tags, no placeholders, no words of ``name``."""
+    """Words of prose in ``text`` (marks removed): no tags and names of tags, no placeholders, no notices of
+    licences, no words of ``name``."""
     kept = []
     for sentence in _SENTENCE.split(text):
         if not _PLACEHOLDER.match(sentence):
@@ -153,7 +158,7 @@ def prose_words(text: str, name: str) -> int:
         own |= _stems(name)
     n = 0
     for line in "\n".join(kept).splitlines():
-        if _SECTION.match(line) or _PLACEHOLDER.match(line):
+        if _SECTION.match(line) or _PLACEHOLDER.match(line) or _NOTICE.search(line):
             continue
         line = _FIELD.sub("", _TAG.sub("", line)) if _TAG.match(line) or _FIELD.match(line) else line
         for word in _WORD.findall(line):

@@ -112,6 +112,12 @@ def test_script(text):
     assert found["one"][4].rstrip().endswith("}") and "nested" in found["one"][4]
 
 
+def test_notices_and_wrapped_prose():
+    assert names("/*! metric.js v0.17 | (c) Somebody and Others */\nfunction d(a) { return a }", "js") == set()
+    text = "// Calculate how far the rate has\n// from the value that was agreed.\nfunction f(a) { return a }"
+    assert names(text, "js") == {"f"} and "agreed" in next(documented(text, "js"))[3]
+
+
 def test_broken_text_keeps_what_can_be_read():
     text = "# Keeps only the rows that the caller may see.\ndef f(a):\n    x = (1\n<<<<<<< ours\n# Rounds half up as the ledger does.\ndef g(): pass\n    '''open"
     assert names(text, "python") == {"f", "g"}
