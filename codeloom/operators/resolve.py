@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import stable_id
 
+_FINGERPRINT = pa.schema([("repository_id", pa.string()), ("fingerprint", pa.string())])
 # fixed values: suffixes a module may have, the first that exists wins
 PYTHON_SUFFIXES = (".py", "/__init__.py")
 SCRIPT_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
@@ -95,10 +100,29 @@ def lexical_targets(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return keyed.join(symbols, ["repository_id", "file_path", "dotted"]).groupBy("ref_id").agg(F.min_by("id", "rank").alias("id"))
 
 
+def _hash_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash of the parts of each repository, joined by colons; rows come sorted by repository and part."""
+    current, digest = None, None
+    for batch in batches:
+        done: dict[str, list[str]] = {"repository_id": [], "fingerprint": []}
+        for repo, part in zip(batch.column("repository_id").to_pylist(), batch.column("part").to_pylist()):
+            if repo != current:
+                if digest is not None:
+                    done["repository_id"].append(current)
+                    done["fingerprint"].append(digest.hexdigest()[:24])
+                current, digest = repo, hashlib.sha256(part.encode())
+            else:
+                digest.update(b":" + part.encode())
+        yield pa.RecordBatch.from_pydict(done, schema=_FINGERPRINT)
+    if digest is not None:
+        yield pa.RecordBatch.from_pydict({"repository_id": [current], "fingerprint": [digest.hexdigest()[:24]]}, schema=_FINGERPRINT)
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """(repository_id, fingerprint) over the sorted "path:hash" of a repository's files (repository_id, file_path, hash).
 
-    Hashes of a repository are first reduced in chunks of the sorted order only where it has few files; the key is defined over
-    the whole sorted list, which is gathered per repository as text of about a hundred bytes a file."""
+    The key is one hash over the whole sorted list, so a repository's parts are read in order by one task: as a sorted stream in
+    constant memory. Repeated parts count once; rows with a null repository or path are left out; a null hash is "".
+    """
     rows = files.dropna(subset=["repository_id", "file_path"]).select("repository_id", F.concat_ws(":", "file_path", F.coalesce("hash", F.lit(""))).alias("part")).distinct()
-    return rows.groupBy("repository_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ":"), 256), 1, 24).alias("fingerprint"))
+    return rows.repartition("repository_id").sortWithinPartitions("repository_id", "part").mapInArrow(_hash_stream, "repository_id string, fingerprint string")

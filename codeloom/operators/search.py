@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_RESULTS, LEAST_CANDIDATES = 50, 30
+#: Queries of no repository that are sent to all nodes at once, about.
+QUERY_BLOCK = 1000
 MODES = ("symbol", "text", "semantic", "hybrid")
 # fixed values: words that say nothing in a query, and types that are no results
 STOP_WORDS = ("what", "where", "does", "the", "this", "that", "how", "which", "are", "is", "if", "it", "to", "from", "a", "an", "of", "in", "handled")
@@ -64,7 +66,7 @@ def search(queries: DataFrame, nodes: DataFrame, mode: str = "hybrid", k: int =
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     k = min(MOST_RESULTS, max(1, k))
     asked = queries.select("query_id", F.col("repository_id").alias("of"), normal(F.col("query")).alias("q"), tokens(F.col("query")).alias("words")).where("query_id is not null and q is not null")
-    pairs = asked.join(searchable(nodes), F.col("of").isNull() | (F.col("of") == F.col("repository_id")))
+    pairs = _asked_of(asked, searchable(nodes))
     if similarities is not None:
         pairs = pairs.join(similarities.select("query_id", "id", "similarity"), ["query_id", "id"], "left")
     else:
@@ -78,6 +80,18 @@ def search(queries: DataFrame, nodes: DataFrame, mode: str = "hybrid", k: int =
     return ranked.select("query_id", "place", "id", "score", F.round("similarity", 4).alias("semantic_score"), "mechanism")
 
 
+def _asked_of(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Each query with the nodes of its repository, by an equi-join; queries of no repository meet all nodes, in blocks of QUERY_BLOCK."""
+    out = asked.where("of is not null").withColumnRenamed("of", "repository_id").join(found, "repository_id")
+    anywhere = asked.where("of is null").drop("of")
+    n = anywhere.count()
+    blocks = -(-n // QUERY_BLOCK)
+    for k in range(blocks):
+        part = anywhere.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        out = out.unionByName(found.join(F.broadcast(part)))
+    return out
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers in double precision; null where one is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)

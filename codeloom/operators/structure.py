@@ -101,8 +101,7 @@ def cyclic_nodes(links: DataFrame) -> DataFrame:
         part = materialize(back.select("id", F.col("seed").alias("component")), "components")
         found = found.unionByName(part)
         rest = trimmed(rest.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    sized = found.withColumn("size", F.count("*").over(Window.partitionBy("component")))
-    large = sized.where("size > 1")
+    large = found.join(found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("id", "component", "size")
     alone = self_links.join(large, "id", "left_anti").select("id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))
     return materialize(large.unionByName(alone), "cyclic")
 

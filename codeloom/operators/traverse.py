@@ -61,12 +61,18 @@ def seeds_of(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("seed"), "id")
 
 
+def _first(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
+    """The first ``limit`` rows of each seed with their place and the seed's total; totals are combined on the map side, and the window
+    is cut to the limit before the shuffle, so a seed with very many rows burdens no task."""
+    totals = rows.groupBy("seed").agg(F.count("*").alias("total"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).where(F.col("place") <= limit)
+    return placed.join(totals, "seed")
+
+
 def first_seen(listed: DataFrame, known: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(seed, id, place, total) of lists (seed, id, at): known ids only, each at its first place, the first ``limit`` of a seed."""
     unique = listed.groupBy("seed", "id").agg(F.min("at").alias("at")).join(known.select("id"), "id", "left_semi")
-    by = Window.partitionBy("seed")
-    placed = unique.select("seed", "id", F.row_number().over(by.orderBy("at", "id")).alias("place"), F.count("*").over(by).alias("total"))
-    return placed.where(F.col("place") <= limit)
+    return _first(unique, limit, "at", "id").select("seed", "id", "place", "total")
 
 
 def induced_edges(selected: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,9 +98,7 @@ def neighbourhood(graph: PropertyGraph, starts: DataFrame, depth: int = 1, types
         return reached.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") < limit).select("seed")
 
     reached = reach(seeds, links, min(NEAR_HOPS, max(0, depth)), open_seeds).join(known, "id", "left_semi")
-    by = Window.partitionBy("seed")
-    placed = reached.withColumn("place", F.row_number().over(by.orderBy((F.col("id") != F.col("seed")).cast("int"), "id"))).withColumn("total", F.count("*").over(by))
-    return placed.where(F.col("place") <= limit).select("seed", "id", "hops", "place", "total")
+    return _first(reached, limit, (F.col("id") != F.col("seed")).cast("int"), "id").select("seed", "id", "hops", "place", "total")
 
 
 def walk_back(reached: DataFrame, ends: DataFrame) -> DataFrame:

@@ -77,10 +77,9 @@ def risk(nodes: DataFrame, edges: DataFrame | None, by: tuple[str, ...] = ()) ->
 def evidence(changes: DataFrame, by: tuple[str, ...] = (), limit: int = MOST_EVIDENCE) -> DataFrame:
     """The first ``limit`` changes (of each of ``by``): added, then removed, then modified, each by id; ``truncated`` tells if there are more."""
     order = F.when(F.col("change") == "added", 0).when(F.col("change") == "removed", 1).otherwise(2)
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     if not by:
-        # a global order without one huge partition: only the first rows are ranked
         n = changes.count()
         return changes.withColumn("rank_", order).orderBy("rank_", "id").limit(limit).drop("rank_").withColumn("truncated", F.lit(n > limit))
-    placed = changes.withColumn("place", F.row_number().over(window.orderBy(order, "id"))).withColumn("truncated", F.count("*").over(window) > limit)
-    return placed.where(F.col("place") <= limit).drop("place")
+    counts = changes.groupBy(*by).agg((F.count("*") > limit).alias("truncated"))
+    placed = changes.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order, "id"))).where(F.col("place") <= limit)
+    return placed.drop("place").join(counts, list(by))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..graph import PropertyGraph
 from ..operators import changes as ch
 from ..operators import resolve as rs
@@ -267,7 +268,18 @@ def top_03_long_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("place", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("end_line"), "id"))).where("place <= 3").select("repository_id", "id", "place")
 
 
-QUERIES = {f.__name__: f for f in (dif_01_nodes, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_12_windows, set_05_touched_files, top_03_long_files)}
+def qa_01_intent(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document would be about, if it were a question."""
+    return table(spark, folder, "documents").select("doc_id", tx.intent(F.col("text")).alias("intent"))
+
+
+def flt_08_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """Owner and name of the repositories' addresses."""
+    parts = tx.repository_parts(F.col("source"))
+    return table(spark, folder, "repositories").select("id", parts["owner"].alias("owner"), parts["name"].alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_12_windows, set_05_touched_files, top_03_long_files)}
 QUERIES |= {"sch_02_symbol": _search("symbol"), "sch_03_text": _search("text"), "sch_04_semantic": _search("semantic"), "sch_04_hybrid": _search("hybrid")}
 
 _ORD = "o AS (SELECT repository_id, commit_sha, row_number() OVER (PARTITION BY repository_id ORDER BY min(created_at), commit_sha) AS k FROM graph_snapshots WHERE repository_id IS NOT NULL AND commit_sha IS NOT NULL AND created_at IS NOT NULL GROUP BY repository_id, commit_sha)"
@@ -310,7 +322,11 @@ def _found(score: str, similar: bool) -> str:
 _DAMP = "CASE WHEN type = 'File' THEN 0.65 ELSE 1.0 END::DOUBLE"
 _EVENTS_KEYED = "k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)"
 
+_INTENT = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{label}'" for label, words in tx.INTENTS)
+
 ORACLES = {
+    "qa_01_intent": f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL {_INTENT} ELSE 'explanation' END AS intent FROM documents",
+    "flt_08_addresses": "SELECT id, nullif(lower(regexp_extract(source, p, 1)), '') AS owner, nullif(lower(regexp_extract(source, p, 2)), '') AS name FROM (SELECT *, '^https://[a-z0-9.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$' AS p FROM repositories)",
     "dif_01_nodes": f"{_SNAP}{_BOTH} SELECT head_sha, id, change, changed_fields FROM x",
     "dif_02_edges": "WITH f AS (SELECT * FROM code_edges QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1), l AS (SELECT * FROM code_edges QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), "
     "c AS (SELECT id, 'modified' AS change, concat_ws(',', " + ", ".join(f"CASE WHEN f.{c} IS DISTINCT FROM l.{c} THEN '{c}' END" for c in ve.EDGE_FIELDS) + ") AS changed_fields FROM f JOIN l USING (id)) SELECT * FROM c WHERE changed_fields <> ''",
