@@ -61,7 +61,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     path = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len('/' + base.split('://')[-1].lstrip('/')) + 2})")
     seen = raw.select(path.alias("path"), F.col("length").alias("size"), "content")
     checked_limits(seen)
-    rows = seen.where(F.col("size") <= MOST_FILE_BYTES).withColumn("text", F.decode("content", "UTF-8"))
+    rows = seen.where(F.col("size") <= MOST_FILE_BYTES).withColumn("text", F.col("content").cast("string"))
     kept = rows.where(skip_reason(F.col("path"), F.col("text"), F.col("size")).isNull()).select("path", language_of(F.col("path")).alias("language"), "size", "text")
     if kept.select("path").isEmpty():
         raise ValueError("no Python, JavaScript or TypeScript source files were found")

@@ -115,7 +115,9 @@ def test_scan_tree(spark, tmp_path, monkeypatch):
     for name, text in files.items():
         (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "t" / name).write_text(text)
-    found = {r.path: (r.language, r.text) for r in scan_tree(spark, str(tmp_path / "t")).collect()}
+    (tmp_path / "t" / "k.py").write_bytes(b"# \xff\nx = 1\n")  # no UTF-8
+    found = {r.path: (r.language, r.text) for r in scan_tree(spark, str(tmp_path / "t")).where("path <> 'k.py'").collect()}
+    assert scan_tree(spark, str(tmp_path / "t")).count() == 4
     assert found == {"a.py": ("Python", "x = 1"), "b/c.ts": ("TypeScript", "let x"), "j.py": ("Python", files["j.py"])}
     reasons = spark.createDataFrame([(k, v) for k, v in files.items()], "p string, t string")
     assert {r.p: r.r for r in reasons.select("p", skip_reason(F.col("p"), F.col("t")).alias("r")).collect()} == {"a.py": None, "b/c.ts": None, "b/dist/d.js": "folder", "e.min.js": "ending", "f.txt": "extension", "g.py": "binary", "h.js": "long line", "i.py": "generated", "j.py": None}
