@@ -22,7 +22,7 @@ from .lookalikes import canonical
 #: Words of a passage.
 PASSAGE = 13
 #: Characters of evaluation text that one search holds; larger sets are searched in blocks of this size.
-BLOCK_CHARACTERS = 16_000_000
+BLOCK_CHARACTERS = 2_000_000
 
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*+")
 

@@ -102,10 +102,7 @@ def is_minified(text: str, stream: list[str], python: bool) -> bool:
     dense = sum(map(len, code)) - strings
     if python or dense < 200:
         return False
-    bare = text
-    for t in stream:
-        if is_comment(t, python):
-            bare = bare.replace(t, "", 1)
+    bare = _JS.sub(lambda m: "" if is_comment(m[0], python) else m[0], text)
     lines = [x for x in bare.splitlines() if x.strip()]
     blanks = len(re.findall(r"\s", bare)) - sum(len(re.findall(r"\s", t)) for t in code if t[0] in "\"'`")
     names = [t for t in code if (t[0].isalpha() or t[0] in "_$") and t not in _KEYWORDS]

@@ -266,14 +266,12 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFram
     cells = int(min(MOST_CELLS, max(1, round(math.sqrt(n) / CELL_FACTOR))))
     size = min(SAMPLE, SAMPLE_PER_CELL * cells)
     share = min(1.0, size / max(1, n))
-    drawn = entries.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(2 * size).toPandas()
-    if not len(drawn):
-        drawn = entries.select("embedding").limit(1).toPandas()
-    result_schema = _RESULT
-    if not len(drawn):
-        empty = spark.createDataFrame([], "id string, rank int, near_id string, similarity double")
-        return empty
-    sample = unit(np.array(drawn["embedding"].tolist(), np.float32))
+    drawn = entries.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(2 * size).toArrow()
+    if not drawn.num_rows:
+        drawn = entries.select("embedding").limit(1).toArrow()
+    if not drawn.num_rows:
+        return spark.createDataFrame([], "id string, rank int, near_id string, similarity double")
+    sample = unit(drawn.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(drawn.num_rows, -1))
     centroids = fit_centroids(sample, cells)
     turn = rotation(dimensions)
     # blocks of each cell, from the sample's counts
@@ -284,9 +282,9 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFram
     asked_blocks = np.maximum(1, np.ceil(asked / QUERY_BLOCK)).astype(np.int64)
     held_blocks = np.maximum(1, np.ceil(held / MEMBER_BLOCK)).astype(np.int64)
     placed = entries.mapInArrow(_cell_assigner(centroids, asked_blocks, held_blocks), "cell int, part int, asked boolean, held boolean, vid string, ids array<string>, embedding array<float>")
-    found = placed.groupBy("cell", "part").applyInArrow(_cell_searcher(centroids, turn, k), result_schema)
+    found = placed.groupBy("cell", "part").applyInArrow(_cell_searcher(centroids, turn, k), _RESULT)
     if (held_blocks > 1).any():
-        found = found.groupBy("vid").applyInArrow(_merge(k), result_schema)
+        found = found.groupBy("vid").applyInArrow(_merge(k), _RESULT)
     found = materialize(found.select("ids", F.arrays_zip("near", "sims").alias("near")), "vector-neighbours")
     direct = found.select(F.explode("ids").alias("id"), "near")
     # ids of large groups of copies that don't stand for their vector take its list; spread, as one group may be very large
