@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterable
 
 #: Interned expressions of one grammar beyond which its memo is dropped and built anew.
-MOST_NODES = 120_000
+MOST_NODES = 80_000
 
 
 class Node:
