@@ -19,7 +19,8 @@ from ..sources import trees
 from ..sources.snapshots import newest, visible_to
 from ..sources.tables import table
 from ..streaming import deliveries as de
-from .sql import DEPENDENCY_LIST, graph_sql
+from .graphs import IMPACT_ROWS, IMPACT_TABLES
+from .sql import DEPENDENCY_LIST, GRAPH, graph_sql
 
 SNAPSHOT_FIELDS = ("type", "file_path", "start_line", "end_line", "hash")
 
@@ -379,3 +380,28 @@ ORACLES = {
     "sch_04_semantic": _found(f"CASE WHEN sim > 0 THEN (0.85::DOUBLE * sim + 0.15::DOUBLE * lexical) * {_DAMP} ELSE 0.0 END", True),
     "sch_04_hybrid": _found(f"(0.5::DOUBLE * sim + 0.25::DOUBLE * lexical + exact) * {_DAMP}", True),
 }
+# impacts of the changed symbols: the start nodes of the common tables are replaced by them
+_CHANGED = GRAPH.replace("s AS (SELECT DISTINCT id FROM code_nodes WHERE seq % 100 = 0 AND id IS NOT NULL)", "chg AS (" + ORACLES["pri_02_changed_symbols"] + "), s AS (SELECT DISTINCT id FROM chg)")
+ORACLES["pri_03_rollup"] = (
+    f"WITH RECURSIVE {_CHANGED}, {IMPACT_TABLES}, scored AS ({IMPACT_ROWS}) SELECT repository_id, count(DISTINCT path) AS files_changed, count(DISTINCT chg.id) AS symbols_changed, coalesce(max(score), 0) AS score, "
+    "CASE WHEN coalesce(max(score), 0) >= 65 THEN 'HIGH' WHEN coalesce(max(score), 0) >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM chg LEFT JOIN scored ON scored.seed = chg.id GROUP BY repository_id"
+)
+_NORMAL = "array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(%s, '/'), lambda y: [y])), lambda acc, y: CASE WHEN y[1] IN ('', '.') THEN acc WHEN y[1] = '..' AND len(acc) > 0 AND acc[-1] <> '..' THEN acc[:-2] ELSE list_concat(acc, y) END), '/')"
+ORACLES["res_05_links"] = graph_sql(
+    """SELECT i.repository_id, i.file_path, i.module, h.target_path, CASE WHEN h.target_path IS NOT NULL THEN 'file' WHEN starts_with(i.module, '.') THEN 'unresolved' ELSE 'package' END AS kind,
+ CASE WHEN h.target_path IS NULL AND NOT starts_with(i.module, '.') THEN CASE WHEN ends_with(i.file_path, '.py') THEN string_split(i.module, '.')[1] WHEN starts_with(i.module, '@') THEN array_to_string(string_split(i.module, '/')[1:2], '/') ELSE string_split(i.module, '/')[1] END END AS package
+ FROM i LEFT JOIN h USING (repository_id, file_path, module)""",
+    f"""i AS (SELECT DISTINCT repository_id, file_path, module FROM (SELECT repository_id, file_path, unnest(imports) AS module FROM parsed_files) WHERE repository_id IS NOT NULL AND file_path IS NOT NULL AND module IS NOT NULL),
+ a AS (SELECT *, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder, length(regexp_extract(module, '^(\\.*)', 1)) AS dots, replace(regexp_replace(module, '^\\.+', ''), '.', '/') AS tail FROM i),
+ b AS (SELECT *, array_to_string(string_split(folder, '/')[1:greatest(len(string_split(folder, '/')) - (dots - 1), 0)], '/') AS base, {_NORMAL % "folder || '/' || module"} AS there FROM a),
+ c AS (SELECT *, CASE WHEN dots = 0 OR base = '' THEN tail WHEN tail = '' THEN base ELSE base || '/' || tail END AS v, regexp_replace(there, '\\.(js|jsx|mjs)$', '') AS stem FROM b),
+ t AS (SELECT *, CASE WHEN ends_with(file_path, '.py') THEN [v || '.py', v || '/__init__.py', 'src/' || v || '.py', 'src/' || v || '/__init__.py'] WHEN starts_with(module, '.') THEN [there, stem || '.ts', stem || '.tsx', stem || '.js', stem || '.jsx', stem || '/index.ts', stem || '/index.tsx', stem || '/index.js'] ELSE [] END AS tries FROM c),
+ u AS (SELECT repository_id, file_path, module, unnest(tries) AS target_path, generate_subscripts(tries, 1) AS place FROM t),
+ h AS (SELECT u.repository_id, u.file_path, u.module, arg_min(u.target_path, u.place) AS target_path FROM u JOIN (SELECT DISTINCT repository_id, file_path FROM n WHERE type = 'File') k ON k.repository_id = u.repository_id AND k.file_path = u.target_path GROUP BY u.repository_id, u.file_path, u.module)""",
+)
+ORACLES["vec_02_texts"] = graph_sql(
+    """SELECT id, length(t) AS n, md5(t) AS digest FROM (SELECT n.id, CASE WHEN n.type = 'File' THEN coalesce(n.file_path, '') || chr(10) || left(coalesce(g.signatures, ''), 3000)
+ ELSE left(concat_ws(chr(10), coalesce(n.qualified_name, ''), coalesce(n.signature, ''), coalesce(n.docstring, ''), coalesce(n.file_path, ''), left(coalesce(n.source, ''), 3500)), 6000) END AS t
+ FROM n LEFT JOIN g ON g.repository_id = n.repository_id AND g.file_path = n.file_path WHERE n.type IN ('File', 'Function', 'Method', 'Class', 'Interface', 'Endpoint'))""",
+    "g AS (SELECT repository_id, file_path, string_agg(coalesce(signature, ''), chr(10) ORDER BY seq, id) AS signatures FROM n WHERE type IN ('Function', 'Class', 'Interface') GROUP BY repository_id, file_path)",
+)

@@ -186,6 +186,22 @@ _COMPONENTS = _GROUPS + """, c AS (SELECT repository_id, component, substr(sha25
 _DEGREE = "k AS (SELECT n.id, n.repository_id, (SELECT count(*) FROM d WHERE d.src = n.id) + (SELECT count(*) FROM d WHERE d.dst = n.id) AS degree FROM n)"
 _MEMBERS = "m(seed, id, lvl) AS (SELECT s.id, s.id, 0 FROM s JOIN n ON n.id = s.id UNION SELECT m.seed, x.target, m.lvl + 1 FROM m JOIN n q ON q.id = m.seed JOIN code_edges x ON x.source = m.id AND x.type IN ('DEFINES', 'CONTAINS') WHERE m.lvl < 3 AND q.type IN ('File', 'Class', 'Interface')), sel AS (SELECT DISTINCT seed, id FROM m)"
 
+#: Tables that end in f (features of the impact of each start in s), and the scored rows.
+IMPACT_TABLES = (
+    _MEMBERS
+        + """, w(seed, id, hop) AS (SELECT seed, id, 0 FROM sel UNION SELECT w.seed, d.src, w.hop + 1 FROM w JOIN d ON d.dst = w.id WHERE w.hop < 8),
+        r AS (SELECT seed, id, min(hop) AS hops FROM w GROUP BY seed, id), dep AS (SELECT r.* FROM r ANTI JOIN sel USING (seed, id)),
+        a AS (SELECT dep.seed, count(*) FILTER (hops = 1) AS n_direct, count(*) FILTER (hops > 1) AS n_transitive, count(*) AS blast_radius, count(*) FILTER (type = 'Endpoint') AS n_endpoints,
+              count(DISTINCT nullif(file_path, '')) AS n_files, count(DISTINCT nullif(module, '')) AS n_modules FROM dep JOIN n ON n.id = dep.id GROUP BY 1),
+        b AS (SELECT r.seed, count(DISTINCT x.target) AS n_tables, count(DISTINCT x.target) FILTER (x.type = 'WRITES_TO') AS n_writes FROM r JOIN code_edges x ON x.source = r.id AND x.type IN ('READS_FROM', 'WRITES_TO') GROUP BY 1),
+        c AS (SELECT z.seed, coalesce(n_direct, 0) AS n_direct, coalesce(n_transitive, 0) AS n_transitive, coalesce(blast_radius, 0) AS blast_radius, coalesce(n_endpoints, 0) AS n_endpoints, coalesce(n_files, 0) AS n_files,
+              coalesce(n_modules, 0) AS n_modules, coalesce(n_tables, 0) AS n_tables, coalesce(n_writes, 0) AS n_writes, depth FROM (SELECT seed, max(hops)::BIGINT AS depth FROM r GROUP BY 1) z LEFT JOIN a USING (seed) LEFT JOIN b USING (seed)),
+        f AS (SELECT *, least(4 * n_direct, 20)::INT AS f_direct, least(2 * n_transitive, 25)::INT AS f_transitive, least(5 * n_endpoints, 20)::INT AS f_endpoints,
+              least(3 * greatest(n_modules - 1, 0), 15)::INT AS f_modules, least(5 * n_writes, 10)::INT AS f_writes, least(2 * depth, 10)::INT AS f_depth FROM c)"""
+)
+IMPACT_ROWS = """SELECT *, f_direct + f_transitive + f_endpoints + f_modules + f_writes + f_depth AS score,
+             CASE WHEN f_direct + f_transitive + f_endpoints + f_modules + f_writes + f_depth >= 65 THEN 'HIGH' WHEN f_direct + f_transitive + f_endpoints + f_modules + f_writes + f_depth >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM f"""
+
 
 def _walk(links: str, depth: int) -> str:
     return f"l AS ({links}), w(seed, id, hop) AS (SELECT s.id, s.id, 0 FROM s JOIN n ON n.id = s.id UNION SELECT w.seed, l.dst, w.hop + 1 FROM w JOIN l ON l.src = w.id WHERE w.hop < {depth}), r AS (SELECT seed, id, min(hop) AS hops FROM w GROUP BY seed, id)"
@@ -219,20 +235,7 @@ ORACLES = {
         _DEGREE + ", h AS (SELECT id, repository_id FROM k QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY degree DESC, id) <= 10), " + _walk("SELECT src, dst FROM d UNION SELECT dst, src FROM d", 15),
     ),
     "grf_04_trace_sinks": graph_sql("SELECT r.seed, r.id, r.hops, row_number() OVER (PARTITION BY r.seed ORDER BY r.hops DESC, r.id) AS place FROM r JOIN n ON n.id = r.id WHERE n.type IN ('DatabaseEntity', 'ExternalPackage') OR (r.hops > 0 AND r.id NOT IN (SELECT src FROM d)) QUALIFY place <= 25", _walk("SELECT src, dst FROM d", 8)),
-    "grf_05_impact": graph_sql(
-        """SELECT *, f_direct + f_transitive + f_endpoints + f_modules + f_writes + f_depth AS score,
-             CASE WHEN f_direct + f_transitive + f_endpoints + f_modules + f_writes + f_depth >= 65 THEN 'HIGH' WHEN f_direct + f_transitive + f_endpoints + f_modules + f_writes + f_depth >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM f""",
-        _MEMBERS
-        + """, w(seed, id, hop) AS (SELECT seed, id, 0 FROM sel UNION SELECT w.seed, d.src, w.hop + 1 FROM w JOIN d ON d.dst = w.id WHERE w.hop < 8),
-        r AS (SELECT seed, id, min(hop) AS hops FROM w GROUP BY seed, id), dep AS (SELECT r.* FROM r ANTI JOIN sel USING (seed, id)),
-        a AS (SELECT dep.seed, count(*) FILTER (hops = 1) AS n_direct, count(*) FILTER (hops > 1) AS n_transitive, count(*) AS blast_radius, count(*) FILTER (type = 'Endpoint') AS n_endpoints,
-              count(DISTINCT nullif(file_path, '')) AS n_files, count(DISTINCT nullif(module, '')) AS n_modules FROM dep JOIN n ON n.id = dep.id GROUP BY 1),
-        b AS (SELECT r.seed, count(DISTINCT x.target) AS n_tables, count(DISTINCT x.target) FILTER (x.type = 'WRITES_TO') AS n_writes FROM r JOIN code_edges x ON x.source = r.id AND x.type IN ('READS_FROM', 'WRITES_TO') GROUP BY 1),
-        c AS (SELECT z.seed, coalesce(n_direct, 0) AS n_direct, coalesce(n_transitive, 0) AS n_transitive, coalesce(blast_radius, 0) AS blast_radius, coalesce(n_endpoints, 0) AS n_endpoints, coalesce(n_files, 0) AS n_files,
-              coalesce(n_modules, 0) AS n_modules, coalesce(n_tables, 0) AS n_tables, coalesce(n_writes, 0) AS n_writes, depth FROM (SELECT seed, max(hops)::BIGINT AS depth FROM r GROUP BY 1) z LEFT JOIN a USING (seed) LEFT JOIN b USING (seed)),
-        f AS (SELECT *, least(4 * n_direct, 20)::INT AS f_direct, least(2 * n_transitive, 25)::INT AS f_transitive, least(5 * n_endpoints, 20)::INT AS f_endpoints,
-              least(3 * greatest(n_modules - 1, 0), 15)::INT AS f_modules, least(5 * n_writes, 10)::INT AS f_writes, least(2 * depth, 10)::INT AS f_depth FROM c)""",
-    ),
+    "grf_05_impact": graph_sql(IMPACT_ROWS, IMPACT_TABLES),
     "grf_05c_direct_callers": graph_sql("SELECT DISTINCT sel.seed, x.source AS caller FROM sel JOIN code_edges x ON x.target = sel.id WHERE x.type = 'CALLS' AND x.resolution <> 'unresolved' AND (sel.seed, x.source) NOT IN (SELECT seed, id FROM sel)", _MEMBERS),
     "grf_08_components": graph_sql("SELECT repository_id, component, component_id, n FROM c", _COMPONENTS),
     "grf_08_component_edges": graph_sql(
