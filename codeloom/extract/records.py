@@ -16,6 +16,7 @@ SCHEMA = (
     "bindings array<struct<key:string,target:string>>, shadowed array<string>, "
     "endpoints array<struct<id:string,name:string,handler:string,start_line:int,end_line:int,source:string>>"
 )
+# fixed values: patterns of names, of routes and prefixes in decorators, and of what a call injects
 NAME = re.compile(r"[A-Za-z_$][\w$]*\Z")
 DOTTED = re.compile(r"[\w.]+\Z")
 _VERBS = re.compile(r"@(?:[\w.]+\.)?(get|post|put|patch|delete|route|Get|Post|Put|Patch|Delete)\(\s*['\"]([^'\"]*)['\"]([^)]*)\)")

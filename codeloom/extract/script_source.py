@@ -13,6 +13,7 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z
 _NOT_CALLED = frozenset("if for while switch catch function return typeof await new delete void in of else do case throw yield instanceof import super class extends default export async".split())
 _MODIFIERS = frozenset("public private protected static async readonly override abstract declare get set accessor".split())
 _BEFORE_VALUE = frozenset(("(", ",", "=", ":", "[", "!", "&", "|", "?", "{", "}", ";", "=>", "&&", "||", "??", "+", "-", "*", "%", "<", ">", "==", "===", "!=", "!==", "...", "^", "~"))
+# fixed values: calls that declare a route, files that are routes, and verbs
 _VERB = re.compile(r"[\w.]+\.(get|post|put|patch|delete|use|all)\Z")
 _ROUTE_FILES = ("route.ts", "route.tsx")
 _HTTP = frozenset("GET POST PUT PATCH DELETE HEAD OPTIONS".split())

@@ -18,7 +18,8 @@ INTENTS = (
     ("dependency", ("calls", "uses", "depends", "depend on", "dependents", "dependencies")),
     ("discovery", ("where", "find", "search")),
 )
-MOST_STRING, MOST_ITEMS, LEAST_STRING = 1200, 20, 100
+# fixed values: (items of a list, characters of a string) to try, one after the other
+LIMITS = ((20, 1200), (10, 1200), (5, 1200), (2, 1200), (1, 1200), (1, 600), (1, 300), (1, 150), (1, 100))
 
 
 def first_label(text: Column, labels: tuple[tuple[str, tuple[str, ...]], ...], otherwise: str) -> Column:
@@ -85,26 +86,23 @@ def answer_events(answers: DataFrame) -> DataFrame:
     return parts.select("answer_id", "place", event.alias("event"))
 
 
+def shortened(value: Any, items: int, characters: int) -> Any:
+    """A JSON value with lists and strings cut, and without vectors and empty fields."""
+    match value:
+        case dict():
+            return {k: shortened(x, items, characters) for k, x in value.items() if k != "embedding" and x is not None and x != ""}
+        case list():
+            return [shortened(x, items, characters) for x in value[:items]]
+        case str():
+            return value[:characters]
+    return value
+
+
 def fit_evidence(value: Any, budget: int) -> Any:
-    """A JSON value cut to at most ``budget`` characters of JSON: lists are halved down to one item, then strings down to LEAST_STRING;
-    structures are never broken. What can't be made to fit becomes a notice."""
-
-    def cut(v: Any, items: int, characters: int) -> Any:
-        if isinstance(v, dict):
-            return {k: cut(x, items, characters) for k, x in v.items() if k != "embedding" and x not in ("", None)}
-        if isinstance(v, list):
-            return [cut(x, items, characters) for x in v[:items]]
-        return v[:characters] if isinstance(v, str) else v
-
-    items, characters = MOST_ITEMS, MOST_STRING
-    out = cut(value, items, characters)
-    while len(json.dumps(out)) > budget and (items > 1 or characters > LEAST_STRING):
-        if items > 1:
-            items //= 2
-        else:
-            characters = max(LEAST_STRING, characters // 2)
-        out = cut(value, items, characters)
-    return out if len(json.dumps(out)) <= budget else {"notice": "too large"}
+    """A JSON value cut to at most ``budget`` characters of JSON, by the first of LIMITS that suffices; structures are never broken.
+    What can't be made to fit becomes a notice."""
+    tries = (shortened(value, *limit) for limit in LIMITS)
+    return next((x for x in tries if len(json.dumps(x)) <= budget), {"notice": "too large"})
 
 
 def fitted(budget: int):

@@ -11,6 +11,7 @@ from .traverse import impacts
 MOST_IMPACTS, MOST_CHANGED = 20, 50
 # fixed values: types of symbols that a changed range is mapped to
 SYMBOLS = ("Class", "Interface", "Function", "Method", "Endpoint", "DatabaseEntity")
+# fixed value: the head of a hunk
 _HUNK = r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 # fixed value: paths of tests, case-folded
 _TEST_PATH = r"(?:^|/)(?:test|tests|__tests__|spec|specs)/|(?:^|/)test_[^/]*$|(?:_test\.py|\.(?:test|spec)\.(?:jsx?|tsx?))$"

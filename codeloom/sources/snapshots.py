@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.utils import AnalysisException
 
+# fixed value: the name of the interchange format (compact JSON with sorted keys, zlib level 6, base64)
 FORMAT = "zlib-json-v1"
 KEPT_SNAPSHOTS, KEPT_RUNS, LISTED = 20, 200, 100
 
