@@ -114,3 +114,23 @@ def summary(violations: DataFrame, rules: list[dict], repositories: DataFrame) -
     rows = repositories.select("repository_id").distinct().join(rolled, "repository_id", "left").fillna(0, ["broken", "errors", "warnings"])
     status = F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS")
     return rows.select("repository_id", F.lit(len(rules)).cast("long").alias("rules"), (F.lit(len(rules)) - F.col("broken")).cast("long").alias("passed"), "warnings", "errors", (F.col("errors") + F.col("warnings")).alias("violations"), status.alias("status"))
+
+
+def read_policy(paths: list[str]) -> list[dict] | None:
+    """Rules of the first policy file that exists (YAML, at most 64 KB), None if there is none; ValueError if it is no valid policy."""
+    import os
+
+    for path in paths:
+        if os.path.isfile(path):
+            if os.path.getsize(path) > 64 * 1024:
+                raise ValueError("the policy file is too large")
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("reading a policy file needs a YAML library") from e
+            with open(path, encoding="utf-8") as file:
+                try:
+                    return validated(yaml.safe_load(file))
+                except yaml.YAMLError as e:
+                    raise ValueError("the policy file is no YAML") from e
+    return None
