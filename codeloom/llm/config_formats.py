@@ -15,13 +15,20 @@ _INI = re.compile(r"""(?m)^(?:[ \t]*+\[([^\]\n]*+)\]|[ \t]*+(?![#;])([^=:\n\[\]#
 _TOML = re.compile(
     r'''(?m)^[ \t]*+(?:\[{1,2}([^\]\n]*+)\]{1,2}|([\w.\-]+|"[^"\n]*+"|'[^'\n]*+')[ \t]*+=[ \t]*+(?:"""((?:[^"\\]|\\.|"(?!""))*+)"""|\'\'\'((?:[^']|'(?!''))*+)\'\'\'|"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)'|([^\s#"'][^\n\r#]*?(?=[ \t]*(?:\#|\r?$)))))'''
 )
-_INLINE = re.compile(r"""([\w.\-]+|"[^"\n]*+")[ \t]*+[=:][ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)')""")
+# tokens of collections in brackets or braces: quoted and plain scalars, marks, comments
+_TOML_TOKEN = re.compile(r'''"""(?P<d3>(?:[^"\\]|\\.|"(?!""))*+)"""|\'\'\'(?P<s3>(?:[^']|'(?!''))*+)\'\'\'|"(?P<d>(?:[^"\\\n]|\\.)*+)"|'(?P<s>[^'\n]*+)'|\#[^\n]*+|(?P<mark>[{}\[\],=])|(?P<plain>[^\s{}\[\],=\#"'](?:[^{}\[\],=\#\n]*[^\s{}\[\],=\#])?)''')
+_YAML_TOKEN = re.compile(
+    r"""(?s)"(?P<d>(?:[^"\\]|\\.)*+)"|'(?P<s>(?:[^']|'')*+)'|(?<=\s)\#[^\n]*+|(?P<mark>[{}\[\],]|:(?=[\s,\[\]{}"']|\Z)|(?<=["']):)|(?P<plain>(?:[^\s,\[\]{}"':]|:(?![\s,\[\]{}"']|\Z))(?:(?:[^\n\r,\[\]{}:\#]|:(?![\s,\[\]{}]|\Z)|(?<!\s)\#)*(?:[^\s,\[\]{}:]|:(?![\s,\[\]{}]|\Z)))?)"""
+)
+_YAML_OPEN = re.compile(r"(?m)^[ \t]*+(?:---[ \t]++)?(?:-[ \t]++)*+(?=[{\[])")
 _JSON = re.compile(r'"((?:[^"\\\n]|\\.)*+)"|([{}\[\],:])|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|[^\s{}\[\],:"]++')
 _YAML = re.compile(
-    r"""(?m)^([ \t]*+(?:-[ \t]+)*)(?:(?!["'\#&*!|>%@`{\[])([^\s:#][^:\n]*?)|"([^"\n]*+)"|'([^'\n]*+)')[ \t]*+:(?=[ \t\r]|$)[ \t]*+(?:!\S++[ \t]*+|&\S++[ \t]*+)*+(?:"((?:[^"\\]|\\.)*+)"|'((?:[^']|'')*+)'|([|>][+-]?\d?[ \t]*\r?$)|([^\s#"'|>&*!\[{][^\n\r]*?(?=[ \t]+\#|[ \t]*\r?$)))?"""
+    r"""(?m)^([ \t]*+(?:-[ \t]+)*+)(?:(?!["'\#&*!|>%@`{\[])([^\s:#][^:\n]*?)|"([^"\n]*+)"|'([^'\n]*+)')[ \t]*+:(?=[ \t\r]|$)[ \t]*+(?:!\S++[ \t]*+|&\S++[ \t]*+)*+(?:"((?:[^"\\]|\\.)*+)"|'((?:[^']|'')*+)'|([|>][+-]?\d?[ \t]*\r?$)|([^\s#"'|>&*!\[{][^\n\r]*?(?=[ \t]+\#|[ \t]*\r?$)))?"""
 )
 _YAML_ITEM = re.compile(r"""(?m)^([ \t]*+)-[ \t]+(?:"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)'|([^\s#"'\-][^\n\r:]*?(?=[ \t]*\r?$)))[ \t]*\r?$""")
 
+_YAML_HEAD = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?([\w.\-]+):[ \t]*\r?$")
+
 
 def _pick(m: re.Match, groups: range) -> tuple[str, int, int] | None:
     for g in groups:
@@ -49,16 +56,91 @@ def ini(text: str) -> Iterator[Setting]:
             yield (*section, _name(m[2])), *found
 
 
+_INI_KEY = re.compile(r"[ \t]*+(?![#;])([^=:\n\[\]#;]+?)[ \t]*+[=:](?!=)")
+_BARE = re.compile(r"""([\w.\-]++)[ \t]++(?:"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)'|([^\s"';]++(?<!;)))[ \t]*+;?[ \t]*+\r?$""")
+
+
+def bare_rows(text: str) -> Iterator[Setting]:
+    """Rows of INI-like texts that hold a value without a mark between: continuations of the setting above, which are indented
+    deeper, and directives (name, blanks, value; of more words the last two)."""
+    key: tuple[str, ...] = ()
+    section: tuple[str, ...] = ()
+    depth = 0
+    for row in re.compile(r"[^\n]+").finditer(text):
+        line = row[0]
+        body = line.strip()
+        if not body or body[0] in "#;":
+            continue
+        indent = len(line) - len(line.lstrip())
+        if body[0] == "[" and body[-1] == "]":
+            section, key = (body[1:-1].strip(),), ()
+            continue
+        if m := _INI_KEY.match(line):
+            if m.end() < len(line.rstrip()) or not key or indent <= depth:
+                key, depth = (*section, _name(m[1])), indent
+                continue
+        if key and indent > depth:
+            value = body.rstrip("\\,").rstrip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            at = row.start() + indent + quoted
+            yield key, value[1:-1] if quoted else value, at, at + len(value) - 2 * quoted
+        else:
+            key = ()
+            if (m := _BARE.search(line)) and (found := _pick(m, range(2, 5))):
+                yield (*section, m[1]), found[0], row.start() + found[1], row.start() + found[2]
+
+
+def _collection(text: str, at: int, path: tuple[str, ...], token: re.Pattern, mark: str) -> tuple[list[Setting], int | None]:
+    """Settings of the collection that opens at ``at``, and its end (None if it isn't closed); ``mark`` stands behind keys."""
+    out: list[Setting] = []
+    paths: list[tuple[str, ...]] = []
+    here = path
+    held: tuple[str, int, int] | None = None  # a scalar that may turn out to be a key
+    for m in token.finditer(text, at):
+        if m["mark"] is None:
+            if m.lastgroup:
+                if held is not None:
+                    out.append((here, *held))
+                held = m[m.lastgroup], m.start(m.lastgroup), m.end(m.lastgroup)
+            continue
+        if m["mark"] == mark:
+            if held is not None:
+                here = (*paths[-1], *(map(_name, held[0].split(".")) if mark == "=" else (held[0],)))
+                held = None
+            continue
+        if held is not None:
+            out.append((here, *held))
+            held = None
+        if m["mark"] in "{[":
+            paths.append(here)
+        elif m["mark"] in "}]":
+            here = paths.pop()
+            if not paths:
+                return out, m.end()
+        if paths and m["mark"] == ",":
+            here = paths[-1]
+    if held is not None:
+        out.append((here, *held))
+    return out, None
+
+
 def toml(text: str) -> Iterator[Setting]:
     section: tuple[str, ...] = ()
+    skip = 0
+    whole = True  # so far all collections are closed; an open one takes the rest of the text
     for m in _TOML.finditer(text):
+        if m.start() < skip:
+            continue
         if m[1] is not None:
             section = tuple(map(_name, m[1].split(".")))
         elif found := _pick(m, range(3, 8)):
             path = (*section, *map(_name, m[2].split(".")))
-            if found[0].startswith(("{", "[")):
-                for x in _INLINE.finditer(text, found[1], found[2]):
-                    yield (*path, _name(x[1])), *_pick(x, range(2, 4))
+            if m[7] is not None and found[0].startswith(("{", "[")):
+                if whole:
+                    inner, end = _collection(text, found[1], path, _TOML_TOKEN, "=")
+                    # numbers and the like of fewer than 4 characters are no settings that matter
+                    yield from (x for x in inner if x[3] - x[2] >= 4 or text[x[2] - 1] in "\"'")
+                    whole, skip = end is not None, end or 0
             else:
                 yield path, *found
 
@@ -99,9 +181,27 @@ def yaml(text: str) -> Iterator[Setting]:
     stack: list[tuple[int, str]] = []
     block = -1
     skip = 0
+    whole = True  # so far all collections are closed; an open one takes the rest of the text
+    flows: list[tuple[int, int]] = []
+    heads = [(m.start(), m[1]) for m in _YAML_HEAD.finditer(text)] if _YAML_OPEN.search(text) else []
+    at = 0
+    last = ""
+    for m in _YAML_OPEN.finditer(text):
+        if whole and (not flows or m.start() >= flows[-1][1]):
+            while at < len(heads) and heads[at][0] < m.start():
+                last, at = heads[at][1], at + 1
+            inner, end = _collection(text, m.end(), (last,) if last else (), _YAML_TOKEN, ":")
+            yield from inner
+            whole = end is not None
+            if whole:
+                flows.append((m.start(), end))
+    flow = 0
+    closed = 0
     for m in _YAML.finditer(text):
         indent = len(m[1].replace("- ", "  ").expandtabs(8))
-        if m.start() < skip and indent > block:
+        while flow < len(flows) and flows[flow][1] <= m.start():
+            flow += 1
+        if m.start() < skip and indent > block or m.start() < closed or (flow < len(flows) and flows[flow][0] <= m.start()):
             continue
         key = next(x for x in (m[2], m[3], m[4]) if x is not None).strip()
         while stack and stack[-1][0] >= indent:
@@ -115,6 +215,10 @@ def yaml(text: str) -> Iterator[Setting]:
             yield path, inner.strip(), body.start() + len(inner) - len(inner.lstrip()), body.end() - (len(inner) - len(inner.rstrip()))
         elif found := _pick(m, range(5, 7)) or _pick(m, range(8, 9)):
             yield path, *found
+        elif whole and text[m.end() : m.end() + 1] in ("{", "["):
+            inner, end = _collection(text, m.end(), path, _YAML_TOKEN, ":")
+            yield from inner
+            whole, closed = end is not None, end or 0
     last = ""
     for m in _YAML_ITEM.finditer(text):
         head = re.compile(r"(?m)^[ \t]*([\w.\-]+):[ \t]*\r?$")
@@ -124,6 +228,26 @@ def yaml(text: str) -> Iterator[Setting]:
             yield (last,), *found
 
 
+def nested(keys: tuple[str, ...], value: str, start: int) -> Iterator[Setting]:
+    """Settings within a value of several lines (also of escaped line breaks) that starts at ``start``, read by the format that
+    its key names (`settings.toml`), else as YAML and as rows of settings; offsets are those of the original text."""
+    opens = False
+
+    def plain(m: re.Match) -> str:
+        nonlocal opens
+        if m[1] == '"':
+            opens = not opens
+            return ' "' if opens else '" '
+        return " \n" if m[1] == "n" else "  "
+
+    value = re.sub(r'\\([nrt"])', plain, value)
+    named = reader(keys[-1], None) if keys and "." in keys[-1] else None
+    for read in ((named, bare_rows) if named is ini else (named,)) if named else (yaml, ini, bare_rows):
+        for inner, text, a, b in read(value):
+            if b - a < len(value):
+                yield (*keys, *inner), text, start + a, start + b
+
+
 # fixed values: extensions and index languages of configuration formats
 READERS = {"env": dotenv, "ini": ini, "cfg": ini, "conf": ini, "properties": ini, "toml": toml, "json": json_text, "yml": yaml, "yaml": yaml}
 LANGUAGES = {"dotenv": dotenv, "ini": ini, "toml": toml, "json": json_text, "yaml": yaml}

@@ -12,6 +12,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -302,6 +303,45 @@ def _in_code(text: str, python: bool) -> Iterator[Span]:
 _CONFIG_COMMENT = re.compile(r"(?m)^[ \t]*[#;](?!!)[^\n]*|[ \t]\#[ \t][^\n]*|^[ \t]*//[^\n]*")
 
 
+_REFERENCE = re.compile(r"^[a-z_]+(?:\.[a-z_]+)+$")
+
+
+def _by_name(keys: tuple[str, ...], value: str, strict: bool) -> bool:
+    """Whether the value of a setting is a secret by its name; ``strict`` asks for the shape of a secret besides."""
+    level = sensitivity(keys[-1]) or (1 if len(keys) > 1 and keys[-1].lower() in ("value", "default", "data") and sensitivity(keys[-2]) else 0)
+    return bool(level) and words(value) != words(keys[-1]) and plausible(value, level) and (not strict or secretish(value))
+
+
+def _in_settings(text: str, read) -> Iterator[Span]:
+    """Credentials of a configuration text: by shape and name in its settings, then by shape in all text that no setting covers."""
+    covered: list[tuple[int, int]] = []
+    asked = [(s, False, False) for s in (read or config_formats.ini)(text)]
+    if read in (None, config_formats.ini):
+        asked += [(s, read is None, False) for s in config_formats.bare_rows(text)]
+    for (keys, value, start, end), strict, inner in asked:  # grows by nested settings
+        covered.append((start, end))
+        name = ".".join(keys)
+        shaped = list(_by_shape(text, start, end, name))
+        yield from shaped
+        if "\n" in value or "\\n" in value or '\\"' in value:
+            asked += [(s, False, True) for s in config_formats.nested(keys, value, start)]
+            if keys and "\n" in value and "-----BEGIN" not in value:  # several values of one name
+                asked += [((keys, m[1], start + m.start(1), start + m.end(1)), True, True) for m in re.finditer(r"(?m)^[ \t]*([^\s\\]+)[ \t]*\r?$", value)]
+        if keys and not shaped and "\n" not in value and _by_name(keys, value, strict) and not (inner and _REFERENCE.match(value)):
+            yield start, end, name, "secret by name"
+    covered.sort()
+    ends: list[int] = []  # furthest end of all settings up to each
+    for _, end in covered:
+        ends.append(max(end, ends[-1] if ends else 0))
+    for line in re.compile(r"[^\n]+").finditer(text):
+        for span in _by_shape(text, line.start(), line.end(), ""):
+            i = bisect_left(covered, (span[1], 0))  # settings that start before its end
+            if not i or ends[i - 1] <= span[0]:
+                yield span
+    for m in _CONFIG_COMMENT.finditer(text):
+        yield from _in_comment(text, m.start(), m.end())
+
+
 def find(text: str, path: str | None, language: str | None) -> list[tuple[int, int, str, str]]:
     """Credentials of one text as (start, end, key path, kind), ascending and without overlaps; offsets are in characters."""
     found: list[Span] = []
@@ -314,16 +354,7 @@ def find(text: str, path: str | None, language: str | None) -> list[tuple[int, i
     if ext in EXTENSIONS or (read is None and (language or "").lower() in ("python", "javascript", "typescript")):
         found.extend(_in_code(text, EXTENSIONS.get(ext, (language or "").lower()) == "python"))
     else:
-        for keys, value, start, end in (read or config_formats.ini)(text):
-            name = ".".join(keys)
-            shaped = list(_by_shape(text, start, end, name))
-            found.extend(shaped)
-            if keys and not shaped and "\n" not in value:
-                level = sensitivity(keys[-1]) or (1 if len(keys) > 1 and keys[-1].lower() in ("value", "default", "data") and sensitivity(keys[-2]) else 0)
-                if level and words(value) != words(keys[-1]) and plausible(value, level):
-                    found.append((start, end, name, "secret by name"))
-        for m in _CONFIG_COMMENT.finditer(text):
-            found.extend(_in_comment(text, m.start(), m.end()))
+        found.extend(_in_settings(text, read))
     out: list[Span] = []
     for span in sorted(found, key=lambda s: (s[0], -s[1])):
         if span[0] < span[1] and (not out or span[0] >= out[-1][1]):

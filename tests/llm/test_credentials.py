@@ -82,6 +82,28 @@ def test_configuration_formats_and_valid_redactions():
         assert redact(crlf, find(crlf, name, None)) == redact(text, find(text, name, None)).replace("\n", "\r\n")
 
 
+@pytest.mark.parametrize(
+    "path, text, at",
+    [
+        ("a.yml", f"db: {{user: app, password: S3cr3t9x}}\ntokens: [{TOKEN}, b]\nl:\n  - {{name: x, api_key: 'Q83hf7aGs82hdKq0'}}\nm: {{\n  secret: Tree-House-12,\n  n: [a, b]}}\npassword: Zx9-kkd81\n", [1, 2, 4, 6, 8]),
+        ("a.toml", f'a = ["{TOKEN}", "b"]\nauth_tokens = [\n  "Q83hf7aGs82hdKq0", # note\n  "x",\n  "Zx9-kkd81-Tree",\n]\nname = "x"\npassword = "Tree-House-12"\n', [1, 3, 5, 8]),
+        ("a.toml", 'env = """\nX=1\nDB_PASSWORD=Tree-House-12\n"""\n', [3]),
+        ("redis.conf", f"requirepass S3cr3t9x\nport 6379\n[db]\npassword =\n    Tree-House-12\nname = x\nload {TOKEN} {TOKEN}\n", [1, 5, 7]),
+        ("a.yaml", 'data:\n  app.env: |\n    X=1\n    DB_PASSWORD=Tree-House-12\n  redis.conf: |\n    port 1\n    requirepass S3cr3t9x\n  j: |\n    {"n": 1,\n    "password": "Zx9-kkd81"}\n', [4, 7, 10]),
+        ("a.json", '{"env": "X=1\\nDB_PASSWORD=Tree-House-12\\nY=2",\n"j": "{\\"password\\": \\"Zx9-kkd81\\"}"}', [1, 2]),
+    ],
+)
+def test_settings_in_collections_and_in_values(path, text, at):
+    found = find(text, path, None)
+    assert sorted({line for _, line in _merged(text, found)}) == at
+    assert {text[a:b] for a, b, _, _ in found} <= {TOKEN, "S3cr3t9x", "Q83hf7aGs82hdKq0", "Tree-House-12", "Zx9-kkd81", "Zx9-kkd81-Tree"}
+
+
+def test_nested_references_are_no_credentials():
+    text = 'run: |\n  password=$PW\n  token: ${{ secrets.TOKEN }}\n  api_key = settings.api.key\nlogin: {password: "${PW}", token: changeme}\npem: |\n  -----BEGIN CERTIFICATE-----\n  ' + "MIIabc+/9" * 7 + "\n  -----END CERTIFICATE-----\n"
+    assert lines(text, "a.yml") == []
+
+
 def test_names():
     assert [sensitivity(x) for x in ("dbPassword", "API_KEY", "clientSecret", "kioskAdminpwd", "X-Auth-Token")] == [2] * 5
     assert [sensitivity(x) for x in ("passwordField", "tokenTtl", "monkey", "publicKey", "name", "", "keyId")] == [0] * 7
