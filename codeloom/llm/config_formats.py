@@ -57,12 +57,12 @@ def ini(text: str) -> Iterator[Setting]:
 
 
 _INI_KEY = re.compile(r"[ \t]*+(?![#;])([^=:\n\[\]#;]+?)[ \t]*+[=:](?!=)")
-_BARE = re.compile(r"""([\w.\-]++)[ \t]++(?:"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)'|([^\s"';]++(?<!;)))[ \t]*+;?[ \t]*+\r?$""")
+_BARE = re.compile(r"""(?<!\S)([\w.\-]++)[ \t]++(?:"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)'|([^\s"';]++(?<!;)))[ \t]*+;?[ \t]*+\r?$""")
 
 
-def bare_rows(text: str) -> Iterator[Setting]:
+def bare_rows(text: str, prose: bool = False) -> Iterator[Setting]:
     """Rows of INI-like texts that hold a value without a mark between: continuations of the setting above, which are indented
-    deeper, and directives (name, blanks, value; of more words the last two)."""
+    deeper, and directives (name, blanks, value; of more words the last two, but in ``prose`` rows of two words only)."""
     key: tuple[str, ...] = ()
     section: tuple[str, ...] = ()
     depth = 0
@@ -86,7 +86,7 @@ def bare_rows(text: str) -> Iterator[Setting]:
             yield key, value[1:-1] if quoted else value, at, at + len(value) - 2 * quoted
         else:
             key = ()
-            if (m := _BARE.search(line)) and (found := _pick(m, range(2, 5))):
+            if (m := _BARE.match(line, indent) if prose else _BARE.search(line)) and (found := _pick(m, range(2, 5))):
                 yield (*section, m[1]), found[0], row.start() + found[1], row.start() + found[2]
 
 
@@ -228,7 +228,7 @@ def yaml(text: str) -> Iterator[Setting]:
             yield (last,), *found
 
 
-def nested(keys: tuple[str, ...], value: str, start: int) -> Iterator[Setting]:
+def nested(keys: tuple[str, ...], value: str, start: int, prose: bool = False) -> Iterator[Setting]:
     """Settings within a value of several lines (also of escaped line breaks) that starts at ``start``, read by the format that
     its key names (`settings.toml`), else as YAML and as rows of settings; offsets are those of the original text."""
     opens = False
@@ -243,7 +243,7 @@ def nested(keys: tuple[str, ...], value: str, start: int) -> Iterator[Setting]:
     value = re.sub(r'\\([nrt"])', plain, value)
     named = reader(keys[-1], None) if keys and "." in keys[-1] else None
     for read in ((named, bare_rows) if named is ini else (named,)) if named else (yaml, ini, bare_rows):
-        for inner, text, a, b in read(value):
+        for inner, text, a, b in bare_rows(value, prose) if read is bare_rows else read(value):
             if b - a < len(value):
                 yield (*keys, *inner), text, start + a, start + b
 

@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,6 +55,8 @@ _HOST = re.compile(r"(?i)^(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?::\d+
 _URL = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5)[:\-]|^data:")
+# fixed values: how images, fonts, sounds, documents and archives begin in base64
+_MEDIA = re.compile(r"iVBORw0KGgo|/9j/|R0lGOD|UklGR|Qk0[2-9]|PHN2Zy|PD94bW|d09G[MR]|AAEAAAA|T1RUTw|JVBERi0|UEsDB|H4sI|SUQz|T2dnUw|AGFzbQ|AAABAAE")
 _HEX = re.compile(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,})$")
 _TOKENISH = re.compile(r"^[A-Za-z0-9+/_=.~-]+$")
 
@@ -76,6 +79,7 @@ _CURL = re.compile(r"(?:\s|^)(?:-u|--user|--login)[ =]+[\"']?[^\s:\"'@/]+:([^\s\
 _FLAG = re.compile(r"(?i)\s--?(?:password|passwd|pass|token|secret|api-?key)[ =]+[\"']?([^\s\"'-][^\s\"']{5,})")
 _COMMENT_WORD = re.compile(r"(?i)passw|passphrase|\bpass\b|\bpwd\b|\bpw\b|\btokens?\b|\bkeys?\b|secret|credential|\blogin\b|\bbearer\b|\bauth|\baccess\b|kennwort|mot de passe|contrase|clave|пароль")
 _COMMENT_NOT = re.compile(r"(?i)\b(?:commit|sha\d*|digest|checksum|hash|integrity|revision|etag|uuid|fingerprint|public key|key id|version)\b")
+_COMMENT_WORDS, _COMMENT_NOTS = (re.compile(f"(?i)(?=({p.pattern.removeprefix('(?i)')}))") for p in (_COMMENT_WORD, _COMMENT_NOT))
 _VALUE = re.compile(r"[^\s\"'`,;()<>]{6,}")
 
 
@@ -130,7 +134,7 @@ def _mixed(value: str) -> bool:
 
 def secretish(value: str) -> bool:
     """Shaped like a made-up or random secret: at least three classes of characters with a digit, or long hexadecimal."""
-    if not 6 <= len(value) <= 400 or any(c.isspace() for c in value) or is_placeholder(value) or _HOST.match(value) or _URL.match(value) or _DIGEST.match(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or is_placeholder(value) or _HOST.match(value) or _URL.match(value) or _DIGEST.match(value) or (len(value) > 100 and _MEDIA.match(value)):
         return False
     if _HEX.match(value):
         return True
@@ -144,7 +148,7 @@ def secretish(value: str) -> bool:
 
 def plausible(value: str, level: int) -> bool:
     """Whether ``value`` may be the secret of a name of sensitivity ``level``."""
-    if is_placeholder(value) or any(c.isspace() for c in value) or _HOST.match(value) or _DIGEST.match(value) or len(value) < 4 or len(value) > 4000:
+    if len(value) < 4 or any(c.isspace() for c in value) or is_placeholder(value) or _HOST.match(value) or _DIGEST.match(value) or (len(value) > 100 and _MEDIA.match(value)):
         return False
     if _URL.match(value):
         return False  # only its user info or query may be secret
@@ -159,6 +163,10 @@ def plausible(value: str, level: int) -> bool:
     return classes(value) >= 2
 
 
+#: A mark of settings with a value of a secret's length behind it.
+_SETTING = re.compile(r"""[=:][ \t]*["'\\]{0,2}[^\s"'\\,;(){}\[\]<>]{4}|[\[{]""")
+_REFERENCE = re.compile(r"^[a-z_]+(?:\.[a-z_]+)+$")
+
 Span = tuple[int, int, str, str]  # start, end, key path, kind
 
 
@@ -193,17 +201,28 @@ def _by_shape(text: str, start: int, end: int, key: str) -> Iterator[Span]:
                     yield start + m.start(1), start + m.end(1), key, "setting in text"
 
 
+def _around(pattern: re.Pattern, line: str) -> tuple[int, int]:
+    """End of the first and start of the last match: one lies outside of a stretch if it is before or behind it."""
+    ends, last = len(line) + 1, -1
+    for m in pattern.finditer(line):
+        ends, last = min(ends, m.end(1)), m.start(1)
+    return ends, last
+
+
 def _in_comment(text: str, start: int, end: int) -> Iterator[Span]:
     for m in re.compile(r"[^\n]+").finditer(text, start, end):
         line = m[0]
         yield from _by_shape(text, m.start(), m.end(), "")
         if not _COMMENT_WORD.search(line):
             continue
+        word, not_ = _around(_COMMENT_WORDS, line), _around(_COMMENT_NOTS, line)
         for v in _VALUE.finditer(line):
-            rest = line[: v.start()] + " " + line[v.end() :]  # a secret may itself hold such words
-            if not _COMMENT_WORD.search(rest) or _COMMENT_NOT.search(rest):
+            a, b = v.span()  # a secret may itself hold such words
+            if not (word[0] <= a or word[1] >= b) or not_[0] <= a or not_[1] >= b:
                 if not re.match(r"[\w-]+[=:]", v[0]):
                     continue
+            if line.endswith("base64,", 0, a):
+                continue
             value = v[0].strip(".*/:=!?")
             at = v.start() + v[0].find(value) if value else v.start()
             for mark in ("=", ":"):
@@ -238,6 +257,25 @@ def _string(m: re.Match) -> tuple[str, int, int] | None:
     return None
 
 
+def _parts(spans: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where characters start to end of joined literals stand."""
+    at = 0
+    for a, b in spans:
+        if at < end and start < at + b - a:
+            yield a + max(0, start - at), min(b, a + end - at)
+        at += b - a
+
+
+def _in_embedded(text: str, start: int, end: int, key: str) -> Iterator[Span]:
+    """Settings of a configuration that stands in a literal."""
+    value = text[start:end]
+    if not _SETTING.search(value):
+        return
+    for keys, inner, a, b in config_formats.nested((key,) if key else (), value, start, prose=True):
+        if "\n" not in inner and len(keys) > bool(key) and _by_name(keys, inner, True) and not _REFERENCE.match(inner):
+            yield a, b, ".".join(keys), "secret by name"
+
+
 def _in_code(text: str, python: bool) -> Iterator[Span]:
     token = _PY_TOKEN if python else _JS_TOKEN
     chain: list[tuple[str, int, int]] = []  # literals that are joined
@@ -254,18 +292,22 @@ def _in_code(text: str, python: bool) -> Iterator[Span]:
             if b := pattern.search(before):
                 key = next(g for g in b.groups() if g)
                 break
-        if value.startswith("data:") or len(value) > 5000:
+        if value.startswith("data:"):
             return
         if len(chain) == 1:
             found = list(_by_shape(text, *spans[0], key))
-            if found:
-                yield from found
-                return
-        elif any(True for _ in _by_shape(value, 0, len(value), key)):
-            yield from ((a, b, key, "issued token") for a, b in spans)
-            return
-        if "\n" in value:
-            yield from _in_comment(text, *spans[0])
+        else:
+            found = [(*part, key, "issued token") for a, b, _, _ in _by_shape(value, 0, len(value), key) for part in _parts(spans, a, b)]
+        if "\n" in value or "\\n" in value:
+            shaped = sorted(found)
+            ends = list(accumulate((x[1] for x in shaped), max))
+            for a, b in spans:
+                for x in [*(_in_comment(text, a, b) if "\n" in value else ()), *_in_embedded(text, a, b, key)]:
+                    i = bisect_left(shaped, (x[1],))  # shapes that start before its end
+                    if not i or ends[i - 1] <= x[0]:
+                        found.append(x)
+        yield from found
+        if found or "\n" in value:
             return
         level = sensitivity(key) if key else 0
         if level and words(value) == words(key):
@@ -303,9 +345,6 @@ def _in_code(text: str, python: bool) -> Iterator[Span]:
 _CONFIG_COMMENT = re.compile(r"(?m)^[ \t]*[#;](?!!)[^\n]*|[ \t]\#[ \t][^\n]*|^[ \t]*//[^\n]*")
 
 
-_REFERENCE = re.compile(r"^[a-z_]+(?:\.[a-z_]+)+$")
-
-
 def _by_name(keys: tuple[str, ...], value: str, strict: bool) -> bool:
     """Whether the value of a setting is a secret by its name; ``strict`` asks for the shape of a secret besides."""
     level = sensitivity(keys[-1]) or (1 if len(keys) > 1 and keys[-1].lower() in ("value", "default", "data") and sensitivity(keys[-2]) else 0)

@@ -99,6 +99,33 @@ def test_settings_in_collections_and_in_values(path, text, at):
     assert {text[a:b] for a, b, _, _ in found} <= {TOKEN, "S3cr3t9x", "Q83hf7aGs82hdKq0", "Tree-House-12", "Zx9-kkd81", "Zx9-kkd81-Tree"}
 
 
+LONG = "".join(f"insert into t values ({i}, 'plain words');\n" for i in range(300))
+
+
+@pytest.mark.parametrize(
+    "text, at",
+    [
+        (f'q = """\n{LONG}-- {TOKEN}\n"""\n', [302]),
+        (f'q = """\n{LONG}\nADMIN_PASSWORD: Tree-House-12\nAPI_TOKEN=Q83hf7aGs82hdKq0\n"""\n', [303, 304]),
+        ('c = """\nurl = postgres://svc:Tree.House.12@db.invalid/x\nADMIN_PASSWORD: Zx9-kkd81\n"""\n', [2, 3]),
+        ('c = ("""a\n""" + """b\nADMIN_PASSWORD: Zx9-kkd81\n""")\n', [3]),
+        (f'c = "{"plain words " * 500}postgres://svc:Tree.House.12@db.invalid/x"\n', [1]),
+        ("key = '" + "Q83hf7aGs82hdKq0" * 30 + "'\n", [1]),
+        ("f('Bearer " + "Q83hf7aGs82hdKq0" * 30 + "')\n", [1]),
+        ("# use token " + "Q83hf7aGs82hdKq0" * 30 + "\n", [1]),
+    ],
+)
+def test_long_literals_and_several_secrets_in_one(text, at):
+    assert lines(text) == at
+    assert lines(text.replace('"""', "`").replace("# ", "// "), "a.ts") == at
+    ast.parse(redact(text, find(text, "a.py", None)))
+
+
+@pytest.mark.parametrize("literal", [f'"""\n{LONG}\npassword: changeme\ntoken = settings.api.token\n"""', "'data:image/png;base64," + "Ab1+" * 2000 + "'", "'iVBORw0KGgo" + "Ab1+" * 2000 + "'"])
+def test_long_literals_without_secrets(literal):
+    assert lines(f"key = {literal}\n") == []
+
+
 def test_nested_references_are_no_credentials():
     text = 'run: |\n  password=$PW\n  token: ${{ secrets.TOKEN }}\n  api_key = settings.api.key\nlogin: {password: "${PW}", token: changeme}\npem: |\n  -----BEGIN CERTIFICATE-----\n  ' + "MIIabc+/9" * 7 + "\n  -----END CERTIFICATE-----\n"
     assert lines(text, "a.yml") == []
