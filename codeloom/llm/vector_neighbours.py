@@ -5,7 +5,8 @@ nearest cell, and stands to be found in every cell whose centroid is nearly as n
 at random and reduced to one bit a dimension with two correction scalars. A searched vector is rotated too and quantised to four
 bits a dimension; inner products are estimated from the packed bits by population counts, with an error bound. Vectors whose upper
 bound reaches the worst exact similarity so far are reranked exactly; all others cannot (up to the bound's confidence) be among
-the most similar. Copies of one vector are one entry with their smallest ids, so groups of copies cost nothing.
+the most similar. Whatever may tie with the last place is kept until cosines are rounded, then ids decide. Copies of one direction
+(of any length) are one entry with their smallest ids, so groups of copies cost nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ CELL_FACTOR, MOST_CELLS = 3.0, 16_384
 MARGIN, SPILL = 0.3, 12
 #: Standard errors of the bound on estimates.
 CONFIDENCE = 3.0
+#: Similarities in single precision that lie so near may be equal once they are rounded to 6 decimals.
+TIE = 1e-5
+#: Directions are one entry if all their coordinates are equal in steps of 1 / GRID, the step of the cosines.
+GRID = 1e6
 #: A cell is worked off in blocks of so many searched and so many found vectors at most.
 QUERY_BLOCK, MEMBER_BLOCK = 20_000, 60_000
 
@@ -128,7 +133,8 @@ class OneBitCodes:
 
 
 def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each searched unit vector, the positions in ``found`` of the k most similar (in single precision), unordered."""
+    """For each searched unit vector, the positions in ``found`` of the k most similar (in single precision) and of all that may
+    tie with the k-th, unordered."""
     codes = OneBitCodes(found, centre, turn)
     out: list[np.ndarray] = []
     n = len(found)
@@ -144,7 +150,7 @@ def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, tur
         exact = np.einsum("qd,qkd->qk", q, found[likely])
         kth = np.partition(exact, max(0, first - k), axis=1)[:, max(0, first - k)]
         estimate += CONFIDENCE * width
-        may = estimate >= kth[:, None] - 1e-6
+        may = estimate >= kth[:, None] - TIE
         np.put_along_axis(may, likely, False, axis=1)
         rows, columns = np.nonzero(may)
         sims = np.empty(len(rows), np.float32)
@@ -154,7 +160,7 @@ def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, tur
         for i in range(len(q)):
             places = np.concatenate([likely[i], columns[bounds[i] : bounds[i + 1]]])
             values = np.concatenate([exact[i], sims[bounds[i] : bounds[i + 1]]])
-            out.append(places[np.argpartition(values, len(values) - k)[-k:]] if len(values) > k else places)
+            out.append(places[values >= np.partition(values, len(values) - k)[-k] - TIE] if len(values) > k else places)
     return out
 
 
@@ -184,11 +190,15 @@ def _cell_searcher(centroids: np.ndarray, turn: np.ndarray, k: int):
         ids = table.column("ids").to_pylist()
         q, m = np.flatnonzero(asked), np.flatnonzero(held)
         units = unit(raw)
+        by_id = np.empty(len(vid), np.int64)  # places of the entries' smallest ids in order
+        by_id[sorted(range(len(vid)), key=vid.__getitem__)] = np.arange(len(vid))
         rows: dict[str, list] = {"vid": [], "ids": [], "near": [], "sims": []}
-        for i, places in zip(q, search_cell(units[q], units[m], centroids[cell], turn, want + 3)) if len(m) else ():
+        for i, places in zip(q, search_cell(units[q], units[m], centroids[cell], turn, want)) if len(m) else ():
             others = m[places]
             sims = _exact(raw[i], raw[others])
-            near, values = _nearest([(s, x) for s, j in zip(sims.tolist(), others) for x in ids[j]], want)
+            # later entries hold no id that comes before the smallest ids of these
+            first = np.lexsort((by_id[others], -sims))[:want]
+            near, values = _nearest([(s, x) for s, j in zip(sims[first].tolist(), others[first]) for x in ids[j]], want)
             for column, value in zip(rows, (vid[i], ids[i], near, values)):
                 rows[column].append(value)
         return pa.table(rows, schema=pa.schema([("vid", pa.string()), ("ids", pa.list_(pa.string())), ("near", pa.list_(pa.string())), ("sims", pa.list_(pa.float64()))]))
@@ -249,17 +259,20 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFram
     ``vectors`` needs id, embedding, seq; other columns are ignored. Usable are arrays of exactly ``dimensions`` finite numbers,
     not all zero; rows with a null id or another embedding are left out. Of several usable rows with one id the one with the
     highest seq counts (null is lowest). Equal similarities rank by id. With fewer than k + 1 vectors, each gets what there is.
-    Results are exact but for vectors that stand in no common cell or fall below the error bound.
+    Results are exact but for vectors that stand in no common cell or fall below the error bound; directions that agree in all
+    coordinates to 6 decimals count as one, with the cosines of that of the smallest id.
     """
     spark = vectors.sparkSession
     good = vectors.where(F.col("id").isNotNull() & usable(F.col("embedding"), dimensions)).select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"))
     one = good.groupBy("id").agg(F.max_by("embedding", F.struct("seq", F.xxhash64("embedding"))).alias("embedding"))
-    one = materialize(one.select("id", "embedding", F.xxhash64("embedding").alias("v1"), F.xxhash64(F.lit(7), "embedding").alias("v2")), "vectors")
-    # copies: the smallest ids of each distinct vector stand for it
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+    step = one.withColumn("scale", F.lit(GRID) / length).withColumn("direction", F.transform("embedding", lambda x: F.rint(x.cast("double") * F.col("scale")).cast("int")))
+    one = materialize(step.select("id", "embedding", F.xxhash64("direction").alias("v1"), F.xxhash64(F.lit(7), "direction").alias("v2")), "vectors")
+    # copies: the smallest ids of each distinct direction stand for it
     place = F.row_number().over(Window.partitionBy("v1", "v2").orderBy("id"))
     heads = one.withColumn("place", place).where(F.col("place") <= k + 1)
     entries = materialize(
-        heads.groupBy("v1", "v2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("embedding").alias("embedding")).select(F.col("ids")[0].alias("vid"), "ids", "embedding", F.xxhash64(F.col("ids")[0], F.lit(3)).alias("h")),
+        heads.groupBy("v1", "v2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("embedding", "id").alias("embedding")).select(F.col("ids")[0].alias("vid"), "ids", "embedding", F.xxhash64(F.col("ids")[0], F.lit(3)).alias("h")),
         "vector-entries",
     )
     n = entries.count()

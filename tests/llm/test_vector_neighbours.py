@@ -100,3 +100,22 @@ def test_few_and_no_vectors(spark):
     assert neighbours(one).count() == 0 and neighbours(one.limit(0)).count() == 0
     two = frame(spark, [("a", [1.0] * 64, None), ("b", [1.0] * 63 + [-1.0], 1)])
     assert collect(neighbours(two)) == {"a": [("b", 0.96875)], "b": [("a", 0.96875)]}
+
+
+def test_ties_of_scaled_and_noisy_copies_go_by_id(spark):
+    r = np.random.default_rng(3)
+    x = clustered(500, 64, 5)
+    x[:150] = x[0] * r.uniform(0.1, 9, (150, 1)).astype(np.float32)  # one direction, other lengths
+    x[150:300] = x[150] * (1 + 1e-6 * r.standard_normal((150, 64))).astype(np.float32)  # noise of floats
+    ids = [f"n{i:04d}" for i in r.permutation(len(x))]
+    found, truth = collect(neighbours(frame(spark, [(i, v, 1) for i, v in zip(ids, x)]))), brute(ids, x, 5)
+    for i in ids[:300]:
+        assert found[i] == truth[i], i
+    assert recall(found, truth) > 0.98
+
+
+def test_cell_search_keeps_all_that_may_tie():
+    x = unit(clustered(400, 64))
+    x[100:160] = x[100]
+    for places in search_cell(x[100:160], x, x.mean(axis=0), rotation(64), 6):
+        assert set(places) >= set(range(100, 160))
