@@ -56,15 +56,15 @@ named_exports = '{' (export_name (',' export_name)* ','?)? '}'
 export_name = type_only? (WORD | STR) ('as' (WORD | STR))?
 expression = assign (',' assign)*
 expressionS = assignS (',' assign)*
-assign = operand tail | yield
-assignS = operandS tail | yield
-assignN = operandN tail | yield
+assign = unary prefix* primary suffix* 'POST'? tail | 'new'* primary suffix* placed | yield
+assignS = unary prefix* primary suffix* 'POST'? tail | 'new'+ primary suffix* placed | primaryS suffix* placed | yield
+assignN = unary prefix* primary suffix* 'POST'? tail | 'new'+ primary suffix* placed | primaryN suffix* placed | yield
+placed = ASSIGN assign | 'POST'? tail
 yield = 'yield' '*'? assign?
-tail = (BINARY operand | ASSIGN assign | '?' assign ':' assign | casts)*
+tail = (BINARY operand | casts)* ('?' assign ':' assign)?
 operand = prefix* primary suffix* ('POST')?
-operandS = prefix+ primary suffix* ('POST')? | primaryS suffix* ('POST')?
-operandN = prefix+ primary suffix* ('POST')? | primaryN suffix* ('POST')?
-prefix = 'delete' | 'void' | 'typeof' | '+' | '-' | '~' | '!' | 'await' | '++' | '--' | 'new' | assertion
+prefix = unary | 'new'
+unary = 'delete' | 'void' | 'typeof' | '+' | '-' | '~' | '!' | 'await' | '++' | '--' | assertion
 suffix = '.' (WORD | PRIVATE) | '?.' (WORD | PRIVATE | '[' expression ']' | type_args? arguments | template) | '[' expression ']' | arguments | template | ts_suffix
 arguments = '(' (argument (',' argument)* ','?)? ')'
 argument = '...'? assign
@@ -169,9 +169,19 @@ _TEXT = re.compile(r"[^<{}>]*+")
 _RESTRICTED = frozenset(("return", "break", "continue", "throw"))
 
 
+def _outside_functions(rules: str) -> str:
+    """Rules by which statements outside of functions hold no return; TypeScript's parser leaves that to its checker."""
+    names = ("statement", "block", "for", "switch", "try")
+    outer = []
+    for name in names:
+        rule = re.search(rf"(?m)^{name} = .*(?:\n \|.*)*", rules)[0].replace("'return' expression? semi | ", "")
+        outer.append(re.sub(rf"(?<!')\b({'|'.join(names)})\b(?!')", r"\1_outside", rule))
+    return rules.replace("item = statement |", "item = statement_outside |") + "\n".join(outer) + "\n"
+
+
 @cache
 def grammar(types: bool, elements: bool) -> Grammar:
-    rules = RULES + (TYPES if types else "") + (ELEMENTS if elements else "")
+    rules = (RULES if types else _outside_functions(RULES)) + (TYPES if types else "") + (ELEMENTS if elements else "")
     if types and elements:
         rules = rules.replace("assertion = '<' type '>'\n", "")
     names = {"ID", *CONTEXTUAL}

@@ -197,3 +197,31 @@ def test_operator(spark):
     assert rates[("r", "python")] == (2, 1, 0.5) and rates[(None, "ts")] == (1, 1, 1.0) and rates[("r", "js")] == (3, 1, 0.333333)
     assert unparsable(files.limit(0)).count() == 0 and failure_rates(files.limit(0)).count() == 0
     assert failure("x = f'{f'{1}'}'\n", "py") is None
+
+
+@pytest.mark.parametrize("text", ["def f(a=1, b): pass\n", "x = 1\nf(a=1, b)\n", "f() = 1\n", "1 += x\n", "for 1 in x: pass\n", "x = f'{a b}'\n", "if x:\n\ty\n        z\n", "f(**a, *b)\n", "lambda *, **k: 1\n", "del f()\n"])
+def test_what_only_the_exact_parser_tells(text):
+    with pytest.raises(SyntaxError):
+        ast.parse(text)
+    assert failure(text, "py") is not None
+
+
+def test_limits_of_the_exact_parser_are_no_errors():
+    assert failure("x = " + "(" * 250 + "1" + ")" * 250 + "\n", "py") is None
+    assert failure("x = " + "9" * 5000 + "\n", "py") is None
+
+
+@pytest.mark.parametrize("text", ["a + b = c", "!a = b", "a++ = b", "a ? b : c + d = e", "a || b = c", "x = a * b += 1", "typeof a = b", "(a, b + c = d)"])
+def test_targets_of_assignments(text):
+    assert [failure(text + ";\n", ext) for ext in ("js", "jsx", "ts", "tsx")].count(None) == 0
+
+
+@pytest.mark.parametrize("text", ["a.b[c] = d += e", "[a, b] = c", "({ a, b } = c)", "new A().b = 1", "a = b ? c : d = e", "f(x => y = 1, a = b)", "a = b || (c = d)", "x = y => z = 1", "a ? b = 1 : c = 2", "const f = () => a = b", "for (i = 0, j = 1; i < 2; i += 1) a = i"])
+def test_assignments(text):
+    assert [failure(text + ";\n", ext) for ext in ("js", "jsx", "ts", "tsx")] == [None] * 4
+
+
+def test_return_outside_functions():
+    for text in ("return 1;\n", "if (a) { return }\n", "for (;;) return;\n", "try { a() } catch { return }\n", "switch (a) { case 1: return }\n", "l: return\n"):
+        assert failure(text, "js") and failure(text, "jsx") and not failure(text, "ts")
+        assert not failure("function f() { " + text + " }\n", "js") and not failure("x = { m() { " + text + " } }; class A { m() { " + text + "} }; (() => {" + text + "})()\n", "mjs")
