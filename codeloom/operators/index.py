@@ -11,8 +11,8 @@ from ..schema import CONFIDENCE, NODES, stable_id
 from ..session import materialize
 from .resolve import directories, folder_of, lexical_targets, resolve_modules, scope_prefixes
 
-#: Rounds of resolution through bindings and imports; what needs more stays unresolved.
-ROUNDS = 3
+#: Rounds of resolution through bindings and imports at most, as many as the reference's; they end when no query is open.
+ROUNDS = 20
 # fixed values: names of operations on models, and bases that make a class a model
 WRITES = ("create", "save", "update", "delete", "add", "insert", "insert_one")
 READS = ("find", "find_one", "filter", "get", "all", "select", "query")
@@ -55,9 +55,12 @@ class Resolver:
         """(qid, id) of the queries that name a known symbol or file; at most one id each.
 
         One round looks up scopes and own members, and turns what is left into queries about bindings and imports, which the next
-        round answers all at once.
+        round answers all at once. A query that leads back to one it came from (``seen``) ends there.
         """
-        asked = materialize(queries.select("qid", *_AT, F.regexp_replace("target", r"\(\)$", "").alias("target"), "scope"), "queries")
+        key = F.xxhash64(*_AT, "target", "scope")
+        seen = F.col("seen") if "seen" in queries.columns else F.array().cast("array<bigint>")
+        fresh = queries.withColumn("seen", seen).where(~F.array_contains("seen", key))
+        asked = materialize(fresh.select("qid", *_AT, F.regexp_replace("target", r"\(\)$", "").alias("target"), "scope", F.concat("seen", F.array(key)).alias("seen")), "queries")
         if asked.isEmpty():
             return asked.select("qid", F.lit("").alias("id")).limit(0)
         shadow = materialize(self._shadow_hits(asked), "shadow-hits")
@@ -71,8 +74,8 @@ class Resolver:
         rest = live.join(local, "qid", "left_anti")
         bound = materialize(self._bound(rest), "bound")
         onward = materialize(self._imported(rest.join(shadow, "qid", "left_anti")), "imported")
-        sub = bound.select(F.col("sub").alias("qid"), *_AT, F.col("bound").alias("target"), F.col("prefix").alias("scope")).unionByName(
-            onward.where("target <> ''").select(F.xxhash64("qid", F.lit("import")).alias("qid"), *_AT, "target", F.lit("").alias("scope"))
+        sub = bound.select(F.col("sub").alias("qid"), *_AT, F.col("bound").alias("target"), F.col("prefix").alias("scope"), "seen").unionByName(
+            onward.where("target <> ''").select(F.xxhash64("qid", F.lit("import")).alias("qid"), *_AT, "target", F.lit("").alias("scope"), "seen")
         )
         inner = self.resolve(sub, rounds - 1)
         whole = onward.where("target = ''").join(self.files, _AT).select("qid", "id")
@@ -88,16 +91,16 @@ class Resolver:
         return classes.withColumn("dotted", F.concat_ws(".", "class", "member")).join(self.symbols.select(*_AT, "dotted", "id"), [*_AT, "dotted"]).select("qid", "id")
 
     def _bound(self, queries: DataFrame) -> DataFrame:
-        """What the receivers of dotted names are bound to, in each scope around: (sub, qid, rank, short, way, member, bound, prefix)."""
+        """What the receivers of dotted names are bound to, in each scope around: (sub, qid, rank, short, way, member, bound, prefix, seen)."""
         parts = F.split("target", r"\.")
         n = F.size(parts)
         dotted = queries.where(F.col("target").contains("."))
-        cut = dotted.select("qid", *_AT, F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct((n - k).alias("short"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("receiver"), F.array_join(F.slice(parts, k + 1, n - k), ".").alias("member")))).alias("c"), F.col("scope"))
-        placed = cut.select("qid", *_AT, "c.short", "c.receiver", "c.member", F.posexplode(scope_prefixes(F.col("scope"))).alias("rank", "prefix"))
+        cut = dotted.select("qid", *_AT, "seen", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct((n - k).alias("short"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("receiver"), F.array_join(F.slice(parts, k + 1, n - k), ".").alias("member")))).alias("c"), F.col("scope"))
+        placed = cut.select("qid", *_AT, "seen", "c.short", "c.receiver", "c.member", F.posexplode(scope_prefixes(F.col("scope"))).alias("rank", "prefix"))
         is_own = F.col("receiver").rlike(r"^(self|this)\.")
         keys = F.when(is_own, F.array(F.concat_ws(":", "prefix", "receiver"), F.concat(F.col("prefix"), F.lit(".__init__:"), F.col("receiver")), F.concat(F.col("prefix"), F.lit(".constructor:"), F.col("receiver")))).otherwise(F.array(F.concat_ws(":", "prefix", "receiver")))
         tried = placed.select("*", F.posexplode(keys).alias("way", "key")).join(self.bindings, [*_AT, "key"])
-        return tried.select(F.xxhash64("qid", "rank", "short", "way").alias("sub"), "qid", *_AT, "rank", "short", "way", "member", "bound", "prefix")
+        return tried.select(F.xxhash64("qid", "rank", "short", "way").alias("sub"), "qid", *_AT, "rank", "short", "way", "member", "bound", "prefix", "seen")
 
     def _members(self, bound: DataFrame, classes: DataFrame) -> DataFrame:
         """Members of the classes that receivers are bound to: the innermost scope and the longest receiver that lead somewhere win."""
@@ -107,13 +110,13 @@ class Resolver:
         return hits.join(members, ["repository_id", "in_path", "dotted"]).groupBy("qid").agg(F.min_by("id", F.struct("rank", "short", "way")).alias("id"))
 
     def _imported(self, queries: DataFrame) -> DataFrame:
-        """What an imported name is called in the file it comes from: (qid, repository_id, file_path, target); "" is the file itself."""
+        """What an imported name is called in the file it comes from: (qid, repository_id, file_path, target, seen); "" is the file itself."""
         parts = F.split("target", r"\.")
-        linked = queries.select("qid", *_AT, "target", parts[0].alias("local")).join(self.imports.where("to is not null").select(*_AT, "local", "imported", "to", "default_name"), [*_AT, "local"])
+        linked = queries.select("qid", *_AT, "target", "seen", parts[0].alias("local")).join(self.imports.where("to is not null").select(*_AT, "local", "imported", "to", "default_name"), [*_AT, "local"])
         suffix = F.regexp_extract("target", r"^[^.]*\.?(.*)$", 1)
         head = F.when(F.col("imported") == "default", F.coalesce("default_name", F.lit(""))).when(F.col("imported") == "*", "").otherwise(F.col("imported"))
         name = F.concat_ws(".", F.when(head != "", head), F.when(suffix != "", suffix))
-        return linked.select("qid", "repository_id", F.col("to").alias("file_path"), name.alias("target"))
+        return linked.select("qid", "repository_id", F.col("to").alias("file_path"), name.alias("target"), "seen")
 
 
 def _edges(rows: DataFrame, kind: Column | str, resolution: Column | str, method: str = "syntax") -> DataFrame:

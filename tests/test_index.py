@@ -123,3 +123,16 @@ def test_ids_survive_edits_and_fingerprints_do_not(spark):
 def test_no_source_files(spark):
     rows = spark.createDataFrame([("r", "a.txt", "x"), ("r", None, "x"), ("r", "b.py", None)], "repository_id string, file_path string, text string")
     assert extracted(rows).count() == 0
+
+
+def test_long_ways_and_loops_of_reexports(spark):
+    tree = {
+        "deep/impl.py": "class Service:\n    def run(self): pass\n", "deep/a0/__init__.py": "from deep.impl import Service\n",
+        **{f"deep/a{i}/__init__.py": f"from deep.a{i - 1} import Service\n" for i in range(1, 7)},
+        "main.py": "from deep.a1 import Service\nfrom deep.a6 import Service as Far\nfrom loop.x import Lost\nsvc = Service()\nfar = Far()\nlost = Lost()\ndef near_call():\n    svc.run()\ndef far_call():\n    far.run()\ndef lost_call():\n    lost.run()\n",
+        "loop/x.py": "from loop.y import Lost\n", "loop/y.py": "from loop.x import Lost\n", "self.py": "a = b.f()\nb = a.g()\ndef h():\n    a.k()\n",
+    }
+    graph, _ = index_files(spark.createDataFrame([("deep", p, t) for p, t in tree.items()], "repository_id string, file_path string, text string"))
+    found = triples(graph)
+    assert {("near_call", "CALLS", "Service.run"), ("far_call", "CALLS", "Service.run")} <= found
+    assert ("lost_call", "CALLS", "lost.run") in triples(graph, "unresolved")
