@@ -12,11 +12,25 @@ from .graph import PropertyGraph
 from .operators import search, structure, traverse
 
 LONGEST_ARGUMENT, SOURCE_PART = 4000, 6000
+# bounds of what tools return: search results, nodes and hops around a symbol
+TOOL_RESULTS, TOOL_NODES, TOOL_HOPS = 8, 50, 3
 # fixed values: names of the tools with the arguments each takes
 TOOLS = {
-    "semantic_search": ("query",), "search_symbol": ("query",), "search_code": ("query",), "get_symbol": ("symbol_id",), "get_source": ("symbol_id",), "find_callers": ("symbol_id",), "find_callees": ("symbol_id",), "get_neighbors": ("symbol_id", "depth"),
-    "shortest_path": ("source_id", "target_id"), "trace_endpoint": ("symbol_id",), "analyze_impact": ("symbol_id",), "repository_overview": (), "get_dependencies": ("symbol_id",), "get_dependents": ("symbol_id",),
-}
+    "semantic_search": ("query",),
+    "search_symbol": ("name",),
+    "get_symbol": ("symbol_id",),
+    "get_source": ("symbol_id",),
+    "find_callers": ("symbol_id",),
+    "find_callees": ("symbol_id",),
+    "get_neighbors": ("symbol_id", "depth"),
+    "shortest_path": ("source_id", "target_id"),
+    "trace_endpoint": ("endpoint_id",),
+    "analyze_impact": ("symbol_id",),
+    "repository_overview": (),
+    "search_code": ("query",),
+    "get_dependencies": ("symbol_id",),
+    "get_dependents": ("symbol_id",),
+}
 
 
 class GraphEngine:
@@ -82,20 +96,21 @@ class GraphEngine:
 
     def tools(self) -> dict[str, Callable[..., DataFrame]]:
         """The tools by name."""
+        near = lambda id_, depth=1, types=(), direction="both": self.neighbours(id_, min(TOOL_HOPS, depth), types, direction, TOOL_NODES)
         return {
-            "semantic_search": lambda query: self.find(query, "hybrid"),
-            "search_symbol": lambda query: self.find(query, "symbol"),
-            "search_code": lambda query: self.find(query, "text"),
+            "semantic_search": lambda query: self.find(query, "hybrid", TOOL_RESULTS),
+            "search_symbol": lambda name: self.find(name, "symbol", TOOL_RESULTS),
             "get_symbol": self.symbol,
             "get_source": self.source,
-            "find_callers": self.callers,
-            "find_callees": self.callees,
-            "get_neighbors": lambda symbol_id, depth=1: self.neighbours(symbol_id, depth),
+            "find_callers": lambda symbol_id: near(symbol_id, types=("CALLS",), direction="in"),
+            "find_callees": lambda symbol_id: near(symbol_id, types=("CALLS",), direction="out"),
+            "get_neighbors": near,
             "shortest_path": lambda source_id, target_id: self.paths(self.spark.createDataFrame([(source_id, target_id)], "source string, target string")),
             "trace_endpoint": self.traces,
             "analyze_impact": self.impacts,
             "repository_overview": self.overview,
-            "get_dependencies": lambda symbol_id: self.neighbours(symbol_id, 3, direction="out"),
+            "search_code": lambda query: self.find(query, "text", TOOL_RESULTS),
+            "get_dependencies": lambda symbol_id: near(symbol_id, TOOL_HOPS, direction="out"),
             "get_dependents": self.impacts,
         }
 

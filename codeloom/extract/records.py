@@ -6,7 +6,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-SYMBOL = "id string, name string, type string, dotted string, start_line int, end_line int, signature string, source string, docstring string, parameters string, returns string, exported boolean, hash string, place int"
+SYMBOL = "id string, name string, type string, dotted string, start_line int, end_line int, signature string, source string, docstring string, parameters string, returns string, exported boolean, is_default boolean, hash string, place int"
 REFERENCE = "owner string, target string, kind string, line int, scope string, arguments string"
 SCHEMA = (
     "repository_id string, file_path string, id string, module string, language string, end_line int, hash string, source string, warnings array<string>, "
@@ -50,12 +50,13 @@ class FileRecord:
     def __post_init__(self) -> None:
         self.id = key_of(self.repository_id, self.path)
 
-    def symbol(self, kind: str, scope: str, name: str, start: int, end: int, source: str, signature: str, *, docstring: str = "", parameters: str = "", returns: str = "", exported: bool = False, owner: str = "") -> tuple[str, str]:
-        """Add a symbol and its definition by ``owner``; returns (id, dotted name)."""
+    def symbol(self, kind: str, scope: str, name: str, start: int, end: int, source: str, signature: str, *, docstring: str = "", parameters: str = "", returns: str = "", exported: bool = False, owner: str = "", at: int = 0) -> tuple[str, str]:
+        """Add a symbol and its definition by ``owner``; returns (id, dotted name). ``at`` is its place in the text, by which an
+        exported symbol is told to be the default one."""
         dotted = f"{scope}.{name}" if scope else name
         key = key_of(self.repository_id, self.path, dotted, kind)
         self.symbols.append(
-            {"id": key, "name": name, "type": kind, "dotted": dotted, "start_line": start, "end_line": end, "signature": signature.strip().rstrip(":{"), "source": source, "docstring": docstring, "parameters": parameters, "returns": returns, "exported": exported, "hash": key_of(source), "place": len(self.symbols)}
+            {"id": key, "name": name, "type": kind, "dotted": dotted, "start_line": start, "end_line": end, "signature": signature.strip().rstrip(":{"), "source": source, "docstring": docstring, "parameters": parameters, "returns": returns, "exported": exported, "is_default": exported and "export default" in self.text[max(0, at - 30) : at + 15], "hash": key_of(source), "place": len(self.symbols)}
         )
         self.reference(owner or self.id, key, "DEFINES", start)
         return key, dotted

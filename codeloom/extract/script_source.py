@@ -7,8 +7,9 @@ import re
 from .records import DOTTED, NAME, FileRecord
 
 _TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)|(?P<str>"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|`(?:[^`\\]|\\[\s\S])*+`)|(?P<num>\d[\w.]*+)|(?P<id>[#@]?[A-Za-z_$\u0080-￿][\w$]*+)|(?P<p>=>|\?\.|\.\.\.|[=!<>]==?|&&|\|\||\?\?|\+\+|--|[{}()\[\];,.:?=<>+\-*/%&|^!~@\#])"""
+    r"""(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)|(?P<str>"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+')|(?P<tick>`)|(?P<num>\d[\w.]*+)|(?P<id>[#@]?[A-Za-z_$\u0080-￿][\w$]*+)|(?P<p>=>|\?\.|\.\.\.|[=!<>]==?|&&|\|\||\?\?|\+\+|--|[{}()\[\];,.:?=<>+\-*/%&|^!~@\#])"""
 )
+_PIECE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:`|\$\{)")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+")
 _NOT_CALLED = frozenset("if for while switch catch function return typeof await new delete void in of else do case throw yield instanceof import super class extends default export async".split())
 _MODIFIERS = frozenset("public private protected static async readonly override abstract declare get set accessor".split())
@@ -18,6 +19,7 @@ _VERB = re.compile(r"[\w.]+\.(get|post|put|patch|delete|use|all)\Z")
 _ROUTE_FILES = ("route.ts", "route.tsx")
 _HTTP = frozenset("GET POST PUT PATCH DELETE HEAD OPTIONS".split())
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
+_OPENS = {close: open_ for open_, close in _CLOSES.items()}
 
 
 class _Scan:
@@ -27,13 +29,16 @@ class _Scan:
         self.word: list[str] = []
         self.at: list[int] = []
         self.end: list[int] = []
+        self.pieces: set[int] = set()  # tokens that carry a template on
         self.comments: dict[int, str] = {}  # index of the token behind -> last comment before it
         self.lines = [0, *[m.end() for m in re.finditer("\n", self.text)]]
         self.tokenise()
         self.pair_up()
 
     def tokenise(self) -> None:
+        """Tokens of the text. A template is a string token for each piece of its text, and brackets around the code between them."""
         text, at, n, before = self.text, 0, len(self.text), ""
+        braces: list[bool] = []  # open braces: whether code in a template ends with it
         while at < n:
             if text[at] == "/" and (not before or before in _BEFORE_VALUE or before in ("return", "typeof", "case")) and (m := _REGEX.match(text, at)):
                 self.add("re", m[0], at, m.end())
@@ -47,7 +52,23 @@ class _Scan:
                 continue
             if m.lastgroup == "comment":
                 self.comments[len(self.word)] = m[0]
+            elif m.lastgroup == "tick" or m[0] == "}" and braces and braces[-1]:
+                if m[0] == "}":
+                    braces.pop()
+                    self.add("p", ")", m.start(), m.end())
+                    self.pieces.add(len(self.word))
+                if piece := _PIECE.match(text, m.end()):
+                    self.add("str", "`" + piece[0], m.end() if m[0] == "}" else m.start(), piece.end())
+                    at, before = piece.end(), "str"
+                    if piece[0].endswith("${"):
+                        braces.append(True)
+                        self.add("p", "(", at - 1, at)
+                        before = "("
+                    continue
+                self.pieces.discard(len(self.word))
             else:
+                if m.lastgroup == "p" and m[0] in "{}":
+                    braces.append(False) if m[0] == "{" else braces and braces.pop()
                 self.add(m.lastgroup, m[0], m.start(), m.end())
                 before = m[0] if m.lastgroup in ("p", "id") else m.lastgroup
             at = m.end()
@@ -59,7 +80,11 @@ class _Scan:
         self.end.append(end)
 
     def pair_up(self) -> None:
-        """Index of the bracket that closes each bracket, and back; unclosed ones close at the end."""
+        """Index of the bracket that closes each bracket, and back; unclosed ones close at the end. Angle brackets pair within the
+        brackets and the statement they stand in."""
+        self.angle: dict[int, int] = {}
+        waiting = dict.fromkeys("([{", 0)
+        angles: list[list[int]] = [[]]
         self.close: dict[int, int] = {}
         self.open: dict[int, int] = {}
         stack: list[int] = []
@@ -68,15 +93,26 @@ class _Scan:
                 continue
             if w in "([{" and len(w) == 1:
                 stack.append(i)
+                waiting[w] += 1
+                angles.append([])
             elif w in ")]}" and len(w) == 1:
-                for j in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                    if _CLOSES[self.word[stack[j]]] == w:
-                        for k2 in stack[j + 1 :]:
-                            self.close[k2] = i
-                        self.close[stack[j]] = i
-                        self.open[i] = stack[j]
-                        del stack[j:]
+                if not waiting[_OPENS[w]]:
+                    continue  # nothing for it to close
+                while stack:
+                    j = stack.pop()
+                    angles.pop()
+                    waiting[self.word[j]] -= 1
+                    self.close[j] = i
+                    if _CLOSES[self.word[j]] == w:
+                        self.open[i] = j
                         break
+            elif w == "<":
+                angles[-1].append(i)
+            elif w == ">":
+                if angles[-1]:
+                    self.angle[angles[-1].pop()] = i
+            elif w == ";":
+                angles[-1].clear()
         self.broken = bool(stack)
         for j in stack:
             self.close[j] = len(self.word)
@@ -95,20 +131,7 @@ class _Scan:
 
     def skip_angle(self, i: int) -> int:
         """Behind type parameters or arguments that open at i."""
-        if not self.is_(i, "<"):
-            return i
-        depth = 0
-        for j in range(i, min(len(self.word), i + 400)):
-            w = self.word[j]
-            if w == "<":
-                depth += 1
-            elif w == ">":
-                depth -= 1
-                if not depth:
-                    return j + 1
-            elif w in (";", ")", "}") and self.kind[j] == "p" and j not in self.open:
-                return i
-        return i
+        return self.angle.get(i, i - 1) + 1 if self.is_(i, "<") else i
 
     def skip_type(self, i: int, stops: tuple[str, ...]) -> int:
         """First token behind the type that begins at i, at one of ``stops`` outside brackets."""
@@ -138,6 +161,8 @@ class _Scan:
     def chain(self, i: int) -> int:
         """First token of the member chain that ends at token i."""
         while True:
+            while i in self.pieces:  # back to the head of a template
+                i = self.open[i - 1] - 1 if i - 1 in self.open else i - 2
             if self.word[i] in (")", "]") and self.kind[i] == "p" and i in self.open:
                 o = self.open[i]
                 if o > 0 and (self.kind[o - 1] == "id" and self.word[o - 1] not in _NOT_CALLED or self.word[o - 1] in (")", "]")):
@@ -217,7 +242,7 @@ class _Scan:
         body_at = self.at[body] if body < len(self.at) and body < behind else last_at
         source = self.text[first_at:last_at]
         key, dotted = self.record.symbol(
-            kind, scope, name, self.line(first_at), self.line(last_at), source, self.text[first_at:body_at] if body_at > first_at else source[:250], docstring=doc, parameters=self.slice(paren, paren + 1 if single else after if not returns else self.close.get(paren, paren) + 1).strip() if not single else "", returns=returns, exported=exported, owner=owner
+            kind, scope, name, self.line(first_at), self.line(last_at), source, self.text[first_at:body_at] if body_at > first_at else source[:250], at=first_at, docstring=doc, parameters=self.slice(paren, paren + 1 if single else after if not returns else self.close.get(paren, paren) + 1).strip() if not single else "", returns=returns, exported=exported, owner=owner
         )
         if single:
             self.record.shadowed.add(f"{dotted}:{self.word[paren]}")
@@ -263,7 +288,7 @@ class _Scan:
         stop = self.close.get(j, len(self.word))
         last_at = self.end[min(stop, len(self.word) - 1)]
         first_at = self.at[start]
-        key, dotted = self.record.symbol("Interface" if interface else "Class", scope, name, self.line(first_at), self.line(last_at), self.text[first_at:last_at], self.text[first_at : self.at[j]], docstring=doc, exported=exported, owner=owner)
+        key, dotted = self.record.symbol("Interface" if interface else "Class", scope, name, self.line(first_at), self.line(last_at), self.text[first_at:last_at], self.text[first_at : self.at[j]], at=first_at, docstring=doc, exported=exported, owner=owner)
         self.record.bases(key, names["extends"], names["implements"], self.line(first_at), scope)
         if decorators:
             self.record.decorated(decorators, key, dotted, "Class", class_name, self.line(first_at), self.line(first_at))
@@ -469,7 +494,7 @@ class _Scan:
                 return
         a = self.chain(last)
         target = self.slice(a, last + 1)
-        if not target or self.word[a] in _NOT_CALLED and self.word[a] != "super" or len(target) > 300:
+        if not target or self.word[a] in _NOT_CALLED and self.word[a] != "super":
             return
         stop = self.close.get(i, len(self.word))
         line = self.line(self.at[a])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -18,8 +19,10 @@ INTENTS = (
     ("dependency", ("calls", "uses", "depends", "depend on", "dependents", "dependencies")),
     ("discovery", ("where", "find", "search")),
 )
-# fixed values: (items of a list, characters of a string) to try, one after the other
-LIMITS = ((20, 1200), (10, 1200), (5, 1200), (2, 1200), (1, 1200), (1, 600), (1, 300), (1, 150), (1, 100))
+# fixed values: fields of a node that an answer may rest on
+EVIDENCE_FIELDS = ("id", "name", "type", "file_path", "start_line", "end_line", "signature", "source", "docstring")
+#: One piece of evidence takes at most so many characters of JSON, and keeps so many items of a list and characters of a string.
+MOST_EVIDENCE, MOST_ITEMS, MOST_CHARACTERS, LEAST_CHARACTERS = 7000, 20, 1200, 100
 
 
 def first_label(text: Column, labels: tuple[tuple[str, tuple[str, ...]], ...], otherwise: str) -> Column:
@@ -86,23 +89,57 @@ def answer_events(answers: DataFrame) -> DataFrame:
     return parts.select("answer_id", "place", event.alias("event"))
 
 
-def shortened(value: Any, items: int, characters: int) -> Any:
-    """A JSON value with lists and strings cut, and without vectors and empty fields."""
-    match value:
-        case dict():
-            return {k: shortened(x, items, characters) for k, x in value.items() if k != "embedding" and x is not None and x != ""}
-        case list():
-            return [shortened(x, items, characters) for x in value[:items]]
-        case str():
-            return value[:characters]
-    return value
+class EvidenceBudget:
+    """Characters of JSON left for evidence; each piece is cut so that it fits, and what it takes is gone for the next ones.
+
+    Of a piece, the longest lists that fit are kept (MOST_ITEMS at most); if even single items are too long, the longest strings.
+    Structures are never broken, vectors, empty fields and fields of nodes beyond EVIDENCE_FIELDS are left out. What can't be
+    made to fit becomes a notice and takes nothing.
+    """
+
+    NOTICE = {"notice": "too large"}
+
+    def __init__(self, characters: int):
+        self.left = characters
+
+    def take(self, value: Any) -> Any:
+        """``value`` as it fits, paid from the budget."""
+        room = max(0, min(MOST_EVIDENCE, self.left))
+        kept = _widest(1, MOST_ITEMS, lambda n: _pruned(value, n, MOST_CHARACTERS), room) or _widest(LEAST_CHARACTERS, MOST_CHARACTERS, lambda n: _pruned(value, 1, n), room)
+        if kept is None:
+            return dict(self.NOTICE)
+        self.left -= len(kept)
+        return json.loads(kept)
+
+
+def _widest(low: int, high: int, cut: Callable[[int], Any], room: int) -> str | None:
+    """JSON of the largest cut from ``low`` to ``high`` of at most ``room`` characters, by bisection; None if there is none."""
+    best = None
+    while low <= high:
+        middle = (low + high) // 2
+        text = json.dumps(cut(middle))
+        if len(text) <= room:
+            best, low = text, middle + 1
+        else:
+            high = middle - 1
+    return best
+
+
+def _pruned(value: Any, items: int, characters: int) -> Any:
+    """A JSON value with long lists and strings cut."""
+    if isinstance(value, str):
+        return value[:characters]
+    if isinstance(value, list):
+        return [_pruned(x, items, characters) for x in value[:items]]
+    if not isinstance(value, dict):
+        return value
+    fields = value.keys() & set(EVIDENCE_FIELDS) if {"id", "file_path", "type"} <= value.keys() else value.keys() - {"embedding"}
+    return {k: _pruned(x, items, characters) for k, x in value.items() if k in fields and not (x is None or x == "")}
 
 
 def fit_evidence(value: Any, budget: int) -> Any:
-    """A JSON value cut to at most ``budget`` characters of JSON, by the first of LIMITS that suffices; structures are never broken.
-    What can't be made to fit becomes a notice."""
-    tries = (shortened(value, *limit) for limit in LIMITS)
-    return next((x for x in tries if len(json.dumps(x)) <= budget), {"notice": "too large"})
+    """One JSON value cut to at most ``budget`` characters of JSON, as :class:`EvidenceBudget` does."""
+    return EvidenceBudget(budget).take(value)
 
 
 def fitted(budget: int):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..extract.runner import extracted
 from ..graph import PropertyGraph
-from ..schema import CONFIDENCE, NODES, stable_id
-from ..session import materialize
+from ..schema import CONFIDENCE, NODES, latest, stable_id
+from ..session import counted, materialize
 from .resolve import directories, folder_of, lexical_targets, resolve_modules, scope_prefixes
 
 #: Rounds of resolution through bindings and imports at most, as many as the reference's; they end when no query is open.
@@ -35,11 +37,8 @@ class Resolver:
         first = modules.select(*_AT, "module", F.col("target_path").alias("path_1"), "package", F.col("kind").alias("kind_1"))
         second = modules.select(*_AT, F.col("module").alias("full"), F.col("target_path").alias("path_2"))
         both = imports.withColumn("full", F.concat_ws(".", "module", "imported")).join(first, [*_AT, "module"], "left").join(second, [*_AT, "full"], "left")
-        defaults = parsed.select("repository_id", F.col("file_path").alias("to"), "source", F.explode(F.filter("symbols", lambda s: s["exported"])).alias("s"))
-        # an exported symbol just behind "export default"
-        place = F.expr("locate(s.source, source)")
-        near = F.substring(F.col("source"), F.greatest(place - 30, F.lit(1)), F.lit(45))
-        named = defaults.where(near.contains("export default")).groupBy("repository_id", "to").agg(F.count("*").alias("n"), F.min("s.name").alias("default_name")).where("n = 1").drop("n")
+        defaults = parsed.select("repository_id", F.col("file_path").alias("to"), F.explode("symbols").alias("s")).where("s.is_default")
+        named = defaults.groupBy("repository_id", "to").agg(F.count("*").alias("n"), F.min("s.name").alias("default_name")).where("n = 1").drop("n")
         whole = F.col("path_1").isNull() & (F.col("imported") != "*") & F.col("path_2").isNotNull()
         self.imports = materialize(
             both.select(*_AT, "local", "module", "line", "package", "kind_1", F.when(whole, F.lit("*")).otherwise(F.col("imported")).alias("imported"), F.coalesce("path_1", F.when(whole | (F.col("path_1").isNull()), F.col("path_2"))).alias("to")).join(named, ["repository_id", "to"], "left"), "imports"
@@ -60,8 +59,8 @@ class Resolver:
         key = F.xxhash64(*_AT, "target", "scope")
         seen = F.col("seen") if "seen" in queries.columns else F.array().cast("array<bigint>")
         fresh = queries.withColumn("seen", seen).where(~F.array_contains("seen", key))
-        asked = materialize(fresh.select("qid", *_AT, F.regexp_replace("target", r"\(\)$", "").alias("target"), "scope", F.concat("seen", F.array(key)).alias("seen")), "queries")
-        if asked.isEmpty():
+        asked, n = counted(fresh.select("qid", *_AT, F.regexp_replace("target", r"\(\)$", "").alias("target"), "scope", F.concat("seen", F.array(key)).alias("seen")), "queries")
+        if not n:
             return asked.select("qid", F.lit("").alias("id")).limit(0)
         shadow = materialize(self._shadow_hits(asked), "shadow-hits")
         blocked = asked.where(~F.col("target").contains(".")).join(shadow.where(~F.col("bound")), "qid", "left_semi").select("qid")
@@ -146,7 +145,8 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
 
     References are resolved as far as imports, bindings, scopes and members of the own class tell, never by a bare name across
     files; others lead to unresolved symbols. Warnings are (repository_id, file_path, warning). Of nodes and edges with one key
-    one is kept: edges the best resolved, nodes the first by type and line.
+    one is kept: edges the best resolved, nodes the last by line. Nodes that hold text are read from the table of parsed files,
+    they aren't written again.
     """
     parsed = materialize(extracted(files), "parsed")
     r = Resolver(parsed)
@@ -154,16 +154,16 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     c, s, lit = F.col, F.col, F.lit
     repos = parsed.select("repository_id").distinct()
     folders = materialize(directories(parsed.select(*at)), "folders")
+    texts = [_nodes(parsed, id=c("id"), name=F.regexp_extract("file_path", r"([^/]*)$", 1), type=lit("File"), repository_id=c("repository_id"), qualified_name=c("file_path"), file_path=c("file_path"), language=c("language"), end_line=c("end_line"), source=c("source"), hash=c("hash"), module=c("module"))]
     nodes = [
         _nodes(repos, id=c("repository_id"), name=lit("Repository"), type=lit("Repository"), repository_id=c("repository_id")),
         _nodes(folders, id=c("id"), name=F.regexp_extract("path", r"([^/]*)$", 1), type=lit("Directory"), repository_id=c("repository_id"), file_path=c("path"), module=c("path")),
-        _nodes(parsed, id=c("id"), name=F.regexp_extract("file_path", r"([^/]*)$", 1), type=lit("File"), repository_id=c("repository_id"), qualified_name=c("file_path"), file_path=c("file_path"), language=c("language"), end_line=c("end_line"), source=c("source"), hash=c("hash"), module=c("module")),
     ]
     symbols = parsed.select(*at, "language", "module", F.explode("symbols").alias("s"))
     fields = {n: s(f"s.{n}") for n in ("id", "name", "type", "start_line", "end_line", "signature", "source", "docstring", "parameters", "returns", "exported", "hash")}
-    nodes.append(_nodes(symbols, **fields, repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module"), qualified_name=F.concat_ws(":", "file_path", "s.dotted")))
+    texts.append(_nodes(symbols, **fields, repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module"), qualified_name=F.concat_ws(":", "file_path", "s.dotted")))
     endpoints = parsed.select(*at, "id", "language", "module", F.explode("endpoints").alias("e"))
-    nodes.append(_nodes(endpoints, id=c("e.id"), name=c("e.name"), qualified_name=c("e.name"), type=lit("Endpoint"), signature=c("e.name"), source=c("e.source"), start_line=c("e.start_line"), end_line=c("e.end_line"), repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module")))
+    texts.append(_nodes(endpoints, id=c("e.id"), name=c("e.name"), qualified_name=c("e.name"), type=lit("Endpoint"), signature=c("e.name"), source=c("e.source"), start_line=c("e.start_line"), end_line=c("e.end_line"), repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module")))
     parent = F.when(folder_of(F.col("file_path")) == "", c("repository_id")).otherwise(stable_id("repository_id", lit("dir"), folder_of(F.col("file_path"))))
     inside = parsed.select("repository_id", "file_path", F.posexplode(F.split("file_path", "/")).alias("i", "_")).where("i > 0")
     up = inside.select("repository_id", "file_path", F.expr("substring_index(file_path, '/', i)").alias("path")).join(folders, ["repository_id", "path"])
@@ -190,7 +190,10 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     open_refs = refs.where("kind <> 'DEFINES'")
     direct = handled.join(known, "target", "left_semi").select("qid", c("target").alias("id"))
     asked = open_refs.select("qid", *_AT, "target", "scope").unionByName(named.select("qid", *_AT, "target", "scope")).unionByName(handled.join(known, "target", "left_anti").select("qid", *_AT, "target", "scope"))
-    found = materialize(r.resolve(asked).unionByName(direct), "resolved")
+    operation = F.element_at(F.split("target", r"\."), -1)
+    calls = refs.where("kind = 'CALLS'").where(operation.isin(*WRITES, *READS)).select("qid", *_AT, "source", "scope", "line", F.when(operation.isin(*WRITES), "WRITES_TO").otherwise("READS_FROM").alias("kind"), F.array_distinct(F.concat(F.array(F.split("target", r"\.")[0]), F.regexp_extract_all("arguments", lit(r"\b([A-Z]\w*)\b"), 1))).alias("models"))
+    of_models = calls.select("*", F.posexplode("models").alias("k", "target")).select(F.xxhash64("qid", "k").alias("qid"), *_AT, "source", "scope", "line", "kind", "target")
+    found = materialize(r.resolve(asked.unionByName(of_models.select("qid", *_AT, "target", "scope"))).unionByName(direct), "resolved")
     edges.append(_edges(refs.where("kind = 'DEFINES'"), "DEFINES", "resolved"))
     shown = named.join(found, "qid").join(r.files.select(*_AT, c("id").alias("source")), _AT).join(r.files.select(c("id")), "id", "left_anti")
     edges.append(_edges(shown.select("source", c("id").alias("target"), "file_path", "line"), "REFERENCES", "resolved"))
@@ -208,25 +211,21 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     edges.append(_edges(lost.select("source", c("id").alias("target"), "file_path", "line"), "HANDLES", "unresolved"))
     # model entities, and what reads and writes them
     models = refs.where(c("kind").isin("EXTENDS", "IMPLEMENTS") & c("target").rlike(_MODEL_BASE)).select("file_path", "line", "source").withColumn("entity", stable_id("source", lit("entity")))
-    entity_nodes = models.select(c("source").alias("of"), "entity").distinct().join(symbols.select(c("s.id").alias("of"), "*"), "of")
-    nodes.append(_nodes(entity_nodes, **{**fields, "id": c("entity"), "type": lit("DatabaseEntity")}, repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module"), qualified_name=F.concat_ws(":", "file_path", "s.dotted")))
+    entities = materialize(models.select(c("source").alias("of"), "entity").distinct(), "entities")
+    entity_nodes = entities.join(symbols.select(c("s.id").alias("of"), "*"), "of")
+    texts.append(_nodes(entity_nodes, **{**fields, "id": c("entity"), "type": lit("DatabaseEntity")}, repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module"), qualified_name=F.concat_ws(":", "file_path", "s.dotted")))
     edges.append(_edges(models.select("source", c("entity").alias("target"), "file_path", "line"), "BELONGS_TO", "resolved", "orm-pattern"))
-    operation = F.element_at(F.split("target", r"\."), -1)
-    calls = refs.where("kind = 'CALLS'").where(operation.isin(*WRITES, *READS)).select("qid", *_AT, "source", "scope", "line", F.when(operation.isin(*WRITES), "WRITES_TO").otherwise("READS_FROM").alias("kind"), F.array_distinct(F.concat(F.array(F.split("target", r"\.")[0]), F.regexp_extract_all("arguments", lit(r"\b([A-Z]\w*)\b"), 1))).alias("models"))
-    each = materialize(calls.select("*", F.posexplode("models").alias("k", "target")).select(F.xxhash64("qid", "k").alias("qid"), *_AT, "source", "scope", "line", "kind", "target"), "model-calls")
-    touched = each.join(r.resolve(each.select("qid", *_AT, "target", "scope")), "qid").join(models.select(c("source").alias("id"), "entity").distinct(), "id")
+    touched = of_models.join(found, "qid").join(entities.withColumnRenamed("of", "id"), "id")
     edges.append(_kinded(touched.select("source", c("entity").alias("target"), "file_path", "line", "kind"), "probable", "orm-pattern"))
-    all_nodes, all_edges = nodes[0], edges[0]
-    for part in nodes[1:]:
-        all_nodes = all_nodes.unionByName(part)
-    for part in edges[1:]:
-        all_edges = all_edges.unionByName(part)
-    first = F.struct("type", "start_line", "file_path", "name")
+    all_edges = reduce(DataFrame.unionByName, edges)
     columns = [f.name for f in NODES.fields[1:]]
-    node_rows = all_nodes.groupBy("id").agg(F.min_by(F.struct(*columns[1:]), first).alias("x")).select("id", "x.*")
+    last = F.struct("start_line", "end_line", "type", "file_path", "qualified_name")
+    bare = reduce(DataFrame.unionByName, nodes).groupBy("id").agg(F.max_by(F.struct(*columns[1:]), last).alias("x")).select("id", "x.*")
+    whole = latest(reduce(DataFrame.unionByName, texts).withColumn("seq", F.col("start_line").cast("long")), *columns)
+    node_rows = materialize(bare, "bare-nodes").unionByName(whole)
     best = F.struct(F.col("confidence"), F.when(F.col("analysis_method") == "syntax", 0).otherwise(1))
     edge_rows = all_edges.groupBy("id").agg(F.max_by(F.struct(*[x for x in all_edges.columns if x != "id"]), best).alias("x")).select("id", "x.*")
-    graph = PropertyGraph(materialize(node_rows.withColumn("seq", F.lit(None).cast("long")), "nodes"), materialize(edge_rows.withColumn("seq", F.lit(None).cast("long")), "edges"))
+    graph = PropertyGraph(node_rows.withColumn("seq", F.lit(None).cast("long")), materialize(edge_rows.withColumn("seq", F.lit(None).cast("long")), "edges"))
     return graph, parsed.select(*_AT, F.explode("warnings").alias("warning"))
 
 

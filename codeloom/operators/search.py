@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MOST_RESULTS, LEAST_CANDIDATES = 50, 30
 #: Queries of no repository that are sent to all nodes at once, about.
 QUERY_BLOCK = 1000
+#: Nodes, or vectors, of one repository that one task compares with its queries; larger repositories are split.
+NODES_A_TASK, VECTORS_A_TASK = 20_000, 100_000
 MODES = ("symbol", "text", "semantic", "hybrid")
 # fixed values: words that say nothing in a query, and types that are no results
 STOP_WORDS = ("what", "where", "does", "the", "this", "that", "how", "which", "are", "is", "if", "it", "to", "from", "a", "an", "of", "in", "handled")
@@ -59,8 +65,8 @@ def search(queries: DataFrame, nodes: DataFrame, mode: str = "hybrid", k: int =
 
     ``queries``: query_id, query, repository_id (null: any). ``nodes``: rows of the node table, one for each id. ``similarities``:
     query_id, id, similarity; without it the semantic mode finds nothing. Scores are rounded to 4; hits score above 0; k is kept
-    within 1 and 50. Queries of a repository meet its nodes only. Queries are a stated set: each side's text is scanned once for
-    each query of its repository, and only scores leave that stage.
+    within 1 and 50. Queries of a repository meet its nodes only. Queries are a stated set: each node's text is shuffled once,
+    large repositories are split into tasks to each of which their queries are sent, and only scores leave that stage.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -82,7 +88,8 @@ def search(queries: DataFrame, nodes: DataFrame, mode: str = "hybrid", k: int =
 
 def _asked_of(asked: DataFrame, found: DataFrame) -> DataFrame:
     """Each query with the nodes of its repository, by an equi-join; queries of no repository meet all nodes, in blocks of QUERY_BLOCK."""
-    out = asked.where("of is not null").withColumnRenamed("of", "repository_id").join(found, "repository_id")
+    mine, parts = split_repositories(asked.where("of is not null").withColumnRenamed("of", "repository_id"), found, NODES_A_TASK)
+    out = mine.join(parts, ["repository_id", "part"]).drop("part")
     anywhere = asked.where("of is null").drop("of")
     n = anywhere.count()
     blocks = -(-n // QUERY_BLOCK)
@@ -92,10 +99,17 @@ def _asked_of(asked: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers in double precision; null where one is all zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def split_repositories(queries: DataFrame, held: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``part``: rows of ``held`` (id, repository_id, ...) of a repository of more than ``most`` rows are
+    spread over several parts, and its queries are repeated for each. The sizes of large repositories are a written table, which
+    Spark broadcasts if it is small."""
+    sizes = held.groupBy("repository_id").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    sizes = materialize(sizes, "large-repositories")
+    parts = F.coalesce("parts", F.lit(1))
+    renewed = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns if c != "parts"])  # noqa: E731  both sides may stem from one table
+    spread = held.join(sizes, "repository_id", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    repeated = queries.join(sizes, "repository_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return renewed(repeated), renewed(spread)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, dimensions: int = 64) -> DataFrame:
@@ -103,15 +117,52 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, dimension
 
     ``queries``: query_id, repository_id, vector. ``vectors``: id, repository_id, embedding, one row for each id. Vectors and
     queries of another dimension, with values that aren't finite, or all zero are left out. The search is exact: queries, a
-    stated set, meet the vectors of their repository, and each task keeps its k best before anything is shuffled.
+    stated set, meet the vectors of their repository as products of matrices in double precision, a block of at most
+    VECTORS_A_TASK vectors a task, and each task keeps its k best, by rounded score, then id.
     """
     good = lambda c: (F.size(c) == dimensions) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(c, lambda x: x != 0)
-    unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(c.cast("array<double>"), F.lit(0.0), lambda s, y: s + y * y)))
-    asked = queries.where(good(F.col("vector"))).select("query_id", "repository_id", unit(F.col("vector")).alias("v"))
-    held = vectors.where(good(F.col("embedding"))).select("id", "repository_id", unit(F.col("embedding")).alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    scored = asked.join(held, "repository_id").select("query_id", "id", F.round((F.lit(1.0) + dot) / 2, 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k).select("query_id", "place", "id", "score")
+    asked = queries.where(good(F.col("vector"))).select("query_id", "repository_id", F.col("vector").cast("array<double>").alias("v"))
+    held = vectors.where(good(F.col("embedding"))).select("id", "repository_id", F.col("embedding").cast("array<double>").alias("v"))
+    mine, parts = split_repositories(asked, held, VECTORS_A_TASK)
+    best = mine.groupBy("repository_id", "part").cogroup(parts.groupBy("repository_id", "part")).applyInArrow(_block_search(k), _SCORED)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k).select("query_id", "place", "id", "score")
+
+
+_SCORED = "query_id string, id string, score double"
+_SCORED_ARROW = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
+
+
+def _unit_rows(table: pa.Table) -> np.ndarray:
+    rows = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _block_search(k: int):
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asked) or not len(held):
+            return _SCORED_ARROW.empty_table()
+        order = np.argsort(np.array(held.column("id").to_pylist(), object), kind="stable")  # ties go to the smaller id
+        held = held.take(pa.array(order))
+        w, q = _unit_rows(held), _unit_rows(asked)
+        n, keep = len(w), min(k, len(w))
+        rows, columns, scores = [], [], []
+        block = max(1, 4_000_000 // n)
+        for at in range(0, len(q), block):
+            score = np.round((1.0 + q[at : at + block] @ w.T) / 2, 6)
+            # the k-th score, then all above it and the first of those equal to it
+            kth = np.partition(score, n - keep, axis=1)[:, n - keep, None]
+            above = score > kth
+            equal = score == kth
+            take = above | (equal & (np.cumsum(equal, axis=1) <= keep - above.sum(axis=1, keepdims=True)))
+            i, j = np.nonzero(take)
+            rows.append(i + at)
+            columns.append(j)
+            scores.append(score[i, j])
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        return pa.Table.from_arrays([asked.column("query_id").take(pa.array(i)).combine_chunks(), held.column("id").take(pa.array(j)).combine_chunks(), pa.array(np.concatenate(scores))], schema=_SCORED_ARROW)
+
+    return search
 
 
 def candidates(k: int) -> int:

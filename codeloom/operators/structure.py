@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..schema import dependency, stable_id
-from ..session import materialize
+from ..session import counted, materialize, new_path, write_counted
 from .traverse import reach, reverse, walk_back
 
 
@@ -60,19 +60,23 @@ def potentially_unused(graph: PropertyGraph, limit: int | None = 50) -> DataFram
     return (placed if limit is None else placed.where(F.col("place") <= limit)).select("repository_id", "id", "place")
 
 
-def trimmed(links: DataFrame) -> DataFrame:
-    """Links that may lie on a cycle: without those into dead ends or out of nodes nothing leads to, until none is left."""
-    links = materialize(links, "links")
-    n = links.count()
+#: Layers of dead ends that are peeled off before the rest is written.
+LAYERS = 3
+
+
+def trimmed(links: DataFrame) -> tuple[DataFrame, int]:
+    """Links that may lie on a cycle, and their number: without those into dead ends or out of nodes nothing leads to, until none is
+    left. LAYERS of them go in one job."""
+    links, n = counted(links, "links")
     while n:
-        kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = materialize(kept, "links")
-        m = kept.count()
-        links = kept
+        kept = links
+        for _ in range(LAYERS):
+            kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        links, m = counted(kept, "links")
         if m == n:
             break
         n = m
-    return links
+    return links, n
 
 
 def cyclic_nodes(links: DataFrame) -> DataFrame:
@@ -84,23 +88,28 @@ def cyclic_nodes(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     self_links = links.where("src = dst").select(F.col("src").alias("id")).distinct()
-    rest = trimmed(links.where("src <> dst"))
+    rest, n = trimmed(links.where("src <> dst"))
     found = spark.createDataFrame([], "id string, component string")
-    while not rest.isEmpty():
+    while n:
         ids = rest.select(F.col("src").alias("id")).unionByName(rest.select(F.col("dst").alias("id"))).distinct()
         colour = materialize(ids.select("id", F.col("id").alias("colour")), "colours")
         while True:
             passed = rest.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("new"))
-            nxt = materialize(colour.join(passed, "id", "left").select("id", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")), "colours")
-            colour = nxt.select("id", "colour")
-            if nxt.where("moved").isEmpty():
+            # the smallest colour that leads here; and the colour of that colour, so that long chains take a logarithm of rounds
+            step = colour.join(passed, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", "new").alias("colour"))
+            jump = colour.select(F.col("id").alias("colour"), F.col("colour").alias("beyond"))
+            seen = Observation()
+            path = new_path(spark, "colours")
+            step.join(jump, "colour", "left").select("id", F.least("colour", "beyond").alias("colour"), "old").observe(seen, F.count_if(F.col("colour") < F.col("old")).alias("moved")).write.parquet(path)
+            colour = spark.read.parquet(path).select("id", "colour")
+            if not seen.get["moved"]:
                 break
         within = rest.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst")
         roots = colour.where("id = colour").select(F.col("id").alias("seed"), "id")
         back = _reach_all(roots, reverse(within))
         part = materialize(back.select("id", F.col("seed").alias("component")), "components")
         found = found.unionByName(part)
-        rest = trimmed(rest.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        rest, n = trimmed(rest.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
     large = found.join(found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("id", "component", "size")
     alone = self_links.join(large, "id", "left_anti").select("id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))
     return materialize(large.unionByName(alone), "cyclic")
@@ -108,14 +117,15 @@ def cyclic_nodes(links: DataFrame) -> DataFrame:
 
 def _reach_all(starts: DataFrame, links: DataFrame) -> DataFrame:
     """Everything reachable from the starts, over any number of hops."""
+    spark = starts.sparkSession
     links = materialize(links, "links")
-    frontier = materialize(starts, "hop")
-    reached = frontier
-    while not frontier.isEmpty():
-        found = frontier.join(links, frontier["id"] == links["src"]).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = materialize(found.join(reached, ["seed", "id"], "left_anti"), "hop")
-        reached = reached.unionByName(frontier)
-    return reached
+    folder = new_path(spark, "reached")
+    new, hop = starts.select("seed", "id"), 0
+    while write_counted(new, f"{folder}/hop={hop}"):
+        reached = spark.read.schema("seed string, id string, hop int").parquet(folder)
+        found = reached.where(F.col("hop") == hop).join(links, F.col("id") == links["src"]).select("seed", F.col("dst").alias("id")).distinct()
+        new, hop = found.join(reached, ["seed", "id"], "left_anti").select("seed", "id"), hop + 1
+    return spark.read.schema("seed string, id string, hop int").parquet(folder).select("seed", "id")
 
 
 def cycles(graph: PropertyGraph, limit: int | None = 20) -> DataFrame:

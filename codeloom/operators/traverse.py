@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..session import materialize
+from ..session import materialize, new_path, write_counted
 
 #: Hops of a neighbourhood, of a trace or impact, and nodes of a path, at most.
 NEAR_HOPS, FAR_HOPS, PATH_NODES = 5, 8, 16
@@ -35,24 +35,26 @@ def reach(starts: DataFrame, links: DataFrame, hops: int, open_seeds=None) -> Da
     ``links`` are distinct (src, dst). ``open_seeds`` may be a function from what was reached so far to the seeds that go on.
     Null seeds and ids are left out; unknown ids reach themselves.
     """
+    spark = starts.sparkSession
     links = materialize(links, "links")
-    frontier = materialize(starts.select("seed", "id").dropna().distinct().select("seed", "id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")), "hop")
-    reached = frontier
-    for hop in range(1, hops + 1):
+    folder = new_path(spark, "reached")  # one folder for all hops, so their small files are read together
+    new = starts.select("seed", "id").dropna().distinct().select("seed", "id", F.lit(None).cast("string").alias("parent"))
+    for hop in range(hops + 1):
+        n = write_counted(new, f"{folder}/hops={hop}")
+        reached = spark.read.schema("seed string, id string, parent string, hops int").parquet(folder).select("seed", "id", "hops", "parent")
+        if not n or hop == hops:
+            break
+        frontier = reached.where(F.col("hops") == hop)
         if open_seeds is not None:
             frontier = frontier.join(open_seeds(reached), "seed", "left_semi")
-        found = (
+        new = (
             frontier.select("seed", F.col("id").alias("src"))
             .join(links, "src")
             .groupBy("seed", F.col("dst").alias("id"))
             .agg(F.min("src").alias("parent"))
             .join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
-            .select("seed", "id", F.lit(hop).alias("hops"), "parent")
+            .select("seed", "id", "parent")
         )
-        frontier = materialize(found, "hop")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -81,11 +83,12 @@ def induced_edges(selected: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(picked.withColumnRenamed("id", "source"), "source").join(picked.withColumnRenamed("id", "target"), ["seed", "target"])
 
 
-def neighbourhood(graph: PropertyGraph, starts: DataFrame, depth: int = 1, types: tuple[str, ...] = (), direction: str = "both", limit: int = LIMIT) -> DataFrame:
+def neighbourhood(graph: PropertyGraph, starts: DataFrame, depth: int = 1, types: tuple[str, ...] = (), direction: str = "both", limit: int | None = LIMIT) -> DataFrame:
     """(seed, id, hops, place, total) around each start node: all edges of ``types`` (else all) in ``direction`` ("in", "out", "both").
 
     Depth is kept within 0 and 5. A seed stops after the hop in which it has ``limit`` nodes; the seed itself comes first, then
-    ids ascending, the first ``limit`` of them. Start nodes that are no nodes of the graph have no neighbourhood.
+    ids ascending, the first ``limit`` of them. Start nodes that are no nodes of the graph have no neighbourhood. With
+    ``limit`` None nothing is cut, and there is no place and total: (seed, id, hops).
     """
     if direction not in ("in", "out", "both"):
         raise ValueError("direction must be in, out or both")
@@ -97,7 +100,9 @@ def neighbourhood(graph: PropertyGraph, starts: DataFrame, depth: int = 1, types
     def open_seeds(reached: DataFrame) -> DataFrame:
         return reached.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") < limit).select("seed")
 
-    reached = reach(seeds, links, min(NEAR_HOPS, max(0, depth)), open_seeds).join(known, "id", "left_semi")
+    reached = reach(seeds, links, min(NEAR_HOPS, max(0, depth)), None if limit is None else open_seeds).join(known, "id", "left_semi")
+    if limit is None:
+        return reached.select("seed", "id", "hops")
     return _first(reached, limit, (F.col("id") != F.col("seed")).cast("int"), "id").select("seed", "id", "hops", "place", "total")
 
 
@@ -113,11 +118,8 @@ def walk_back(reached: DataFrame, ends: DataFrame) -> DataFrame:
     return paths.select("seed", "id", "path")
 
 
-def shortest_paths(graph: PropertyGraph, pairs: DataFrame, directed: bool = True) -> DataFrame:
-    """(source, target, length, path) of each pair (source, target) with a dependency path of at most 16 nodes, one of the shortest.
-
-    Length counts nodes; a pair of one known node has length 1. Pairs without a path, with an unknown end or with nulls have no row.
-    """
+def _shortest(graph: PropertyGraph, pairs: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame, str, str]:
+    """(reached, ends asked for as (seed, id), column of ``pairs`` the walk starts at, the other column)."""
     links = graph.dependencies()
     if not directed:
         links = links.unionByName(reverse(links)).distinct()
@@ -125,13 +127,34 @@ def shortest_paths(graph: PropertyGraph, pairs: DataFrame, directed: bool = True
     asked = materialize(
         pairs.select("source", "target").dropna().distinct().join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi"), "pairs"
     )
-    wanted = asked.select(F.col("source").alias("seed"), F.col("target").alias("id"))
+    ends = asked.agg(F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets")).first()
+    first, last = ("target", "source") if ends.targets < ends.sources else ("source", "target")
+    if first == "target" and directed:
+        links = reverse(links)
+    wanted = asked.select(F.col(first).alias("seed"), F.col(last).alias("id"))
 
     def open_seeds(reached: DataFrame) -> DataFrame:
         return wanted.join(reached, ["seed", "id"], "left_anti").select("seed").distinct()
 
-    reached = reach(asked.select(F.col("source").alias("seed"), F.col("source").alias("id")), links, PATH_NODES - 1, open_seeds)
-    return walk_back(reached, wanted).select(F.col("seed").alias("source"), F.col("id").alias("target"), F.size("path").alias("length"), "path")
+    return reach(wanted.select("seed", F.col("seed").alias("id")), links, PATH_NODES - 1, open_seeds), wanted, first, last
+
+
+def path_lengths(graph: PropertyGraph, pairs: DataFrame, directed: bool = True) -> DataFrame:
+    """(source, target, length) of each pair that :func:`shortest_paths` finds a path for."""
+    reached, wanted, first, last = _shortest(graph, pairs, directed)
+    return wanted.join(reached, ["seed", "id"]).select(F.col("seed").alias(first), F.col("id").alias(last), (F.col("hops") + 1).alias("length")).select("source", "target", "length")
+
+
+def shortest_paths(graph: PropertyGraph, pairs: DataFrame, directed: bool = True) -> DataFrame:
+    """(source, target, length, path) of each pair (source, target) with a dependency path of at most 16 nodes, one of the shortest.
+
+    Length counts nodes; a pair of one known node has length 1. Pairs without a path, with an unknown end or with nulls have no row.
+    The walk starts at the sources or back from the targets, whichever are fewer; a start takes no further step once all its pairs
+    are found.
+    """
+    reached, wanted, first, last = _shortest(graph, pairs, directed)
+    path = F.reverse("path") if first == "target" else F.col("path")
+    return walk_back(reached, wanted).select(F.col("seed").alias(first), F.col("id").alias(last), F.size("path").alias("length"), path.alias("path")).select("source", "target", "length", "path")
 
 
 def valid_paths(graph: PropertyGraph, paths: DataFrame) -> DataFrame:

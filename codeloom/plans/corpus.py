@@ -22,6 +22,8 @@ from ..streaming import deliveries as de
 from .graphs import IMPACT_ROWS, IMPACT_TABLES
 from .sql import DEPENDENCY_LIST, GRAPH, graph_sql
 
+#: Fields in which the derived base of a comparison differs.
+MOVED = ("hash", "start_line", "end_line", "signature", "docstring")
 SNAPSHOT_FIELDS = ("type", "file_path", "start_line", "end_line", "hash")
 
 
@@ -50,11 +52,24 @@ def dif_01_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return _node_changes(spark, folder).select("head_sha", "id", "change", F.array_join("changed_fields", ",").alias("changed_fields"))
 
 
+def dif_01_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph against a derived base, in all fields of nodes: of each node the base holds what the next node of its file and type
+    holds (signature, docstring, hash, lines); nodes without a next one are new."""
+    nodes = PropertyGraph.read(spark, folder).node_view("id", *ve.NODE_FIELDS, "repository_id")
+    after = Window.partitionBy("repository_id", "file_path", "type").orderBy("start_line", "id")
+    held = nodes.withColumn("next", F.lead(F.struct(*MOVED)).over(after)).where("next is not null")
+    base = held.select("id", *[F.col(f"next.{c}").alias(c) if c in MOVED else F.col(c) for c in ve.NODE_FIELDS])
+    return ve.compare_nodes(base, nodes).select("id", "change", F.array_join("changed_fields", ",").alias("changed_fields"))
+
+
 def dif_02_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges whose last delivery differs from the first."""
-    edges = table(spark, folder, "code_edges").where("id is not null")
-    first = edges.groupBy("id").agg(F.min_by(F.struct(*ve.EDGE_FIELDS), "seq").alias("x")).select("id", "x.*")
-    return ve.compare_rows(first, latest(edges, "id", *ve.EDGE_FIELDS), ve.EDGE_FIELDS).select("id", "change", F.array_join("changed_fields", ",").alias("changed_fields"))
+    """The graph's edges against a derived base: calls that are not resolved now were probable there, edges from odd lines stood
+    without a confidence, and those from lines divisible by ten were missing."""
+    edges = PropertyGraph.read(spark, folder).edge_view("id", *ve.EDGE_FIELDS)
+    probable = (F.col("type") == "CALLS") & (F.col("resolution") == "unresolved")
+    base = edges.where("source_line % 10 <> 0").withColumns({"resolution": F.when(probable, "probable").otherwise(F.col("resolution")), "confidence": F.when(F.col("source_line") % 2 == 0, F.when(probable, 0.65).otherwise(F.col("confidence")))})
+    nodes = PropertyGraph.read(spark, folder).node_view("id", "qualified_name", "name")
+    return ve.compare_edges(base, edges, nodes).select("id", "change", F.array_join("changed_fields", ",").alias("changed_fields"), "source_name", "target_name")
 
 
 def dif_03_risk(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +267,7 @@ def str_11_memory(spark: SparkSession, folder: str) -> DataFrame:
     return de.memory(table(spark, folder, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at")), "user_id", "at", 4).select("user_id", "event_id", "place")
 
 
-def str_12_windows(spark: SparkSession, folder: str) -> DataFrame:
+def str_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events by hour and type."""
     return de.counts_stream(table(spark, folder, "events"), "ts", "event_type")
 
@@ -280,7 +295,7 @@ def flt_08_addresses(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "repositories").select("id", parts["owner"].alias("owner"), parts["name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_12_windows, set_05_touched_files, top_03_long_files)}
+QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_01_fields, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_counts, set_05_touched_files, top_03_long_files)}
 QUERIES |= {"sch_02_symbol": _search("symbol"), "sch_03_text": _search("text"), "sch_04_semantic": _search("semantic"), "sch_04_hybrid": _search("hybrid")}
 
 _ORD = "o AS (SELECT repository_id, commit_sha, row_number() OVER (PARTITION BY repository_id ORDER BY min(created_at), commit_sha) AS k FROM graph_snapshots WHERE repository_id IS NOT NULL AND commit_sha IS NOT NULL AND created_at IS NOT NULL GROUP BY repository_id, commit_sha)"
@@ -329,8 +344,15 @@ ORACLES = {
     "qa_01_intent": f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL {_INTENT} ELSE 'explanation' END AS intent FROM documents",
     "flt_08_addresses": "SELECT id, nullif(lower(regexp_extract(source, p, 1)), '') AS owner, nullif(lower(regexp_extract(source, p, 2)), '') AS name FROM (SELECT *, '^https://[a-z0-9.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$' AS p FROM repositories)",
     "dif_01_nodes": f"{_SNAP}{_BOTH} SELECT head_sha, id, change, changed_fields FROM x",
-    "dif_02_edges": "WITH f AS (SELECT * FROM code_edges QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1), l AS (SELECT * FROM code_edges QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), "
-    "c AS (SELECT id, 'modified' AS change, concat_ws(',', " + ", ".join(f"CASE WHEN f.{c} IS DISTINCT FROM l.{c} THEN '{c}' END" for c in ve.EDGE_FIELDS) + ") AS changed_fields FROM f JOIN l USING (id)) SELECT * FROM c WHERE changed_fields <> ''",
+    "dif_01_fields": graph_sql(
+        "SELECT id, CASE WHEN new THEN 'added' ELSE 'modified' END AS change, changed_fields FROM (SELECT id, nx IS NULL AS new, CASE WHEN nx IS NULL THEN '' ELSE concat_ws(',', " + ", ".join(f"CASE WHEN nx.{c} IS DISTINCT FROM q.{c} THEN '{c}' END" for c in ve.NODE_FIELDS if c in MOVED) + ") END AS changed_fields FROM q) WHERE new OR changed_fields <> ''",
+        "q AS (SELECT *, lead({" + ", ".join(f"'{c}': {c}" for c in MOVED) + "}) OVER (PARTITION BY repository_id, file_path, type ORDER BY start_line, id) AS nx FROM n)",
+    ),
+    "dif_02_edges": graph_sql(
+        "SELECT c.id, change, changed_fields, coalesce(nullif(s.qualified_name, ''), s.name, c.source) AS source_name, coalesce(nullif(t.qualified_name, ''), t.name, c.target) AS target_name FROM c LEFT JOIN n s ON s.id = c.source LEFT JOIN n t ON t.id = c.target WHERE change = 'added' OR changed_fields <> ''",
+        "b AS (SELECT id, CASE WHEN type = 'CALLS' AND resolution = 'unresolved' THEN 'probable' ELSE resolution END AS resolution, CASE WHEN source_line % 2 = 0 THEN CASE WHEN type = 'CALLS' AND resolution = 'unresolved' THEN 0.65 ELSE confidence END END AS confidence FROM e WHERE source_line % 10 <> 0), "
+        "c AS (SELECT e.id, e.source, e.target, CASE WHEN b.id IS NULL THEN 'added' ELSE 'modified' END AS change, CASE WHEN b.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN b.confidence IS DISTINCT FROM e.confidence THEN 'confidence' END, CASE WHEN b.resolution IS DISTINCT FROM e.resolution THEN 'resolution' END) END AS changed_fields FROM e LEFT JOIN b USING (id))",
+    ),
     "dif_03_risk": f"""{_SNAP}{_BOTH}, w AS (SELECT head_sha, count(*) FILTER (change = 'added') AS symbols_added, count(*) FILTER (change = 'removed') AS symbols_removed, count(*) FILTER (change = 'modified') AS symbols_modified,
  count(DISTINCT nullif(file_path, '')) AS n_files, count(DISTINCT id) FILTER (type = 'Endpoint') AS n_endpoints FROM x GROUP BY head_sha),
  w2 AS (SELECT *, least(100, least(40, 4 * (symbols_added + symbols_removed + symbols_modified)) + least(15, 3 * n_files) + least(10, 5 * n_endpoints) + least(5, symbols_removed))::INT AS score FROM w)
@@ -371,7 +393,7 @@ ORACLES = {
     "str_05_sync": "SELECT id, CASE WHEN indexed_sha IS NULL OR latest_github_sha IS NULL THEN 'UNKNOWN' WHEN indexed_sha = latest_github_sha THEN 'CURRENT' ELSE 'STALE' END AS state FROM repositories",
     "str_07_lifecycle": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events, string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (i <= 100) AS log FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) GROUP BY user_id",
     "str_11_memory": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 4",
-    "str_12_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "str_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "set_05_touched_files": "SELECT file_path AS path FROM code_nodes WHERE file_path <> '' UNION SELECT source_file FROM code_edges WHERE source_file <> ''",
     "top_03_long_files": graph_sql("SELECT repository_id, id, row_number() OVER (PARTITION BY repository_id ORDER BY end_line DESC, id) AS place FROM n WHERE type = 'File' QUALIFY place <= 3"),
     "eval_metrics": "SELECT count(*) AS n, round(avg(hit), 6) AS hit_rate, round(avg(hit), 6) AS recall FROM (SELECT q.query_id, max(CASE WHEN f.id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM (SELECT DISTINCT id AS query_id FROM code_nodes WHERE seq % 100 = 0 AND id IS NOT NULL) q LEFT JOIN (" + _found("exact", False) + ") f ON f.query_id = q.query_id AND f.id = q.query_id AND f.place <= 5 GROUP BY q.query_id)",

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from ..operators import rules as rl
 from ..operators import structure as st
 from ..operators import traverse as tr
 from ..schema import dependency, stable_id
+from ..session import materialize
 from .sql import DEPENDENCY_LIST, graph_sql
 
 
@@ -81,9 +83,9 @@ def grf_01_subgraph(spark: SparkSession, folder: str) -> DataFrame:
 def _near(direction: str, depth: int):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         graph = PropertyGraph.read(spark, folder)
-        return tr.neighbourhood(graph, starts(graph), depth, direction=direction, limit=1_000_000).select("seed", "id", "hops")
+        return tr.neighbourhood(graph, starts(graph), depth, direction=direction, limit=None)
 
-    query.__doc__ = f"Nodes within {depth} hops over all edges, direction {direction}; no limit is reached."
+    query.__doc__ = f"Nodes within {depth} hops over all edges, direction {direction}; nothing is cut."
     return query
 
 
@@ -91,7 +93,7 @@ grf_02_neighbors_in, grf_02_neighbors_out, grf_02_neighbors_both = _near("in", 5
 
 
 def grf_02_limited(spark: SparkSession, folder: str) -> DataFrame:
-    """Two hops around each start, of which the first 20 nodes are returned."""
+    """One hop around each start, of which the first 20 nodes are returned."""
     graph = PropertyGraph.read(spark, folder)
     return tr.neighbourhood(graph, starts(graph), 1, limit=20).select("seed", "id", "place", "total")
 
@@ -101,7 +103,7 @@ def grf_03_path_length(spark: SparkSession, folder: str) -> DataFrame:
     graph = PropertyGraph.read(spark, folder)
     hubs = st.hubs(graph).select("repository_id", F.col("id").alias("target"))
     pairs = starts(graph).join(graph.node_view("id", "repository_id"), "id").select(F.col("id").alias("source"), "repository_id").join(hubs, "repository_id").select("source", "target")
-    return tr.shortest_paths(graph, pairs, directed=False).select("source", "target", "length")
+    return tr.path_lengths(graph, pairs, directed=False)
 
 
 def grf_04_trace_sinks(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +126,34 @@ def grf_06_cyclic_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return st.cyclic_nodes(PropertyGraph.read(spark, folder).dependencies())
 
 
+def _closed(spark: SparkSession, folder: str) -> PropertyGraph:
+    """The graph with a link back from the end of each walk of two dependencies to its start, where both are in one file: a graph
+    with many cycles, as the delivered ones have hardly any."""
+    graph = PropertyGraph.read(spark, folder)
+    links, at = graph.dependencies(), graph.node_view("id", "repository_id", "file_path").where("file_path <> ''")
+    walks = links.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(links.select(F.col("src").alias("m"), F.col("dst").alias("c")), "m").where("a <> c").select("a", "c").distinct()
+    ends = lambda x: at.select(F.col("id").alias(x), F.struct("repository_id", "file_path").alias(f"of_{x}"))
+    back = walks.join(ends("a"), "a").join(ends("c"), "c").where("of_a = of_c")
+    fields = {"seq": F.lit(0).cast("long"), "id": stable_id("c", "a"), "source": F.col("c"), "target": F.col("a"), "type": F.lit("CALLS"), "source_file": F.col("of_a.file_path"), "source_line": F.lit(1), "confidence": F.lit(1.0), "resolution": F.lit("resolved"), "analysis_method": F.lit("closing")}
+    return PropertyGraph(graph.nodes, materialize(graph.edges.unionByName(back.select(*[v.alias(k) for k, v in fields.items()])), "closed-edges"))
+
+
+def grf_06_closed_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Strongly connected components of the graph with closing links."""
+    return st.cyclic_nodes(_closed(spark, folder).dependencies())
+
+
+def grf_06_closed_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Length of a shortest cycle through the smallest id of each component of the graph with closing links."""
+    return st.cycles(_closed(spark, folder), None).select("repository_id", "component", "size", (F.size("path") - 1).alias("length"))
+
+
+def pol_03_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Cycles of the graph with closing links that a rule forbids, at most 20 of a repository, with the number of their steps."""
+    rules = rl.validated({"version": 1, "rules": [{"id": "acyclic", "type": "no_cycles"}]})
+    return rl.cycle_violations(_closed(spark, folder), rules).select("repository_id", "rule_id", F.col("path")[0].alias("component"), F.size("evidence").alias("n_steps"))
+
+
 def grf_06_cycles(spark: SparkSession, folder: str) -> DataFrame:
     """Length of a shortest cycle through the smallest id of each cyclic component."""
     return st.cycles(PropertyGraph.read(spark, folder), None).select("repository_id", "component", "size", (F.size("path") - 1).alias("length"))
@@ -177,7 +207,7 @@ def join_13_edge_rows(spark: SparkSession, folder: str) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("source"), F.col("type").alias("source_type")), "source").join(nodes.select(F.col("id").alias("target"), F.col("type").alias("target_type")), "target").groupBy("source_type", "type", "target_type", "dependency").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (schema_stable_ids, prj_01_public_node, flt_01_dependency_edges, flt_02_symbol_view, flt_03_typed_subgraph, agg_01_counts_by_type, agg_02_totals, agg_03_files_by_language, agg_04_largest_modules, agg_05_hubs, agg_06_potentially_unused, grf_01_subgraph, grf_02_limited, grf_03_path_length, grf_04_trace_sinks, grf_05_impact, grf_05c_direct_callers, grf_06_cyclic_nodes, grf_06_cycles, grf_07_overview, grf_08_components, grf_08_component_edges, grf_09_symbol_edges, grf_10_callers_callees, grf_11_path_check, grf_13_evidence, join_13_edge_rows)}
+QUERIES = {f.__name__: f for f in (schema_stable_ids, prj_01_public_node, flt_01_dependency_edges, flt_02_symbol_view, flt_03_typed_subgraph, agg_01_counts_by_type, agg_02_totals, agg_03_files_by_language, agg_04_largest_modules, agg_05_hubs, agg_06_potentially_unused, grf_01_subgraph, grf_02_limited, grf_03_path_length, grf_04_trace_sinks, grf_05_impact, grf_05c_direct_callers, grf_06_cyclic_nodes, grf_06_cycles, grf_06_closed_nodes, grf_06_closed_cycles, pol_03_closed, grf_07_overview, grf_08_components, grf_08_component_edges, grf_09_symbol_edges, grf_10_callers_callees, grf_11_path_check, grf_13_evidence, join_13_edge_rows)}
 QUERIES |= {"grf_02_neighbors_in": grf_02_neighbors_in, "grf_02_neighbors_out": grf_02_neighbors_out, "grf_02_neighbors_both": grf_02_neighbors_both}
 
 _GROUPS = "g AS (SELECT id, repository_id, CASE WHEN type = 'ExternalPackage' THEN 'External packages' WHEN type = 'DatabaseEntity' THEN 'Database' WHEN coalesce(module, '') <> '' THEN module ELSE 'root' END AS component FROM n WHERE type NOT IN ('Repository', 'Directory', 'UnresolvedSymbol'))"
@@ -207,6 +237,13 @@ def _walk(links: str, depth: int) -> str:
     return f"l AS ({links}), w(seed, id, hop) AS (SELECT s.id, s.id, 0 FROM s JOIN n ON n.id = s.id UNION SELECT w.seed, l.dst, w.hop + 1 FROM w JOIN l ON l.src = w.id WHERE w.hop < {depth}), r AS (SELECT seed, id, min(hop) AS hops FROM w GROUP BY seed, id)"
 
 
+_CLOSED = """z AS (SELECT src, dst FROM d UNION SELECT y.dst, x.src FROM d x JOIN d y ON y.src = x.dst JOIN n a ON a.id = x.src JOIN n c ON c.id = y.dst
+    WHERE x.src <> y.dst AND a.file_path <> '' AND a.repository_id = c.repository_id AND a.file_path = c.file_path),
+  w(a, b, len) AS (SELECT src, dst, 1 FROM z UNION SELECT w.a, z.dst, w.len + 1 FROM w JOIN z ON z.src = w.b WHERE w.len < 12),
+  m AS (SELECT a, b, min(len) AS len FROM w GROUP BY a, b), scc AS (SELECT p.a AS id, least(p.a, min(p.b)) AS component FROM m p JOIN m q ON q.a = p.b AND q.b = p.a GROUP BY p.a)"""
+_CLOSED_CYCLES = "SELECT n.repository_id, s.component, s.size, m.len AS length FROM (SELECT component, count(*) AS size FROM scc GROUP BY component) s JOIN n ON n.id = s.component JOIN m ON m.a = s.component AND m.b = s.component"
+
+
 _OUT = "SELECT DISTINCT source AS src, target AS dst FROM code_edges"
 _IN = "SELECT DISTINCT target AS src, source AS dst FROM code_edges"
 
@@ -259,6 +296,9 @@ ORACLES = {
         "a AS (SELECT repository_id || ':' || file_path AS answer, id FROM n WHERE file_path <> '' QUALIFY row_number() OVER (PARTITION BY repository_id, file_path ORDER BY seq, id) <= 12)",
     ),
     "join_13_edge_rows": graph_sql(f"SELECT a.type AS source_type, e.type, b.type AS target_type, (e.type IN ({DEPENDENCY_LIST}) AND coalesce(e.resolution, '') <> 'unresolved') AS dependency, count(*) AS n FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target GROUP BY ALL"),
+    "grf_06_closed_nodes": graph_sql("SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM scc", _CLOSED),
+    "grf_06_closed_cycles": graph_sql(_CLOSED_CYCLES, _CLOSED),
+    "pol_03_closed": graph_sql(f"SELECT repository_id, 'acyclic' AS rule_id, component, length AS n_steps FROM ({_CLOSED_CYCLES}) QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY component) <= 20", _CLOSED),
     "grf_06_cyclic_nodes": graph_sql(
         "SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM (SELECT a.a AS id, least(a.a, min(a.b)) AS component FROM w a JOIN w b ON b.a = a.b AND b.b = a.a GROUP BY a.a)",
         "w(a, b) AS (SELECT src, dst FROM d UNION SELECT w.a, d.dst FROM w JOIN d ON d.src = w.b)",

@@ -6,16 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TEXT = ("id", "name", "type", "repository_id", "qualified_name", "file_path", "language", "signature", "source", "docstring", "hash", "module", "parameters", "returns")
-_ORDER = ("id", "name", "type", "repository_id", "qualified_name", "file_path", "language", "start_line", "end_line", "signature", "source", "docstring", "hash", "module", "exported", "parameters", "returns", "embedding")
-_KINDS: dict[str, T.DataType] = {**dict.fromkeys(_TEXT, T.StringType()), "start_line": T.IntegerType(), "end_line": T.IntegerType(), "exported": T.BooleanType(), "embedding": T.ArrayType(T.FloatType())}
+from .session import materialize
 
-NODES = T.StructType([T.StructField("seq", T.LongType()), *(T.StructField(c, _KINDS[c]) for c in _ORDER)])
+# fixed values: columns of the two tables
+NODES = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("repository_id", T.StringType()),
+        T.StructField("qualified_name", T.StringType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("language", T.StringType()),
+        T.StructField("start_line", T.IntegerType()),
+        T.StructField("end_line", T.IntegerType()),
+        T.StructField("signature", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("docstring", T.StringType()),
+        T.StructField("hash", T.StringType()),
+        T.StructField("module", T.StringType()),
+        T.StructField("exported", T.BooleanType()),
+        T.StructField("parameters", T.StringType()),
+        T.StructField("returns", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+    ]
+)
 EDGES = T.StructType(
-    [T.StructField("seq", T.LongType())]
-    + [T.StructField(c, {"source_line": T.IntegerType(), "confidence": T.DoubleType()}.get(c, T.StringType())) for c in ("id", "source", "target", "type", "source_file", "source_line", "confidence", "resolution", "analysis_method")]
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("target", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("source_file", T.StringType()),
+        T.StructField("source_line", T.IntegerType()),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("resolution", T.StringType()),
+        T.StructField("analysis_method", T.StringType()),
+    ]
 )
 
+#: Columns that are too wide to be shuffled for the sake of a few repeated rows.
+WIDE = ("source", "docstring", "embedding")
+
 # fixed values: edge types that are dependencies, and the structural rest
 DEPENDENCIES = ("CALLS", "IMPORTS", "REFERENCES", "EXTENDS", "IMPLEMENTS", "HANDLES", "ROUTES_TO", "DEPENDS_ON", "USES_PACKAGE", "READS_FROM", "WRITES_TO")
 STRUCTURE = ("CONTAINS", "DEFINES", "BELONGS_TO")
@@ -40,8 +74,12 @@ def stable_key(*parts: str) -> str:
 def latest(rows: DataFrame, *columns: str, key: str = "id") -> DataFrame:
     """One row for each ``key``, the one with the highest seq (null lowest), with ``columns`` only; rows with a null key are left out.
 
-    Select few columns: they are what is shuffled.
+    Select few columns: they are what is shuffled. Columns of WIDE are not: which delivery of a repeated key holds is found on
+    (key, seq) alone, and the others are taken out of the scan by a join with the repeated keys, a written table whose size
+    Spark checks before it broadcasts it. Of rows with one key and one seq an arbitrary but whole one is kept.
     """
+    if set(columns) & set(WIDE):
+        return _latest_wide(rows, columns, key)
     rest = [c for c in columns if c != key]
     place = F.coalesce("seq", F.lit(-(2**63)))
     if "seq" in rest:
@@ -54,6 +92,20 @@ def latest(rows: DataFrame, *columns: str, key: str = "id") -> DataFrame:
     return picked.select(*[F.col(c) if c == key else F.col(f"_.{c}").alias(c) for c in columns])
 
 
+def _latest_wide(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
+    place = F.coalesce("seq", F.lit(-(2**63)))
+    whole = rows.where(F.col(key).isNotNull())
+    counts = whole.groupBy(key, place.alias("_seq")).agg(F.count("*").alias("n")).groupBy(key).agg(F.max("_seq").alias("_top"), F.max_by("n", "_seq").alias("_tied"), F.sum("n").alias("n"))
+    repeated = materialize(counts.where("n > 1").select(key, "_top", "_tied"), "repeated-keys")
+    once = whole.select(*dict.fromkeys([key, *columns]), place.alias("_seq")).join(repeated, key, "left").where("_top is null or _seq = _top")
+    kept = once.where("_tied is null or _tied = 1").select(*columns)
+    if repeated.where("_tied > 1").isEmpty():
+        return kept
+    rest = [c for c in columns if c != key]
+    tied = once.where("_tied > 1").groupBy(key).agg(F.any_value(F.struct(*rest)).alias("_"))
+    return kept.unionByName(tied.select(*[F.col(c) if c == key else F.col(f"_.{c}").alias(c) for c in columns]))
+
+
 def dependency(type_: str = "type", resolution: str = "resolution") -> Column:
     """Predicate of edges that count as dependencies: a dependency type, and resolved at least probably."""
     return F.col(type_).isin(*DEPENDENCIES) & (F.coalesce(F.col(resolution), F.lit("")) != "unresolved")

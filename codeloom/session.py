@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "codeloom", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -46,14 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors. The files go when the driver
     ends; an application that is killed leaves them in the folder ``codeloom-<application id>``."""
-    spark = df.sparkSession
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and the number of rows, which is observed while they are written."""
+    path = new_path(df.sparkSession, name)
+    n = write_counted(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
+
+
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write ``df`` to a new folder; returns the number of rows."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that doesn't exist yet and goes when the driver ends."""
     folder = f"{shared_dir(spark)}/codeloom-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_clean_up, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 _folders: set[str] = set()

@@ -21,18 +21,18 @@ def test_tools(engine):
     assert set(engine.tools()) == set(TOOLS) and len(TOOLS) == 14
     ids = lambda df, c="id": {r[c] for r in df.collect()}
     assert ids(engine.run("get_symbol", {"symbol_id": "a"})) == {"a"} and len(engine.run("get_source", {"symbol_id": "a"}).first().source) == 6000
-    assert ids(engine.run("find_callers", {"symbol_id": "b"}), "other") == {"a"} and ids(engine.run("find_callees", {"symbol_id": "b"}), "other") == {"c"}
+    assert ids(engine.run("find_callers", {"symbol_id": "b"})) == {"a", "b"} and ids(engine.run("find_callees", {"symbol_id": "b"})) == {"b", "c"}
     assert ids(engine.run("get_neighbors", {"symbol_id": "b"})) == {"a", "b", "c"} and ids(engine.run("get_neighbors", {"symbol_id": "b", "depth": 2})) == {"a", "b", "c", "d"}
     assert list(engine.run("shortest_path", {"source_id": "d", "target_id": "c"}).first().path) == ["d", "a", "b", "c"]
     assert ids(engine.run("get_dependencies", {"symbol_id": "d"})) == {"a", "b", "c", "d"} and engine.run("get_dependents", {"symbol_id": "c"}).first().blast_radius == 3
-    assert ids(engine.run("trace_endpoint", {"symbol_id": "d"})) == {"c"} and engine.run("analyze_impact", {"symbol_id": "c"}).first().n_endpoints == 1
-    assert ids(engine.run("search_symbol", {"query": "b"})) == {"b"} and ids(engine.run("search_code", {"query": "xxx"})) == {"a"} and "b" in ids(engine.run("semantic_search", {"query": "b"}))
+    assert ids(engine.run("trace_endpoint", {"endpoint_id": "d"})) == {"c"} and engine.run("analyze_impact", {"symbol_id": "c"}).first().n_endpoints == 1
+    assert ids(engine.run("search_symbol", {"name": "b"})) == {"b"} and ids(engine.run("search_code", {"query": "xxx"})) == {"a"} and "b" in ids(engine.run("semantic_search", {"query": "b"}))
     assert engine.run("repository_overview", {}).first().nodes == 4
 
 
 @pytest.mark.parametrize(
     ("tool", "arguments"),
-    [("nothing", {}), ("get_symbol", {}), ("get_symbol", {"symbol_id": "zz"}), ("get_symbol", {"symbol_id": 1}), ("get_symbol", {"symbol_id": "a", "x": "y"}), ("search_code", {"query": "x" * 4001}), ("search_code", {"query": ""}), ("get_neighbors", {"symbol_id": "a", "depth": "2"}), ("repository_overview", {"x": 1})],
+    [("nothing", {}), ("get_symbol", {}), ("get_symbol", {"symbol_id": "zz"}), ("get_symbol", {"symbol_id": 1}), ("search_symbol", {"query": "b"}), ("trace_endpoint", {"symbol_id": "d"}), ("get_symbol", {"symbol_id": "a", "x": "y"}), ("search_code", {"query": "x" * 4001}), ("search_code", {"query": ""}), ("get_neighbors", {"symbol_id": "a", "depth": "2"}), ("repository_overview", {"x": 1})],
 )
 def test_refused_calls(engine, tool, arguments):
     with pytest.raises(ValueError):

@@ -146,7 +146,7 @@ def test_version_changes(spark):
     base = spark.createDataFrame([node("s", hash="1"), node("gone"), node("same")], NODES)
     head = spark.createDataFrame([node("s", hash="2", docstring="x"), node("new", "Endpoint", file_path="src/routes.py"), node("same")], NODES)
     rows = versions.compare_nodes(base, head)
-    assert {(r.id, r.change, tuple(r.changed_fields)) for r in rows.collect()} == {("s", "modified", ("docstring", "hash")), ("gone", "removed", ()), ("new", "added", ())}
+    assert {(r.id, r.change, tuple(r.changed_fields)) for r in rows.collect()} == {("s", "modified", ("hash", "docstring")), ("gone", "removed", ()), ("new", "added", ())}
     assert versions.compare_nodes(base, base).count() == 0
     edges = versions.compare_edges(spark.createDataFrame([edge("s", "gone"), edge("s", "same")], EDGES), spark.createDataFrame([edge("s", "same", resolution="probable")], EDGES), base)
     assert {(r.change, r.target_name, tuple(r.changed_fields)) for r in edges.collect()} == {("removed", "gone", ()), ("modified", "same", ("resolution",))}

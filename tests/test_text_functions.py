@@ -40,5 +40,11 @@ def test_evidence_budget(spark):
         out = tx.fit_evidence(big, budget)
         assert len(json.dumps(out)) <= budget and "embedding" not in json.dumps(out)
     assert tx.fit_evidence(big, 50) == {"notice": "too large"} and tx.fit_evidence([1], 9) == [1]
+    # the longest cut is kept: lists first, strings only when one item is too long
+    assert len(tx.fit_evidence({"a": list(range(50))}, 1000)["a"]) == 20 and len(tx.fit_evidence(["x" * 5000], 700)[0]) == 696
+    node = {"id": "n", "file_path": "f", "type": "File", "hash": "h", "source": "s"}
+    assert tx.fit_evidence(node, 500) == {"id": "n", "file_path": "f", "type": "File", "source": "s"}
+    purse = tx.EvidenceBudget(100)
+    assert purse.take(["x" * 60]) and purse.left == 36 and purse.take(["x" * 200]) == {"notice": "too large"} and purse.left == 36 and purse.take(1) == 1
     rows = spark.createDataFrame([(json.dumps(big),), ("no json",), (None,)], "t string")
     assert [r.f and len(r.f) <= 500 for r in rows.select(tx.fitted(500)("t").alias("f")).collect()] == [True, None, None]
