@@ -3,8 +3,8 @@
 Design. Rows are reduced to compact arrays (snapshot ordinal, 128-bit key hash, 64-bit row hash, delivery position) before
 anything is shuffled, and repeated deliveries are combined on the map side, so a key delivered very often costs one row a
 map task. Compact rows are hash-bucketed by key; each bucket is sorted in numpy and neighbouring snapshots are compared by
-``searchsorted`` set differences. Only for keys that differ is the full value (here: the id) fetched, by an equi-join on the
-key hash and delivery position.
+``searchsorted`` set differences. Only for keys that differ is the full value (here: the id) fetched: rows are tested against a
+bit filter of the differing rows while they are scanned, and what passes is joined on the key hash and delivery position.
 """
 
 from __future__ import annotations
@@ -14,12 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Rows of one bucket; a bucket is what one task sorts in memory (44 bytes a row).
 BUCKET_ROWS = 1_000_000
 
+#: Differing keys a 64-bit word of the filter is made for, and words at most (64 MB): beyond, more rows pass, and none is lost.
+KEYS_PER_WORD, MOST_WORDS = 5, 1 << 22
+
 _COMPACT = "ord int, last int, k1 long, k2 long, row long, seq long"
 _COLUMNS = ("ord", "last", "k1", "k2", "row", "seq")
 _DIFFER = "ord int, k1 long, k2 long, seq long, kind byte"
@@ -102,6 +107,25 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(diff_arrays(_latest(_arrays(held))))
 
 
+def _word(words: int) -> Column:
+    """The word of the filter that a row falls into."""
+    return F.pmod(F.xxhash64("k1", "k2", "seq"), F.lit(words))
+
+
+def _mask() -> Column:
+    """The three bits that a row sets in its word."""
+    bit = lambda shift: f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(seq, k2, k1), {shift}) & 63 as int))"
+    return F.expr(f"{bit(0)} | {bit(6)} | {bit(12)}")
+
+
+def _may_differ(full: DataFrame, differ: DataFrame) -> DataFrame:
+    """Rows (k1, k2, seq) that may be among ``differ``: all that are, and about one in a hundred others. Nothing is shuffled."""
+    words = min(MOST_WORDS, 1 << max(6, math.ceil(math.log2(differ.count() / KEYS_PER_WORD + 1))))
+    bits = differ.select(_word(words).alias("word"), _mask().alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    tested = full.withColumns({"word": _word(words), "mask": _mask()}).join(F.broadcast(bits), "word")  # at most MOST_WORDS rows
+    return tested.where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select(*full.columns)
+
+
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, buckets: int | None = None) -> DataFrame:
     """Ids added, removed or changed in hash, for each snapshot against the preceding one of its repository.
 
@@ -132,7 +156,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, buckets: int | None
     )
     combined = compact.mapInArrow(_combine, _COMPACT)
     bucketed = combined.repartitionById(buckets, F.pmod("k1", F.lit(buckets)).cast("int"))
-    differ = bucketed.mapInArrow(_bucket, _DIFFER)
+    differ = materialize(bucketed.mapInArrow(_bucket, _DIFFER), "differing-keys")
     full = (
         keyed.join(order.select("commit_sha", "repository_id"), "commit_sha")
         .select("repository_id", "id", "seq")
@@ -146,7 +170,8 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, buckets: int | None
     )
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return (
-        full.join(differ, ["k1", "k2", "seq"])
+        _may_differ(full, differ)
+        .join(differ, ["k1", "k2", "seq"])
         .groupBy("k1", "k2", "seq", "ord", "kind")  # rows repeated with one seq; no further shuffle
         .agg(F.first("repository_id").alias("repository_id"), F.first("id").alias("id"))
         .join(order.select("repository_id", "ord", "commit_sha"), ["repository_id", "ord"])
