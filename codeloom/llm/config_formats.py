@@ -197,6 +197,7 @@ def yaml(text: str) -> Iterator[Setting]:
                 flows.append((m.start(), end))
     flow = 0
     closed = 0
+    keys: list[tuple[int, int, str]] = []
     for m in _YAML.finditer(text):
         indent = len(m[1].replace("- ", "  ").expandtabs(8))
         while flow < len(flows) and flows[flow][1] <= m.start():
@@ -208,6 +209,7 @@ def yaml(text: str) -> Iterator[Setting]:
             stack.pop()
         path = (*(k for _, k in stack), key)
         stack.append((indent, key))
+        keys.append((m.start(), indent, key))
         if m[7] is not None:  # a block scalar: all deeper lines
             body = re.compile(rf"(?:\r?\n(?:[ \t]{{{indent + 1},}}[^\n]*|[ \t\r]*(?=\n|\Z)))*").match(text, m.end())
             skip, block = body.end(), indent
@@ -219,13 +221,61 @@ def yaml(text: str) -> Iterator[Setting]:
             inner, end = _collection(text, m.end(), path, _YAML_TOKEN, ":")
             yield from inner
             whole, closed = end is not None, end or 0
-    last = ""
+    yield from _yaml_items(text, keys)
+
+
+def _yaml_items(text: str, keys: list[tuple[int, int, str]]) -> Iterator[Setting]:
+    """Scalars of block lists, under all keys around them; ``keys`` are (place, indent, key) in order."""
+    stack: list[tuple[int, str]] = []
+    at = 0
     for m in _YAML_ITEM.finditer(text):
-        head = re.compile(r"(?m)^[ \t]*([\w.\-]+):[ \t]*\r?$")
-        before = head.findall(text, max(0, m.start() - 2000), m.start())
-        last = before[-1] if before else last
+        while at < len(keys) and keys[at][0] < m.start():
+            _, indent, key = keys[at]
+            while stack and stack[-1][0] >= indent:
+                stack.pop()
+            stack.append((indent, key))
+            at += 1
+        indent = len(m[1].expandtabs(8))
+        while stack and stack[-1][0] > indent:
+            stack.pop()
         if found := _pick(m, range(2, 5)):
-            yield (last,), *found
+            yield tuple(k for _, k in stack) or ("",), *found
+
+
+_XML = re.compile(r"""(?s)<!--.*?-->|<!\[CDATA\[(?P<data>.*?)\]\]>|<[?!][^>]*+>|</\s*+(?P<close>[\w:.\-]++)\s*+>|<(?P<open>[\w:.\-]++)(?P<attributes>(?:[^<>"']|"[^"]*+"|'[^']*+')*+)>|(?P<text>[^<]++)""")
+_ATTRIBUTE = re.compile(r"""([\w:.\-]+)\s*=\s*(?:"([^"]*+)"|'([^']*+)')""")
+
+
+def xml(text: str) -> Iterator[Setting]:
+    """Texts of elements and values of attributes. A value beside a key or name is that one's, as is the element behind a key."""
+    path: list[str] = []
+    named = ""
+    for m in _XML.finditer(text):
+        if m["open"]:
+            tag = m["open"].rpartition(":")[2]
+            fields = {a[1].rpartition(":")[2].lower(): a for a in _ATTRIBUTE.finditer(text, m.start("attributes"), m.end("attributes"))}
+            label = next((_pick(fields[k], range(2, 4))[0] for k in ("key", "name") if k in fields), "")
+            for a in fields.values():
+                at = a[1].rpartition(":")[2]
+                if found := _pick(a, range(2, 4)):
+                    yield (*path, tag, label if label and at.lower() == "value" else at), *found
+            if not m["attributes"].rstrip().endswith("/"):
+                path.append(label or tag)
+        elif m["close"]:
+            if path:
+                path.pop()
+        elif (m["text"] or m["data"]) is not None:
+            group = "text" if m["text"] is not None else "data"
+            body = m[group].strip()
+            if not body:
+                continue
+            start = m.start(group) + m[group].index(body)
+            if path and path[-1].lower() == "key":
+                named = body
+            elif path:
+                own = path[-1]
+                yield (*path[:-1], named if named and own.lower() in ("string", "data") else own), body, start, start + len(body)
+                named = ""
 
 
 def nested(keys: tuple[str, ...], value: str, start: int, prose: bool = False) -> Iterator[Setting]:
@@ -249,8 +299,8 @@ def nested(keys: tuple[str, ...], value: str, start: int, prose: bool = False) -
 
 
 # fixed values: extensions and index languages of configuration formats
-READERS = {"env": dotenv, "ini": ini, "cfg": ini, "conf": ini, "properties": ini, "toml": toml, "json": json_text, "yml": yaml, "yaml": yaml}
-LANGUAGES = {"dotenv": dotenv, "ini": ini, "toml": toml, "json": json_text, "yaml": yaml}
+READERS = {"env": dotenv, "ini": ini, "cfg": ini, "conf": ini, "properties": ini, "toml": toml, "json": json_text, "yml": yaml, "yaml": yaml, "xml": xml, "config": xml, "plist": xml}
+LANGUAGES = {"dotenv": dotenv, "ini": ini, "toml": toml, "json": json_text, "yaml": yaml, "xml": xml}
 
 
 def reader(path: str | None, language: str | None):

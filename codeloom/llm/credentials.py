@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,32 @@ def secretish(value: str) -> bool:
     return len(value) >= 8
 
 
-def plausible(value: str, level: int) -> bool:
+def random_looking(value: str) -> bool:
+    """A run of at least twelve letters of both cases and digits, or long hexadecimal: a secret also where the name says little."""
+    return secretish(value) and (bool(_HEX.match(value)) or (len(value) >= 12 and bool(_TOKENISH.match(value)) and any(c.islower() for c in value) and any(c.isupper() for c in value) and any(c.isdigit() for c in value)))
+
+
+# fixed values: passwords of letters that many people use
+_COMMON = frozenset(
+    "letmein sunshine princess iloveyou football baseball monkey dragon shadow superman batman michael jennifer charlie freedom whatever qwertyuiop qwerty asdfgh "
+    "asdfghjkl zxcvbnm welcome master ashley jessica jordan hannah daniel starwars computer cheese pepper ginger summer winter mustang corvette ferrari liverpool "
+    "chelsea arsenal barcelona hottie lovely flower cookie chocolate butterfly correcthorse correcthorsebatterystaple trustme opensesame swordfish".split()
+)
+_PROSE = frozenset("a an the your you my our is are be must not no at to for of and or in on with please enter type choose set new old this that here it key token secret password passphrase passwort".split())
+
+
+def spoken(value: str, key: str) -> bool:
+    """Passwords of letters, under a name that says password: ones that many people use, and phrases of four plain words or more."""
+    if not any(w in _PASSWORD or (w.endswith("s") and w[:-1] in _PASSWORD) or _SUFFIXED.search(w) for w in words(key)[-1:]):
+        return False
+    parts = value.split(" ")
+    return value.lower() in _COMMON or (len(parts) >= 4 and all(re.fullmatch(r"[a-z]{3,}", p) and p not in _PROSE for p in parts))
+
+
+def plausible(value: str, level: int, key: str = "") -> bool:
     """Whether ``value`` may be the secret of a name of sensitivity ``level``."""
+    if level == 2 and spoken(value, key):
+        return True
     if len(value) < 4 or any(c.isspace() for c in value) or is_placeholder(value) or _HOST.match(value) or _DIGEST.match(value) or (len(value) > 100 and _MEDIA.match(value)):
         return False
     if _URL.match(value):
@@ -237,14 +262,21 @@ def _in_comment(text: str, start: int, end: int) -> Iterator[Span]:
 
 _PY_TOKEN = re.compile(r"""(?s)\#[^\n]*+|(?<![\w"'])([A-Za-z]{0,2})(?:\"\"\"((?:[^"\\]|\\.|"(?!""))*+)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*+)'''|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
 _JS_TOKEN = re.compile(r"""(?s)//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|()(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)|(?<=[=(,:\[!&|?{};])\s?/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+""")
-_BOUND = (
-    re.compile(r"""(?:getenv|environ\.get|env\.get|config\.get|[gG]etenv|\benv|get_env)\(\s*["']([\w.\-]+)["']\s*,\s*(?:default\s*=\s*)?$"""),
-    re.compile(r"""(?:process\.env|import\.meta\.env|environ)(?:\.(\w+)|\[\s*["'](\w+)["']\s*\])\s*(?:\|\||\?\?|or)\s*$"""),
-    re.compile(r"""["'`]([^"'`\n]{1,80})["'`]\s*\]?\s*(?:=|:|=>)\s*\(?\s*[a-zA-Z]{0,2}$"""),
-    re.compile(r"""(?:set|append|add|put|header|setHeader|set_header|setItem|setdefault|setenv)\(\s*["'`]([^"'`\n]{1,80})["'`]\s*,\s*$"""),
-    re.compile(r"""([\w$]+)\s*(?:\?|!)?(?::\s*[\w\[\]|<>., ]{1,40})?\s*(?:=|:=|===?|:)\s*\(?\s*[a-zA-Z]{0,2}$"""),
+# what a literal is bound to, read backwards from it: names of any length, at any distance of blanks and comments
+_BOUND = tuple(
+    regex.compile(pattern, regex.REVERSE)
+    for pattern in (
+        r"""(?:getenv|environ\.get|env\.get|config\.get|[gG]etenv|\benv|get_env)\(\s*+["']([\w.\-]+)["']\s*+,\s*+(?:default\s*=\s*)?""",
+        r"""(?:process\.env|import\.meta\.env|environ)(?:\.(\w+)|\[\s*["'](\w+)["']\s*\])\s*(?:\|\||\?\?|or)\s*""",
+        r"""["'`]([^"'`\n]+)["'`]\s*\]?\s*(?:=|:|=>)\s*[(\[]?\s*[a-zA-Z]{0,2}""",
+        r"""(?:set|append|add|put|header|setHeader|set_header|setItem|setdefault|setenv)\(\s*["'`]([^"'`\n]+)["'`]\s*,\s*""",
+        r"""(?<![\w$])([\w$]+)\s*[?!]?(?::\s*[\w\[\]|<>., ]+?)?\s*(?:=|:=|===?|:)\s*[(\[]?\s*[a-zA-Z]{0,2}""",
+    )
 )
-_CALL = re.compile(r"([\w$.]+)\(\s*((?:[^()\n]|\([^()\n]*\))*)$")
+_OPENED = regex.compile(r"\[\s*+[a-zA-Z]{0,2}", regex.REVERSE)
+_NEXT = re.compile(r"\s*,\s*[a-zA-Z]{0,2}\Z")
+_CALLED = regex.compile(r"[\w$.]+", regex.REVERSE)
+_ROUND = re.compile(r"[()]")
 _LOGIN = re.compile(r"(?i)log_?(?:in|on)|sign_?in|auth|connect|credential|password|secret|bearer|unlock|decrypt|passphrase|api|token|session|client|\buse$|\.use$|basic|ldap|ssh|ftp|smtp|imap|redis|mysql|postgres|mongo")
 _NO_LOGIN = re.compile(r"(?i)digest|hash|checksum|integrity|commit|uuid|assert|expect|log(?:ger)?\.(?:info|debug|warn|error)|print|console|load|read|fetch|import|require|regex|compile|t\(|translate|i18n")
 _JOIN = re.compile(r"^\s*(?:\+|\.\s*concat\()?\s*(?:\\\s*)?$")
@@ -276,22 +308,43 @@ def _in_embedded(text: str, start: int, end: int, key: str) -> Iterator[Span]:
             yield a, b, ".".join(keys), "secret by name"
 
 
+def _bare(text: str, tokens: list[re.Match]) -> str:
+    """``text`` with its comments blanked, at the same places."""
+    parts, at = [], 0
+    for m in tokens:
+        if _string(m) is None and m[0][:1] in ("#", "/") and (m[0][0] == "#" or m[0][:2] in ("//", "/*")):
+            parts += (text[at : m.start()], re.sub(r"[^\n]", " ", m[0]))
+            at = m.end()
+    return "".join([*parts, text[at:]])
+
+
 def _in_code(text: str, python: bool) -> Iterator[Span]:
-    token = _PY_TOKEN if python else _JS_TOKEN
+    tokens = list((_PY_TOKEN if python else _JS_TOKEN).finditer(text))
+    bare = _bare(text, tokens)
     chain: list[tuple[str, int, int]] = []  # literals that are joined
     chain_at = chain_end = 0
     mode = ""
+    calls: list[list] = []  # open brackets: place, whether an address of a host stands in them
+    call: list | None = None
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    code_end = 0
+    listed, listed_end = "", -1  # name of the list that the literal before stands in, and where that literal ends
+
+    def bound() -> tuple[str, bool]:
+        """Name the chain is bound to, and whether by a list."""
+        if listed and _NEXT.match(bare, listed_end, chain_at):
+            return listed, True
+        for pattern in _BOUND:
+            if m := pattern.match(bare, 0, chain_at):
+                return next(g for g in m.groups() if g), _OPENED.match(bare, 0, chain_at) is not None
+        return "", False
 
     def judge() -> Iterator[Span]:
+        nonlocal listed, listed_end
         value = "".join(v for v, _, _ in chain)
         spans = [(a, b) for _, a, b in chain]
-        before = text[max(0, chain_at - 200) : chain_at]
-        before = before[before.rfind("\n", 0, max(0, len(before.rstrip()) - 1)) + 1 :] if "\n" in before.rstrip() else before
-        key = ""
-        for pattern in _BOUND:
-            if b := pattern.search(before):
-                key = next(g for g in b.groups() if g)
-                break
+        key, in_list = bound()
+        listed, listed_end = (key if in_list else ""), chain_end
         if value.startswith("data:"):
             return
         if len(chain) == 1:
@@ -312,15 +365,32 @@ def _in_code(text: str, python: bool) -> Iterator[Span]:
         level = sensitivity(key) if key else 0
         if level and words(value) == words(key):
             return
-        if level and plausible(value, level):
+        if in_list:
+            if level and (random_looking(value) or (level == 2 and secretish(value) and classes(value) == 4)):
+                yield from ((a, b, key, "secret by name") for a, b in spans)
+            return
+        if level and plausible(value, level, key):
             yield from ((a, b, key, "secret by name") for a, b in spans)
-        elif not key and len(chain) == 1 and (c := _CALL.search(before)) and not _NO_LOGIN.search(c[1]):
-            host = any(_HOST.match(x) for x in re.findall(r"""["'`]([^"'`]+)["'`]""", c[2]))
-            if (host or _LOGIN.search(c[1])) and secretish(value):
-                yield (*spans[0], c[1], "secret in call")
-
-    for m in token.finditer(text):
+        elif not key and len(chain) == 1 and call:
+            if _HOST.match(value):
+                call[1] = True
+            if secretish(value):
+                code = chain_at  # end of the code before the literal
+                while code and bare[code - 1].isspace():
+                    code -= 1
+                line = bisect_left(breaks, code)
+                name = _CALLED.match(bare, 0, call[0])
+                if name and call[0] > (breaks[line - 1] if line else -1) and not _NO_LOGIN.search(name[0]) and (call[1] or _LOGIN.search(name[0])):
+                    yield (*spans[0], name[0], "secret in call")
+
+    for m in tokens:
         lit = _string(m)
+        for bracket in _ROUND.finditer(bare, code_end, m.start()):
+            if bracket[0] == "(":
+                calls.append([bracket.start(), False])
+            elif calls:
+                calls.pop()
+        code_end = m.end()
         if lit is None:
             if m[0][:1] in "#/" and m[0][:2] in ("//", "/*") or (python and m[0][0] == "#"):
                 if chain:
@@ -334,7 +404,7 @@ def _in_code(text: str, python: bool) -> Iterator[Span]:
             yield from judge()
             chain = []
         if not chain:
-            chain_at = m.start()
+            chain_at, call = m.start(), calls[-1] if calls else None
             mode = "(" if text[max(0, chain_at - 3) : chain_at].rstrip().endswith("(") else ""
         chain.append(lit)
         chain_end = m.end()
@@ -346,9 +416,13 @@ _CONFIG_COMMENT = re.compile(r"(?m)^[ \t]*[#;](?!!)[^\n]*|[ \t]\#[ \t][^\n]*|^[
 
 
 def _by_name(keys: tuple[str, ...], value: str, strict: bool) -> bool:
-    """Whether the value of a setting is a secret by its name; ``strict`` asks for the shape of a secret besides."""
+    """Whether the value of a setting is a secret by its name; ``strict`` asks for the shape of a secret besides. A key that says
+    nothing takes the name of the keys around it, if the value looks random."""
     level = sensitivity(keys[-1]) or (1 if len(keys) > 1 and keys[-1].lower() in ("value", "default", "data") and sensitivity(keys[-2]) else 0)
-    return bool(level) and words(value) != words(keys[-1]) and plausible(value, level) and (not strict or secretish(value))
+    if not level:
+        last = words(keys[-1])
+        return bool(last) and last[-1] not in _NEGATIVE and any(sensitivity(k) == 2 for k in keys[:-1]) and random_looking(value)
+    return words(value) != words(keys[-1]) and plausible(value, level, keys[-1]) and (not strict or secretish(value))
 
 
 def _in_settings(text: str, read) -> Iterator[Span]:

@@ -168,3 +168,44 @@ def test_operator(spark):
     out = {r.id: (r.source, r.n_redacted) for r in redacted(files).where("id in ('a', 'b', 'c')").collect()}
     assert out == {"a": (text.replace("Tree-House-1299", "x" * 15), 1), "b": (None, 0), "c": ("", 0)}
     assert credential_lines(files.limit(0)).count() == 0 and redacted(files.limit(0)).count() == 0
+
+
+SECRET = "Xk39fjQ2zaB1"
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "n"),
+    [
+        ("a.py", 'x = "' + "a b " * 1500 + 'ghp_aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA2bC4"\n', 1),
+        ("a.py", 'signature = "' + "a1B2c3D4" * 60 + '"\n', 1),
+        ("a.py", "password = (\n" + "# a note\n" * 200 + f'    "{SECRET}"\n)\n', 1),
+        ("a.py", '{"password":' + " " * 1000 + f'"{SECRET}"}}\n', 1),
+        ("a.py", "x_" * 100 + f'password = "{SECRET}"\n', 1),
+        ("a.ts", f'const password: Map<string, Record<string, Array<Promise<string>>>> | undefined | null = "{SECRET}";\n', 1),
+        ("a.py", f"PASSWORDS = ['{SECRET}', '{SECRET}',\n '{SECRET}']\nnames = ['{SECRET}']\n", 3),
+        ("a.js", "const tokens = ['IDENT', 'T_STRING2', 'PLUS'];\n", 0),
+        ("a.yaml", "tokens:\n" + "".join(f"  - {SECRET}{i}\n" for i in range(500)), 500),
+        ("a.yaml", "tokens:\n  primary:\n" + "".join(f"    - {SECRET}{i}\n" for i in range(200)), 200),
+        ("a.yaml", f"tokens:\n  model: gpt-4o-mini-2024\n  primary: {SECRET}\n", 1),
+        ("a.xml", f'<c><password>{SECRET}</password><add key="password" value="{SECRET}"/><db password="{SECRET}"/><!-- none --></c>', 3),
+        ("a.plist", f"<dict><key>apiKey</key><string>{SECRET}</string><key>name</key><string>{SECRET}</string></dict>", 1),
+        (".env", "DB_PASSWORD=Sunshine\nDB_PASSPHRASE=correct horse battery staple\nPASSWORD_HINT=letmein\n", 2),
+        ("a.py", 'password = "Enter your password here"\nlabel = "letmein"\npassword = "required"\n', 0),
+        ("a.py", f'ftp.login(\n    "{SECRET}")\nhash.update("{SECRET}")\n', 1),
+    ],
+)
+def test_no_bounds(path, text, n):
+    spans = find(text, path, None)
+    assert len(spans) == n
+    clean = redact(text, spans)
+    assert len(clean) == len(text) and (n == 0 or not find(clean, path, None))
+
+
+def test_time_grows_with_size():
+    took = []
+    for n in (20_000, 80_000):
+        text = "load(" + ",".join(f'"{SECRET}{i}"' for i in range(n)) + ")"
+        start = time.process_time()
+        find(text, "a.js", None)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * max(took[0], 0.05)
