@@ -1,12 +1,15 @@
 """Functions paired with their documentation, by recursive patterns over whole source texts.
 
-One pattern per language family walks a text once. Strings, template literals, regular expressions and comments are consumed
-as units, so marks inside them open nothing; a documentation comment, the decorators, the signature (with balanced brackets)
-and the balanced body behind it are captured together. The body is captured by look-ahead, so functions inside it are found too.
+Strings, template texts, regular expressions and comments are units: one pass hides what stands in them, and one pass over the
+brackets finds each one's partner. On the hidden text a recursive pattern for each language family captures decorators and
+signature, balanced brackets in them, at each function (Python) or behind each comment (scripts); comment, docstring and body
+are cut out around it, the body to the partner of its bracket or, in Python, to the next line that isn't deeper. The time is
+linear in the text, also of damaged ones.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,54 +26,126 @@ SCHEMA = "repository_id string, file_path string, start_line int, name string, s
 #: Documentation with fewer words of prose is trivial.
 LEAST_WORDS = 5
 
-_PY = r"""
-(?(DEFINE)
-  (?P<str>[A-Za-z]{0,2}(?:\"\"\"(?:[^"\\]++|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'))
-  (?P<par>\((?:[^()\[\]{}"'\#]++|(?&str)|\#[^\n]*+|(?&par)|(?&brk)|(?&brc)|["'])*+\))
-  (?P<brk>\[(?:[^()\[\]{}"'\#]++|(?&str)|\#[^\n]*+|(?&par)|(?&brk)|(?&brc)|["'])*+\])
-  (?P<brc>\{(?:[^()\[\]{}"'\#]++|(?&str)|\#[^\n]*+|(?&par)|(?&brk)|(?&brc)|["'])*+\})
-)
-^(?P<comment>(?:[ \t]*+\#[^\n]*+\n)*+)
- (?P<decorators>(?:[ \t]*+@[\w.]++[ \t]*+(?:(?&par))?[^\n]*+\n)*+)
- (?P<signature>(?P<indent>[ \t]*+)(?:async[ \t]++)?+def[ \t]++(?P<name>\w++)\s*+(?:(?&brk))?+(?&par)\s*+(?:->(?:[^:\n"'\[]++|(?&str)|(?&brk))*+)?+:?)
- (?:(?<=:)(?:[ \t]*+(?:\#[^\n]*+)?\r?\n)*+[ \t]*+(?P<docstring>[rRuU]?(?:\"\"\"(?:[^"\\]++|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'))(?=[ \t]*+(?:[;\#\r\n]|\Z)))?+
- (?=(?P<body>(?:[^\n]*+(?:\n(?:(?P=indent)[ \t]++[^\n]*+|[ \t\r]*+(?=\n)))*+)?+))
-|(?=["'])(?&str)
-|^(?:[ \t]*+\#[^\n]*+\n)++
-|\#[^\n]*+
-|[^"'\#\n]++
-"""
+# units that hide what stands in them
+_PY_UNIT = regex.compile(r"""\#[^\n]*+|(?:(?<!\w)[A-Za-z]{1,2})?+(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\')""", regex.DOTALL)
+_JS_UNIT = regex.compile(r"""//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`|/|[{}]""", regex.DOTALL)
+_PIECE = regex.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+(?:`|\$(?=\{))", regex.DOTALL)
+_REGEX = regex.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+")
+_BRACKET = regex.compile(r"[()\[\]{}]")
+_PARTNER = {")": "(", "]": "[", "}": "{"}
 
-_JS = r"""
+# heads of functions in texts whose units are masked, and whose brackets all have a partner: balanced by recursion
+_BALANCED = r"""
 (?(DEFINE)
-  (?P<str>"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|(?&tpl))
-  (?P<tpl>`(?:[^`\\$]++|\\.|\$(?:(?=\{)(?&brc))?+)*+`)
-  (?P<com>/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+)
-  (?P<rex>(?=/)(?<=[=(,:\[!&|?{};]\s{0,1})/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+)
-  (?P<par>\((?:[^()\[\]{}"'`/]++|(?&str)|(?&com)|(?&rex)|(?&par)|(?&brk)|(?&brc)|["'`/])*+\))
-  (?P<brk>\[(?:[^()\[\]{}"'`/]++|(?&str)|(?&com)|(?&rex)|(?&par)|(?&brk)|(?&brc)|["'`/])*+\])
-  (?P<brc>\{(?:[^()\[\]{}"'`/]++|(?&str)|(?&com)|(?&rex)|(?&par)|(?&brk)|(?&brc)|["'`/])*+\})
+  (?P<par>\((?:[^()\[\]{}]++|(?&par)|(?&brk)|(?&brc))*+\))
+  (?P<brk>\[(?:[^()\[\]{}]++|(?&par)|(?&brk)|(?&brc))*+\])
+  (?P<brc>\{(?:[^()\[\]{}]++|(?&par)|(?&brk)|(?&brc))*+\})
   (?P<ang><(?:[^<>(){}]++|(?&ang)|(?&par)|(?&brc))*+>)
-  (?P<type>(?:[^(){}\[\]=;,\n"'`<]++|(?&ang)|(?&par)\s*+=>|(?&par)|(?&brk)|(?&brc)(?=\s*+(?:[\[|&{]|=>))|(?&str))++)
+  (?P<type>(?:[^(){}\[\]=;,\n<\x01]++|(?&ang)|(?&par)\s*+=>|(?&par)|(?&brk)|(?&brc)(?=\s*+(?:[\[|&{]|=>)))++)
 )
-^[ \t]*+(?=/)(?P<comment>/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+(?:\n[ \t]*+//[^\n]*+)*+)[ \t\r]*+\n
- (?P<decorators>(?:[ \t]*+@[\w.]++[ \t]*+(?:(?&par))?[^\n]*+\n)*+)
- [ \t]*+(?P<signature>(?:export[ \t]++)?+(?:default[ \t]++)?+(?:declare[ \t]++)?+
+"""
+_PY_HEAD = _BALANCED + r"""
+(?P<indent>[ \t]*+)(?P<signature>(?:async[ \t]++)?+def[ \t]++(?P<name>\w++)\s*+(?&brk)?+(?&par)\s*+(?:->(?:[^:\n\[\](){}]++|(?&par)|(?&brk)|(?&brc))*+)?+:?)
+"""
+_JS_HEAD = _BALANCED + r"""
+(?P<decorators>(?:[ \t]*+@[\w.]++[ \t]*+(?&par)?+[^\n]*+\n)*+)
+[ \t]*+(?P<signature>(?:export[ \t]++)?+(?:default[ \t]++)?+(?:declare[ \t]++)?+
   (?:(?:async[ \t]++)?+function\b[ \t]*+\*?[ \t]*+(?P<name>[\p{L}_$][\w$]*+)?\s*+(?&ang)?+\s*+(?&par)(?:\s*+:(?&type))?+
    |(?:const|let|var)[ \t]++(?P<name>[\p{L}_$][\w$]*+)(?:\s*+:(?&type))?+\s*+=\s*+(?:async\b\s*+)?+(?:function\b\s*+\*?\s*+[\w$]*+\s*+(?&ang)?+(?&par)(?:\s*+:(?&type))?+|(?&ang)?+(?:(?&par)|[\p{L}_$][\w$]*+)(?:\s*+:(?&type))?+\s*+=>)
-   |(?!(?:if|for|while|switch|catch|return|function|new|typeof|do|else|with|await|throw)\b)(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set|accessor)[ \t]++)*+\*?[ \t]*+(?P<name>\#?[\p{L}_$][\w$]*+)\s*+\??(?:(?&ang)?+\s*+(?&par)(?:\s*+:(?&type))?+\s*+(?=\{)|(?:\s*+:(?&type))?+\s*+=\s*+(?:async\b\s*+)?+(?:(?&par)|[\p{L}_$][\w$]*+)(?:\s*+:(?&type))?+\s*+=>)
+   |(?!(?:if|for|while|switch|catch|return|function|new|typeof|do|else|with|await|throw)\b)(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set|accessor)[ \t]++)*+\*?[ \t]*+(?P<name>\#?[\p{L}_$][\w$]*+)\s*+\??(?:(?&ang)?+\s*+(?&par)(?:\s*+:(?&type))?+\s*+(?=[{\x01])|(?:\s*+:(?&type))?+\s*+=\s*+(?:async\b\s*+)?+(?:(?&par)|[\p{L}_$][\w$]*+)(?:\s*+:(?&type))?+\s*+=>)
   ))
- (?=\s*+(?P<body>(?&brc)|[^\n]*+))
-|(?=["'`])(?&str)
-|(?=/)(?:(?&rex)|(?&com))
-|[^"'`/\n]++
 """
+_BEFORE_REGEX = frozenset("=(,:[!&|?{};")
 
 
 @cache
 def _patterns() -> tuple[regex.Pattern, regex.Pattern]:
     flags = regex.VERBOSE | regex.MULTILINE | regex.DOTALL | regex.VERSION0
-    return regex.compile(_PY, flags), regex.compile(_JS, flags)
+    return regex.compile(_PY_HEAD, flags), regex.compile(_JS_HEAD, flags)
+
+
+class Masked:
+    """A text with its units hidden, character by character: comments are blanks, strings are quotes without line breaks, brackets
+    without a partner are marks that open and close nothing. One pass over units, one over brackets."""
+
+    def __init__(self, text: str, python: bool):
+        self.text = text
+        self.comments: list[tuple[int, int]] = []
+        self.strings: dict[int, int] = {}
+        parts, at = [], 0
+        for start, end in self._python_units() if python else self._script_units():
+            parts.append(text[at:start])
+            piece, at = text[start:end], end
+            if piece[0] == "#" or piece[:2] in ("//", "/*"):
+                self.comments.append((start, end))
+                parts.append(regex.sub(r"[^\r\n]", " ", piece))
+            else:
+                self.strings[start] = end
+                parts.append('"' * len(piece))
+        code = "".join([*parts, text[at:]])
+        self.partner: dict[int, int] = {}
+        stack: list[int] = []
+        waiting = dict.fromkeys("([{", 0)
+        lost: list[int] = []
+        for m in _BRACKET.finditer(code):
+            c, i = m[0], m.start()
+            if c in waiting:
+                stack.append(i)
+                waiting[c] += 1
+            elif not waiting[_PARTNER[c]]:
+                lost.append(i)
+            else:
+                while code[stack[-1]] != _PARTNER[c]:
+                    waiting[code[stack[-1]]] -= 1
+                    lost.append(stack.pop())
+                waiting[_PARTNER[c]] -= 1
+                self.partner[stack.pop()] = i
+        lost += stack
+        if lost:
+            marks, at, parts = sorted(lost), 0, []
+            for i in marks:
+                parts += (code[at:i], "\x01")
+                at = i + 1
+            code = "".join([*parts, code[at:]])
+        self.code = code
+
+    def _python_units(self) -> Iterator[tuple[int, int]]:
+        return (m.span() for m in _PY_UNIT.finditer(self.text))
+
+    def _script_units(self) -> Iterator[tuple[int, int]]:
+        """Comments, strings, regular expressions and the pieces of text of templates; code in templates is code."""
+        text, at = self.text, 0
+        braces: list[bool] = []  # open braces: whether text of a template goes on behind them
+        whole = True
+        while m := _JS_UNIT.search(text, at):
+            c, start, at = m[0], m.start(), m.end()
+            if c == "{":
+                braces.append(start > 0 and text[start - 1] == "$" and start == self._opened)
+                continue
+            if c == "}" and not (braces and braces.pop()):
+                continue
+            if c in "`}" and whole:
+                if not (piece := _PIECE.match(text, start + 1)):
+                    whole = False  # no template ends any more
+                    continue
+                at = piece.end()
+                self._opened = at if text[at - 1 : at + 1] == "${" else -1
+                first = start + (c == "}")
+                if at > first:
+                    yield first, at
+            elif c in "`}":
+                continue
+            elif c == "/":
+                back = start - 1
+                while back >= 0 and text[back] in " \t\r\n":
+                    back -= 1
+                if (back < 0 or text[back] in _BEFORE_REGEX or text[max(0, back - 5) : back + 1] == "return") and (r := _REGEX.match(text, start)):
+                    at = r.end()
+                    yield start, at
+            else:
+                yield start, at
+
+    _opened = -1
 
 
 # fixed values: comments that address a tool and not a reader
@@ -168,29 +243,105 @@ def prose_words(text: str, name: str) -> int:
     return n
 
 
+def _python_functions(text: str) -> Iterator[tuple[int, int, int, str, str | None, str | None, int]]:
+    """(start, start with decorators, end of the head, name, comment, docstring, end of the body) of each function."""
+    masked = Masked(text, True)
+    inside: list[tuple[int, int]] = []  # outermost brackets: line breaks in them end no line
+    for start in sorted(masked.partner):
+        if not inside or start > inside[-1][1]:
+            inside.append((start, masked.partner[start]))
+    parts, at = [], 0
+    for start, end in inside:
+        parts += (masked.code[at:start], masked.code[start:end].replace("\n", " "))
+        at = end
+    code = "".join([*parts, masked.code[at:]])
+    lines = [0, *[m.end() for m in regex.finditer("\n", code)]]
+    bare = [line.strip() for line in code.split("\n")]
+    depth = [len(line) - len(line.lstrip(" \t")) for line in code.split("\n")]
+    alone = set()  # lines that hold nothing but a comment
+    for start, _ in masked.comments:
+        i = bisect_right(lines, start) - 1
+        if not bare[i]:
+            alone.add(i)
+    # the first line behind each that isn't deeper
+    behind, stack = [len(lines)] * len(lines), []
+    for i, line in enumerate(bare):
+        if line:
+            while stack and depth[i] <= depth[stack[-1]]:
+                behind[stack.pop()] = i
+            stack.append(i)
+    pattern = _patterns()[0]
+    for i, line in enumerate(bare):
+        if not (line.startswith("def ") or line.startswith("async ") or line.startswith("def\t")) or not (m := pattern.match(code, lines[i])):
+            continue
+        top = i
+        while top and bare[top - 1].startswith("@"):
+            top -= 1
+        first = top
+        while first and first - 1 in alone:
+            first -= 1
+        comment = text[lines[first] : lines[top]] if first < top else None
+        doc = None
+        begin = m.end()
+        if code[begin - 1] == ":":
+            while begin < len(code) and code[begin] in " \t\r\n":
+                begin += 1
+            if begin in masked.strings and regex.match(r"[rRuU]?[\"\']", text[begin : begin + 2]):
+                end = masked.strings[begin]
+                if regex.compile(r"[ \t\r]*+(?:[;\n]|\Z)").match(code, end):
+                    doc = text[begin:end]
+        last = behind[i] - 1
+        while last > i and not bare[last]:
+            last -= 1
+        end = lines[last + 1] - 1 if last + 1 < len(lines) else len(code)
+        yield m.start("signature"), lines[top], m.end("signature"), m["name"], comment, doc, end
+
+
+def _script_functions(text: str) -> Iterator[tuple[int, int, int, str, str | None, str | None, int]]:
+    """The same of each function of a script that has a comment on the line above."""
+    masked = Masked(text, False)
+    code, comments = masked.code, masked.comments
+    pattern = _patterns()[1]
+    k = 0
+    while k < len(comments):
+        start, end = comments[k]
+        k += 1
+        if code[code.rfind("\n", 0, start) + 1 : start].strip(" \t"):
+            continue
+        while text.startswith("//", start) and k < len(comments) and text.startswith("//", comments[k][0]) and not text[end : comments[k][0]].strip() and text.count("\n", end, comments[k][0]) == 1:
+            end = comments[k][1]
+            k += 1
+        line = text.find("\n", end)
+        if line < 0 or text[end:line].strip() or not (m := pattern.match(code, line + 1)):
+            continue
+        body = m.end()
+        while body < len(code) and code[body].isspace():
+            body += 1
+        if text[body : body + 1] == "{":
+            stop = masked.partner.get(body, len(text) - 1) + 1  # an open body goes on to the end
+        else:
+            stop = text.find("\n", body)
+            stop = len(text) if stop < 0 else stop
+        head = m.start("signature")
+        yield head, m.start("decorators") if m["decorators"] else head, m.end("signature"), m["name"] or "", text[start:end], None, stop
+
+
 def documented(text: str, language: str) -> Iterator[tuple[int, str, str, str, str, bool]]:
     """(line, name, signature, description, code, trivial) of each function in ``text`` that has a comment or docstring."""
-    python = language == "python"
-    pattern = _patterns()[0 if python else 1]
     line, at = 1, 0
-    for m in pattern.finditer(text):
-        signature = m["signature"]
-        if signature is None or not (m["comment"] or (python and m["docstring"])):
+    for start, top, head, name, comment, docstring, stop in _python_functions(text) if language == "python" else _script_functions(text):
+        if not (comment or docstring):
             continue
-        start = m.start("signature")
         line += text.count("\n", at, start)
         at = start
-        name = m["name"] or ""
         found = []
-        if python and m["docstring"]:
-            found.append(plain_docstring(m["docstring"]))
-        if m["comment"]:
-            found.append(plain_comment(m["comment"]))
+        if docstring:
+            found.append(plain_docstring(docstring))
+        if comment:
+            found.append(plain_comment(comment))
         words = [prose_words(x, name) for x in found]
         best = max(range(len(found)), key=lambda i: (words[i] >= LEAST_WORDS, -i))
-        head = (m["decorators"] or "") + text[start : m.end("signature")]
-        code = text[m.start("decorators") if m["decorators"] else start : m.end("body")]
-        yield line, name, head.strip(), found[best], code, words[best] < LEAST_WORDS
+        yield line, name, text[top:head].strip(), found[best], text[top:stop], words[best] < LEAST_WORDS
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

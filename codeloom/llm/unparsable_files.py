@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,21 +19,11 @@ def failure(text: str, ext: str) -> tuple[int, str] | None:
     """None if ``text`` is valid for the extension ``ext``, else (line, kind).
 
     Kind is "syntax" (the token on that line cannot stand there), "conflict" (it belongs to a merge conflict mark) or
-    "truncated" (the text ends too early). Of Python texts the exact parser of the running Python has the last word, as it may
-    know later syntax, and knows the order of parameters and arguments, assignable targets, fields of f-strings and mixed
-    indents, which the grammar doesn't tell. Blank texts parse.
+    "truncated" (the text ends too early). Blank texts parse.
     """
     if not text or text.isspace():
         return None
-    language = EXTENSIONS[ext]
-    if language == "python":
-        found, (line, exact) = syntax_python.check(text), _exact(text)
-        if exact:
-            return None
-        if not found:
-            return (line, "syntax") if line else None
-    else:
-        found = syntax_script.check(text, ext in ("ts", "tsx"), ext in ("jsx", "tsx"))
+    found = syntax_python.check(text) if EXTENSIONS[ext] == "python" else syntax_script.check(text, ext in ("ts", "tsx"), ext in ("jsx", "tsx"))
     if not found:
         return None
     at, kind = found
@@ -45,23 +33,6 @@ def failure(text: str, ext: str) -> tuple[int, str] | None:
     return text.count("\n", 0, at) + 1, kind
 
 
-# fixed values: messages of the exact parser's own limits
-_LIMITS = ("too many nested", "too many statically nested", "Exceeds the limit")
-
-
-def _exact(text: str) -> tuple[int, bool]:
-    """(line of the first error, whether the text parses); line 0 if the parser can't tell, as a limit of its own is met."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text.removeprefix("\ufeff"))
-        except SyntaxError as e:
-            return 0 if str(e.msg).startswith(_LIMITS) else e.lineno or 1, False
-        except (ValueError, RecursionError, MemoryError):
-            return 0, False
-    return 0, True
-
-
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [failure(text, ext) for text, ext in zip(batch["source"], batch["ext"])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import configparser
 import json
+import time
 import tomllib
 
 import pytest

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from codeloom.llm.documented_functions import documented, documented_functions, documented_rows
@@ -142,3 +144,29 @@ def test_rows(spark):
     assert sorted(r.id for r in documented_rows(nodes).collect()) == ["m", "n"]
     assert documented_rows(nodes.limit(0)).count() == 0
     assert documented_functions(nodes.where("type = 'File'"), keep_trivial=True).where("trivial").count() == 6
+
+
+def test_strings_and_brackets_in_bodies():
+    text = '# Build the long text and give it back whole.\ndef f():\n    x = """\nat the edge\n"""\n    y = g(\n1,\n2)\n# note at the edge\n    return x\n\nz = 1\n'
+    ((_, name, _, _, code, trivial),) = documented(text, "python")
+    assert name == "f" and code.endswith("return x") and "at the edge" in code and not trivial
+    script = "/** Builds the long text and gives it back whole. */\nfunction f(a) {\n  return `}${g({b: '}'})}{`;\n}\nvar z = {};\n"
+    ((_, _, _, _, code, _),) = documented(script, "js")
+    assert code.endswith("{`;\n}")
+
+
+def test_open_bodies_go_on_to_the_end():
+    text = "/** Does a thing with five words here. */\nfunction f(a) {\n" + '  x(1, "a");\n' * 100
+    ((_, _, _, _, code, _),) = documented(text, "js")
+    assert len(code) > 1200
+    assert [x[1] for x in documented("/** Does a thing with five words here. */\nfunction f(a {\n" * 3, "js")] == []
+
+
+@pytest.mark.parametrize("unit", ["/** Does a thing with five words here. */\nfunction f(a) {\n  x(1);\n", "/** Does a thing with five words here. */\nfunction f(a {\n", "`${", "/** a */ '"])
+def test_damaged_scripts_take_linear_time(unit):
+    took = []
+    for size in (100_000, 800_000):
+        start = time.process_time()
+        list(documented(unit * (size // len(unit)), "js"))
+        took.append(time.process_time() - start)
+    assert took[1] < 3 and took[1] < 20 * max(took[0], 0.05)

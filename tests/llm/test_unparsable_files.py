@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import random
+import re
+import warnings
 
 import pytest
 from hypothesis import given, settings
@@ -225,3 +228,92 @@ def test_return_outside_functions():
     for text in ("return 1;\n", "if (a) { return }\n", "for (;;) return;\n", "try { a() } catch { return }\n", "switch (a) { case 1: return }\n", "l: return\n"):
         assert failure(text, "js") and failure(text, "jsx") and not failure(text, "ts")
         assert not failure("function f() { " + text + " }\n", "js") and not failure("x = { m() { " + text + " } }; class A { m() { " + text + "} }; (() => {" + text + "})()\n", "mjs")
+
+
+# what the language allows and what it doesn't, one text a line; the exact parser says which is which
+PYTHON_TEXTS = r"""
+f() = 3
+f"{x"
+1 = 2
+def f(a=1, b): pass
+def f(a, /, b, *, c): pass
+def f(*): pass
+def f(*, **k): pass
+def f(a=1, /, b=2): pass
+lambda a=1, b: a
+lambda *a, **k: 0
+f(a=1, b)
+f(**k, *a)
+f(*a, b, c=1, *d, **e)
+f(x for x in y, 1)
+f(x := 1)
+f(a.b := 1)
+x := 1
+for 1 in x: pass
+for (x, *y) in z: pass
+(x) += 1
+(a, b) += 1
+(a, *b), c = d
+(x): int
+a, b: int
+del f()
+del (a, b), c[0], d.e
+with a as f(): pass
+with (open(x) as f, y as z,): pass
+[*a or b]
+(*a)
+{**a for a in b}
+a + not b
+[x for x in lambda: y]
+print(f"{x!r:>{w}}")
+f"{x = !r}"
+f"{}"
+f"{x!z}"
+f"}"
+f"{d["a"]}"
+f"{x:=5}"
+f"{lambda x: 1}"
+f"\N{BULLET}{x:%H:%M}"
+"C:\Users"
+b"é"
+"a" b"b"
+if x:\n\ty\n        z
+x²=1
+None = 1
+a < b = c
+print "x"
+try:\n a\nexcept A:\n b\nexcept* B:\n c
+match x:\n case A(x=1, b): pass
+"""
+
+
+@pytest.mark.parametrize("text", [x.replace("\\n", "\n").replace("\\t", "\t") for x in PYTHON_TEXTS.strip().splitlines()])
+def test_python_texts(text):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            valid = True
+        except SyntaxError:
+            valid = False
+    assert (failure(text, "py") is None) == valid
+
+
+def test_library_texts_damaged():
+    """Modules of the standard library, whole and with a token taken out, doubled or put in, against the exact parser."""
+    rnd = random.Random(3)
+    for module in (ast, pytest, random, warnings):
+        with open(module.__file__, encoding="utf-8") as file:
+            text = file.read()
+        tokens = list(re.finditer(r"\w+|[^\w\s]", text))
+        for k in range(12):
+            a, b = rnd.choice(tokens), rnd.choice(tokens)
+            broken = [text, text[: a.start()] + text[a.end() :], text[: a.start()] + a[0] * 2 + text[a.end() :], text[: a.start()] + b[0] + " " + text[a.start() :]][k % 4]
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    ast.parse(broken)
+                valid = True
+            except SyntaxError:
+                valid = False
+            assert (failure(broken, "py") is None) == valid
