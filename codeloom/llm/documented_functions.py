@@ -302,6 +302,7 @@ def _script_functions(text: str) -> Iterator[tuple[int, int, int, str, str | Non
     masked = Masked(text, False)
     code, comments = masked.code, masked.comments
     pattern = _patterns()[1]
+    found = []
     k = 0
     while k < len(comments):
         start, end = comments[k]
@@ -317,13 +318,22 @@ def _script_functions(text: str) -> Iterator[tuple[int, int, int, str, str | Non
         body = m.end()
         while body < len(code) and code[body].isspace():
             body += 1
+        head = m.start("signature")
+        found.append((start, head - code.rfind("\n", 0, head), head, m.start("decorators") if m["decorators"] else head, m.end("signature"), m["name"] or "", text[start:end], body))
+    later: list[tuple[int, int]] = []  # (comment, depth) of the functions behind, each less deep than the one before it
+    out = []
+    for start, depth, head, top, signed, name, comment, body in reversed(found):
+        while later and later[-1][1] > depth:
+            later.pop()
         if text[body : body + 1] == "{":
-            stop = masked.partner.get(body, len(text) - 1) + 1  # an open body goes on to the end
+            # an open body goes on to the next documented function that isn't deeper, or to the end
+            stop = masked.partner[body] + 1 if body in masked.partner else later[-1][0] if later else len(text)
         else:
             stop = text.find("\n", body)
             stop = len(text) if stop < 0 else stop
-        head = m.start("signature")
-        yield head, m.start("decorators") if m["decorators"] else head, m.end("signature"), m["name"] or "", text[start:end], None, stop
+        out.append((head, top, signed, name, comment, None, stop))
+        later.append((start, depth))
+    yield from reversed(out)
 
 
 def documented(text: str, language: str) -> Iterator[tuple[int, str, str, str, str, bool]]:

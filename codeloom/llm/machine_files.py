@@ -24,8 +24,8 @@ from .unparsable_files import failure
 
 #: Tokens of a fingerprinted run, and runs of which the least hash is kept: runs of TOKENS + WINDOW - 1 equal tokens share one.
 TOKENS, WINDOW = 30, 10
-#: A copy has at least this many fingerprints, and at least this share of them recurs in another repository.
-LEAST_FINGERPRINTS, SHARE = 6, 0.6
+#: Of a copy's fingerprints at least this share recurs in so many other repositories.
+SHARE, HOLDERS = 0.6, 1
 #: A fingerprint held more often than this share of all is joined by broadcast (at most 1 / HOT_SHARE of them exist).
 HOT_SHARE = 1 / 2000
 
@@ -56,6 +56,11 @@ _KEYWORDS = frozenset(
 )
 _NUMBERED = re.compile(r"(?m)^(?:export\s+)?(?:(?:async\s+)?(?:def|function|class|const|let|var|interface|type)\s+)?([A-Za-z_$]\w*?)_?(\d+)(\w*)\s*(?:[=(:{<]|extends)")
 _DEFINED = re.compile(r"(?m)^(?:export\s+)?(?:(?:async\s+)?(?:def|function|class|const|let|var|interface|type)\s+[A-Za-z_$][\w$]*|[A-Za-z_$][\w$]*\s*=(?!=))")
+_STRING = re.compile(r"""[rRuU]?["']""")
+_DIRECTIVES = frozenset(q + "use " + w + q for q in "\"'" for w in ("strict", "client", "server", "asm"))
+# operators and commas without blanks around them, and with
+_TIGHT = re.compile(r"[\w)\]\"](?:[-+*/%<>=!]=?|,|:)[\w(\[\"]")
+_LOOSE = re.compile(r"[ \t][-+*/%<>=!]=?[ \t]|,[ \t]|\w:[ \t]+\w")
 _MARKS = re.compile(r"(?m)^\s*(?:/\*+!?|\*+/|\*+|//+!?|#+!?|\"\"\"|''')\s?|\s*\*+/\s*$")
 
 SCHEMA = "id string, repository_id string, file_path string, repo long, parses boolean, kind string, prints array<long>"
@@ -71,13 +76,20 @@ def is_comment(token: str, python: bool) -> bool:
 
 
 def header(stream: list[str], python: bool) -> Iterator[str]:
-    """Lines of the comments (or the docstring) with which a file opens."""
+    """Lines of the comments (and the docstring) with which a file opens; directives like "use strict" may stand between."""
+    docstring = False
     for i, token in enumerate(stream):
-        if not is_comment(token, python) and not (python and token == "#") and not (i == 0 and python and token[:3] in ('"""', "'''")):
-            if token in ("#", "!") and i < 2 or (i < 12 and stream[0] == "#" and not python and stream[1] == "!"):
-                continue  # the line that names an interpreter
+        if is_comment(token, python):
+            yield from _MARKS.sub("", token).splitlines()
+        elif python and not docstring and _STRING.match(token):
+            docstring = True
+            yield from _MARKS.sub("", token.lstrip("rRuU")).splitlines()
+        elif not python and (token in _DIRECTIVES or (token == ";" and i and stream[i - 1] in _DIRECTIVES)):
+            continue
+        elif token in ("#", "!") and i < 2 or (i < 12 and stream[0] == "#" and not python and stream[1] == "!"):
+            continue  # the line that names an interpreter
+        elif not (python and token == "#"):
             return
-        yield from _MARKS.sub("", token).splitlines()
 
 
 def says_generated(stream: list[str], python: bool) -> bool:
@@ -87,32 +99,41 @@ def says_generated(stream: list[str], python: bool) -> bool:
 
 
 def is_numbered(text: str) -> bool:
-    """Whether the definitions of a file are a run of numbered ones, as generators write them."""
+    """Whether the definitions of a file are a run of numbered ones, as generators write them: most of them, and the fewer there are
+    the more."""
     found = [int(m[2]) for m in _NUMBERED.finditer(text) if len(m[2]) < 7]
-    if len(found) < 6:
-        return False
+    if len(found) < 3:
+        return False  # two make no run
     steps = Counter(b - a for a, b in zip(found, found[1:]))
-    return steps[1] >= 0.8 * (len(found) - 1) and len(found) >= 0.7 * len(_DEFINED.findall(text))
+    slack = 0 if len(found) < 6 else 1
+    return steps[1] >= (1 - 0.2 * slack) * (len(found) - 1) and len(found) >= (1 - 0.3 * slack) * len(_DEFINED.findall(text))
 
 
 def is_minified(text: str, stream: list[str], python: bool) -> bool:
-    """Dense code on few lines with hardly any blanks, and mostly one- or two-letter names."""
+    """Dense code with hardly any blanks, and mostly one- or two-letter names: in scripts on few lines, in Python with statements
+    joined by semicolons or indents of one column."""
     code = [t for t in stream if not is_comment(t, python)]
+    names = [t for t in code if (t[0].isalpha() or t[0] in "_$") and t not in _KEYWORDS and t[-1] not in "\"'"]
+    short = sum(len(t) <= 2 for t in names)
+    if python:
+        bare = _PY.sub(lambda m: "" if is_comment(m[0], True) else '""' if m[0][-1] in "\"'" and len(m[0]) > 1 else m[0], text)
+        indents = [len(m[1]) for m in re.finditer(r"(?m)^([ \t]+)\S", bare)]
+        tight, loose = len(_TIGHT.findall(bare)), len(_LOOSE.findall(bare))
+        joined = len(re.findall(r";[ \t]*\S", bare))
+        lines = sum(1 for x in bare.splitlines() if x.strip())
+        close = bool(indents) and min(indents) == 1 and sum(n <= 3 for n in indents) >= 0.8 * len(indents)
+        return bool(code) and len(code) == len(stream) and tight + loose >= 3 and loose <= 0.1 * (tight + loose) and short >= 0.5 * max(1, len(names)) and (close or joined >= 0.3 * lines)
     strings = sum(len(t) - 2 for t in code if t[0] in "\"'`")
     dense = sum(map(len, code)) - strings
-    if python or dense < 200:
-        return False
     bare = _JS.sub(lambda m: "" if is_comment(m[0], python) else m[0], text)
     lines = [x for x in bare.splitlines() if x.strip()]
     blanks = len(re.findall(r"\s", bare)) - sum(len(re.findall(r"\s", t)) for t in code if t[0] in "\"'`")
-    names = [t for t in code if (t[0].isalpha() or t[0] in "_$") and t not in _KEYWORDS]
-    short = sum(len(t) <= 2 for t in names)
     return dense / max(1, len(lines)) >= 110 and blanks <= 0.15 * dense and short >= 0.35 * max(1, len(names))
 
 
 def is_data(stream: list[str], python: bool) -> bool:
     """Mainly literals: numbers, encoded or short strings and what separates them; prose in strings doesn't count as data."""
-    total = data = 0
+    total = data = values = 0
     for t in stream:
         if is_comment(t, python):
             continue
@@ -121,19 +142,21 @@ def is_data(stream: list[str], python: bool) -> bool:
         c = t[0]
         if c.isdigit() or c in ",[]{}:-.+":
             data += n
+            values += c.isdigit()
         elif c in "\"'`" or (python and n > 2 and t[-1] in "\"'"):
+            values += 1
             if t.count(" ") < 0.08 * n or n <= 24:
                 data += n
             elif not re.search(r"[A-Za-z]{2,} [A-Za-z]{2,} [A-Za-z]{2,}", t):
                 data += n
-    return total >= 600 and data >= 0.88 * total
+    return values >= 5 and data >= 0.88 * total  # a few values make no block
 
 
 _hashes: dict[str, int] = {}
 
 
 def fingerprints(stream: list[str], python: bool) -> np.ndarray:
-    """Winnowed hashes of runs of TOKENS normalised tokens, distinct, as signed 64-bit numbers."""
+    """Winnowed hashes of runs of TOKENS normalised tokens, distinct, as signed 64-bit numbers; a shorter stream is one run."""
     if len(_hashes) > 500_000:
         _hashes.clear()
     codes = []
@@ -145,11 +168,12 @@ def fingerprints(stream: list[str], python: bool) -> np.ndarray:
             bare = t.lstrip("rRbBuUfF")[1:-1] if python and t[-1] in "\"'" and len(t) > 1 else t[1:-1] if t[0] in "\"'`" and len(t) > 1 else t
             code = _hashes[t] = xxhash.xxh64_intdigest(bare)
         codes.append(code)
-    n = len(codes) - TOKENS + 1
-    if n < 1:
+    if not codes:
         return np.empty(0, np.int64)
-    runs = sliding_window_view(np.array(codes, np.uint64), TOKENS)
-    weights = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
+    length = min(TOKENS, len(codes))
+    n = len(codes) - length + 1
+    runs = sliding_window_view(np.array(codes, np.uint64), length)
+    weights = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, length + 1, dtype=np.uint64)) | np.uint64(1)
     mixed = (runs * weights).sum(axis=1, dtype=np.uint64)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -187,13 +211,13 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def machine_files(files: DataFrame) -> DataFrame:
+def machine_files(files: DataFrame, holders: int = HOLDERS) -> DataFrame:
     """Source files not written by hand for their repository: id, repository_id, file_path, kind ("generated", "minified",
     "data" or "copy"), once for each id.
 
     ``files`` needs id, repository_id, file_path, source; other columns are ignored. Files of other extensions, with null id or
     path, without tokens, and files that do not parse are no cases. A null repository_id counts as one repository. Rows repeated
-    with one id count once. Exact and altered copies are found alike; which repositories hold a copy is told from the
+    with one id count once. A fingerprint recurs if at least ``holders`` other repositories hold it. Exact and altered copies are found alike; which repositories hold a copy is told from the
     fingerprints of all files, and a fingerprint that is held very often is joined apart, so it burdens no single task.
     """
     scan = files.where(is_source(F.col("file_path")) & F.col("id").isNotNull()).select(
@@ -202,14 +226,15 @@ def machine_files(files: DataFrame) -> DataFrame:
     known = materialize(spread(scan).mapInPandas(_features, SCHEMA), "file-features")
     prints = known.select("id", "repo", F.explode("prints").alias("print"))
     total = known.agg(F.sum(F.size("prints"))).first()[0] or 0
-    held = prints.groupBy("print").agg(F.count("*").alias("n"), F.min("repo").alias("a"), F.max("repo").alias("b"))
+    several = F.min("repo") != F.max("repo") if holders == 1 else F.countDistinct("repo") > holders
+    held = prints.groupBy("print").agg(F.count("*").alias("n"), several.alias("recurs"))
     hot_from = max(20_000, int(total * HOT_SHARE))
-    hot = F.broadcast(held.where(F.col("n") > hot_from).select("print", (F.col("a") != F.col("b")).alias("hot")))
-    elsewhere = held.where((F.col("n") <= hot_from) & (F.col("a") != F.col("b"))).select("print", F.lit(True).alias("cold"))
+    hot = F.broadcast(held.where(F.col("n") > hot_from).select("print", F.col("recurs").alias("hot")))
+    elsewhere = held.where((F.col("n") <= hot_from) & F.col("recurs")).select("print", F.lit(True).alias("cold"))
     marked = prints.join(hot, "print", "left")
     recurring = marked.where(F.col("hot").isNull()).join(elsewhere, "print").select("id", "print").unionByName(marked.where("hot").select("id", "print"))
     shared = recurring.groupBy("id").agg(F.countDistinct("print").alias("shared"))
-    verdict = F.coalesce("kind", F.when((F.size("prints") >= LEAST_FINGERPRINTS) & (F.col("shared") >= SHARE * F.size("prints")), "copy"))
+    verdict = F.coalesce("kind", F.when(F.col("shared") >= SHARE * F.size("prints"), "copy"))
     return (
         known.where("parses")
         .join(shared, "id", "left")

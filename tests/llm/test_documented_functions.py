@@ -159,6 +159,7 @@ def test_open_bodies_go_on_to_the_end():
     text = "/** Does a thing with five words here. */\nfunction f(a) {\n" + '  x(1, "a");\n' * 100
     ((_, _, _, _, code, _),) = documented(text, "js")
     assert len(code) > 1200
+    assert [len(x[4]) for x in documented("/** Does a thing with five words here. */\nfunction f(a) {\n  x(1);\n" * 3, "js")] == [24, 24, 24]
     assert [x[1] for x in documented("/** Does a thing with five words here. */\nfunction f(a {\n" * 3, "js")] == []
 
 

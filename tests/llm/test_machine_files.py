@@ -77,7 +77,9 @@ def test_fingerprints_meet_the_winnowing_promise():
     one = fingerprints(tokens("const a = 'x';\n" + written(1), False), False)
     same = fingerprints(tokens('// note\nconst a = "x"\n' + written(1).replace(";", "").replace("  ", "\t"), False), False)
     assert np.array_equal(one, same) and one.dtype == np.int64
-    assert len(fingerprints(["a"] * (TOKENS - 1), False)) == 0
+    # a stream shorter than a run is one run
+    assert len(fingerprints(["a"] * (TOKENS - 1), False)) == 1 and len(fingerprints([], False)) == 0
+    assert not np.array_equal(fingerprints(["a", "b"], False), fingerprints(["b", "a"], False))
 
 
 def test_operator(spark):
@@ -92,3 +94,33 @@ def test_operator(spark):
     files = spark.createDataFrame(rows, "id string, repository_id string, file_path string, source string, prints string, kind string")
     assert {r.id: r.kind for r in machine_files(files).collect() if r.id[0] != "h"} == {"a": "copy", "b": "copy", "f": "generated"}
     assert machine_files(files.limit(0)).count() == 0
+
+
+def test_short_copies_and_holders(spark):
+    short = "export const pick = (row) => row.wharf && row.wharf.ledger;\n"
+    rows = [(f"s{i}", f"r{i}", f"a{i}.js", short) for i in range(3)] + [("t", "r1", "t.js", written(3, 1)), ("u", "r1", "u.js", written(4, 1)), ("v", "r2", "v.js", written(4, 1))]
+    files = spark.createDataFrame(rows, "id string, repository_id string, file_path string, source string")
+    assert {r.id for r in machine_files(files).collect()} == {"s0", "s1", "s2", "u", "v"}
+    assert {r.id for r in machine_files(files, holders=2).collect()} == {"s0", "s1", "s2"}
+    assert machine_files(files, holders=3).count() == 0
+
+
+def test_marks_behind_other_things():
+    assert kind('# coding: utf-8\n"""Generated by mill from a.schema. Do not edit."""\n' + written(1, style="py"), "py") == "generated"
+    assert kind("'use strict';\n// Code generated by mill; DO NOT EDIT.\n" + written(1)) == "generated" and kind('"use client"\n' + written(1)) is None
+    assert kind('"""Reads what mill wrote."""\nnote = "Code generated by mill"\n', "py") is None
+
+
+def test_dense_python():
+    dense = "import os,sys\ndef f(a,b):\n c=a+b;d=c*2\n if d>3:return d\n return[c,d]\nclass A:\n def g(s,x):\n  s.y=x;return f(x,s.y)\n"
+    assert kind(dense, "py") == "minified" and kind(dense * 20, "py") == "minified"
+    assert kind(written(1, style="py"), "py") is None and kind("def f(a, b):\n  return a + b, a * b, a - b\n", "py") is None
+    assert kind("x=1\ny=x+2\nz=[x,y]\n", "py") is None
+
+
+def test_small_files_of_each_kind():
+    assert kind("export const A = [" + ", ".join(map(str, range(60))) + "];\n") == "data"
+    assert kind('"""Utilities."""\n', "py") is None and kind("...\n", "py") is None and kind("export default {};\n") is None
+    assert kind("def step1():\n    pass\n\ndef step2():\n    pass\n", "py") is None
+    assert kind("".join(f"export const a{i} = make({i});\n" for i in range(4))) == "generated"
+    assert kind("!function(e,t){e.x=t,t.y=e,e.z=function(n){return n?t(e,n):e(t,n)},e.q=t.r||e.s&&t.u,e.v=e.w?t.a:e.b}(window,document);") == "minified"
