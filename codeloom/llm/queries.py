@@ -30,6 +30,11 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "code_nodes"))
 
 
+def p1_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of ``p1_found`` without any loss, by the same operator's exact mode."""
+    return neighbour_pairs(table(spark, folder, "code_nodes"), exact=True)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of Function and Method rows with non-trivial documentation."""
     return documented_rows(table(spark, folder, "code_nodes"))
@@ -103,9 +108,20 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_exact": p1_exact,
     "p2_found": p2_found, "p2_pairs": p2_pairs,
     "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
     "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_exact": """
+WITH u AS (
+  SELECT id, embedding::DOUBLE[] AS v FROM code_nodes
+  WHERE id IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1),
+r AS (
+  SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r
+""",
+}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, spread
@@ -24,7 +24,8 @@ from ..session import materialize, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that splits text before that vocabulary's merges
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_STEPS = 60
+#: Newton steps, after which the range that holds the multiplier is halved.
+NEWTON_STEPS = 30
 TOLERANCE = 1e-9
 BINS = 4096
 
@@ -74,16 +75,17 @@ def solve_multipliers(sizes: DataFrame, goals: dict[str, tuple[float, float, int
     """Multiplier of each source, by safeguarded Newton steps; one aggregation over ``sizes`` (source, n_tokens, n) a step.
 
     ``goals`` has for each source the tokens to reach, the mean tokens of its documents, and the cap; a goal must lie below
-    cap times the source's tokens.
+    cap times the source's tokens. A source is solved when its tokens are met to TOLERANCE, or no number lies between the two that
+    enclose its multiplier. Newton steps that don't get there are followed by halvings, which always do; ArithmeticError if sums
+    aren't numbers.
     """
     spark = sizes.sparkSession
     at = dict.fromkeys(goals, 0.0)
     low = dict.fromkeys(goals, -math.inf)
     high = dict.fromkeys(goals, math.inf)
     open_ = set(goals)
-    for _ in range(MOST_STEPS):
-        if not open_:
-            break
+    steps = 0
+    while open_:
         table = F.broadcast(spark.createDataFrame([(s, at[s], goals[s][1], math.log(goals[s][2]), float(goals[s][2])) for s in sorted(open_)], "source string, m double, mean double, log_cap double, cap double"))
         x = F.col("n_tokens") / F.col("mean")
         free = F.col("m") * x < F.col("log_cap")
@@ -94,18 +96,29 @@ def solve_multipliers(sizes: DataFrame, goals: dict[str, tuple[float, float, int
         for r in sums.collect():  # one row a source
             goal = goals[r.source][0]
             gap = r.reached - goal
+            if not math.isfinite(gap):
+                raise ArithmeticError(f"the tokens of source {r.source} can't be summed")
             if abs(gap) <= TOLERANCE * goal:
                 open_.discard(r.source)
                 continue
             (high if gap > 0 else low)[r.source] = at[r.source]
-            step = at[r.source] - gap / r.slope if r.slope > 0 else math.nan
-            a, b = low[r.source], high[r.source]
-            if not (a < step < b) or abs(step) > 4 * (abs(at[r.source]) + 1):
-                step = (a + b) / 2 if math.isfinite(a) and math.isfinite(b) else at[r.source] + (2.0 if gap < 0 else -2.0) * (abs(at[r.source]) + 0.5)
-            at[r.source] = step
+            at[r.source] = _next_step(at[r.source], gap, r.slope, low[r.source], high[r.source], steps < NEWTON_STEPS)
+            if at[r.source] in (low[r.source], high[r.source]):
+                open_.discard(r.source)
+        steps += 1
     return at
 
 
+def _next_step(at: float, gap: float, slope: float, low: float, high: float, newton: bool) -> float:
+    """Where to look next for a multiplier that lies between ``low`` and ``high``."""
+    step = at - gap / slope if newton and slope > 0 else math.nan
+    if low < step < high and abs(step) <= 4 * (abs(at) + 1):
+        return step
+    if math.isfinite(low) and math.isfinite(high):
+        return low + (high - low) / 2
+    return at + (2.0 if gap < 0 else -2.0) * (abs(at) + 0.5)
+
+
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: float | None = None) -> DataFrame:
     """The mixed collection: doc_id, source, n_tokens, rate (rounded to 6), copies (at least 1, at most the source's cap).
 
@@ -160,32 +173,20 @@ def _thresholds(rated: DataFrame, goals: dict[str, float]) -> dict[str, float]:
     if not goals:
         return {}
     spans = {s: (-1.0, 1.0, 0.0) for s in goals}  # from, to, tokens below from
-    base: dict[str, float] = {}
-    for step in range(2):
-        table = F.broadcast(spark.createDataFrame([(s, a, b) for s, (a, b, _) in spans.items()], "source string, a double, b double"))
+    of_source = Window.partitionBy("source")
+    for _ in range(2):
+        table = F.broadcast(spark.createDataFrame([(s, goals[s], *span) for s, span in spans.items()], "source string, goal double, a double, b double, below double"))
         place = F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * BINS).cast("int")
         rows = rated.join(table, "source").withColumn("bin", F.when(F.col("base") >= F.col("cap"), -1).when((F.col("v") >= F.col("a")) & (F.col("v") < F.col("b")), place).otherwise(-1))
-        sums = rows.groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("base")).alias("floor"))
-        bins: dict[str, dict[int, int]] = {s: {} for s in goals}
-        floors = dict.fromkeys(goals, 0)
-        for r in sums.collect():  # at most BINS + 1 rows a source
-            floors[r.source] += r.floor
-            if r.bin >= 0:
-                bins[r.source][r.bin] = r.t
-        if not step:
-            base = floors
-        for s, (a, b, below) in spans.items():
-            room = goals[s] - base[s] - below
+        sums = rows.groupBy("source", "bin").agg(F.sum(F.when(F.col("bin") >= 0, F.col("n_tokens")).otherwise(0)).alias("t"), F.sum(F.col("n_tokens") * F.col("base")).alias("floor"), F.first("goal").alias("goal"), F.first("below").alias("below"))
+        # the first bin that would go beyond the goal, and the tokens before it
+        run = sums.withColumns({"upto": F.sum("t").over(of_source.orderBy("bin")), "room": F.col("goal") - F.col("below") - F.sum("floor").over(of_source)})
+        hit = F.when((F.col("bin") >= 0) & (F.col("upto") > F.col("room")), F.struct("bin", (F.col("upto") - F.col("t")).alias("before")))
+        for r in run.groupBy("source").agg(F.min(hit).alias("hit"), F.max("upto").alias("all")).collect():  # one row a source
+            a, b, below = spans[r.source]
+            k, before = (r.hit.bin, r.hit.before) if r.hit else (BINS, r["all"])
             width = (b - a) / BINS
-            at = BINS
-            for k in range(BINS):
-                t = bins[s].get(k, 0)
-                if t > room:
-                    at = k
-                    break
-                room -= t
-                below += t
-            spans[s] = (a + at * width, a + (at + 1) * width, below)
+            spans[r.source] = (a + k * width, a + (k + 1) * width, below + before)
     return {s: a for s, (a, _, _) in spans.items()}
 
 

@@ -132,9 +132,11 @@ class OneBitCodes:
         return estimate, scale * self.error[None, :]
 
 
-def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> list[np.ndarray]:
+def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, confidence: float | None = CONFIDENCE) -> list[np.ndarray]:
     """For each searched unit vector, the positions in ``found`` of the k most similar (in single precision) and of all that may
-    tie with the k-th, unordered."""
+    tie with the k-th, unordered. Without a ``confidence`` all are compared exactly."""
+    if confidence is None:
+        return list(_compare_all(searched, found, k))
     codes = OneBitCodes(found, centre, turn)
     out: list[np.ndarray] = []
     n = len(found)
@@ -149,7 +151,7 @@ def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, tur
             likely = np.broadcast_to(np.arange(n), (len(q), n))
         exact = np.einsum("qd,qkd->qk", q, found[likely])
         kth = np.partition(exact, max(0, first - k), axis=1)[:, max(0, first - k)]
-        estimate += CONFIDENCE * width
+        estimate += confidence * width
         may = estimate >= kth[:, None] - TIE
         np.put_along_axis(may, likely, False, axis=1)
         rows, columns = np.nonzero(may)
@@ -164,6 +166,18 @@ def search_cell(searched: np.ndarray, found: np.ndarray, centre: np.ndarray, tur
     return out
 
 
+def _compare_all(searched: np.ndarray, found: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    n = len(found)
+    block = max(1, 4_000_000 // max(1, n))
+    for at in range(0, len(searched), block):
+        sims = searched[at : at + block] @ found.T
+        if n > k:
+            near = sims >= np.partition(sims, n - k, axis=1)[:, n - k, None] - TIE
+            yield from (np.flatnonzero(row) for row in near)
+        else:
+            yield from (np.arange(n) for _ in sims)
+
+
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of one vector with the rows of ``b`` in double precision, rounded to 6."""
     a, b = a.astype(np.float64), b.astype(np.float64)
@@ -177,7 +191,7 @@ def _nearest(entries: list[tuple[float, str]], k: int) -> tuple[list[str], list[
     return [i for _, i in best], [s for s, _ in best]
 
 
-def _cell_searcher(centroids: np.ndarray, turn: np.ndarray, k: int):
+def _cell_searcher(centroids: np.ndarray, turn: np.ndarray, k: int, confidence: float | None):
     want = k + 1  # the vector itself is among the entries
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
@@ -193,7 +207,7 @@ def _cell_searcher(centroids: np.ndarray, turn: np.ndarray, k: int):
         by_id = np.empty(len(vid), np.int64)  # places of the entries' smallest ids in order
         by_id[sorted(range(len(vid)), key=vid.__getitem__)] = np.arange(len(vid))
         rows: dict[str, list] = {"vid": [], "ids": [], "near": [], "sims": []}
-        for i, places in zip(q, search_cell(units[q], units[m], centroids[cell], turn, want)) if len(m) else ():
+        for i, places in zip(q, search_cell(units[q], units[m], centroids[cell], turn, want, confidence)) if len(m) else ():
             others = m[places]
             sims = _exact(raw[i], raw[others])
             # later entries hold no id that comes before the smallest ids of these
@@ -206,7 +220,7 @@ def _cell_searcher(centroids: np.ndarray, turn: np.ndarray, k: int):
     return search
 
 
-def _cell_assigner(centroids: np.ndarray, asked_blocks: np.ndarray, held_blocks: np.ndarray):
+def _cell_assigner(centroids: np.ndarray, asked_blocks: np.ndarray, held_blocks: np.ndarray, margin: float, most: int):
     schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("asked", pa.bool_()), ("held", pa.bool_()), ("vid", pa.string()), ("ids", pa.list_(pa.string())), ("embedding", pa.list_(pa.float32()))])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +229,11 @@ def _cell_assigner(centroids: np.ndarray, asked_blocks: np.ndarray, held_blocks:
                 continue
             raw = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             sims = unit(raw) @ centroids.T
-            spill = min(SPILL, sims.shape[1])
+            spill = min(most, sims.shape[1])
             top = np.argpartition(-sims, spill - 1, axis=1)[:, :spill]
             values = np.take_along_axis(sims, top, axis=1)
             best = sims.argmax(axis=1)
-            near = values >= values.max(axis=1, keepdims=True) - MARGIN
+            near = values >= values.max(axis=1, keepdims=True) - margin
             rows, places = np.nonzero(near)
             cells = top[rows, places]
             hashes = batch.column("h").to_numpy(zero_copy_only=False).astype(np.uint64)[rows]
@@ -253,14 +267,16 @@ def _merge(k: int):
     return merge
 
 
-def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64, margin: float = MARGIN, spill: int = SPILL, confidence: float = CONFIDENCE, exact: bool = False) -> DataFrame:
     """The k most similar others of each vector: id, rank (from 1), near_id, similarity (cosine rounded to 6).
 
     ``vectors`` needs id, embedding, seq; other columns are ignored. Usable are arrays of exactly ``dimensions`` finite numbers,
     not all zero; rows with a null id or another embedding are left out. Of several usable rows with one id the one with the
     highest seq counts (null is lowest). Equal similarities rank by id. With fewer than k + 1 vectors, each gets what there is.
     Results are exact but for vectors that stand in no common cell or fall below the error bound; directions that agree in all
-    coordinates to 6 decimals count as one, with the cosines of that of the smallest id.
+    coordinates to 6 decimals count as one, with the cosines of that of the smallest id. A larger ``margin``, ``spill`` and
+    ``confidence`` lose less. With ``exact`` nothing is lost: all vectors are one cell, worked off block against block without
+    codes; the work then grows with the square of their number.
     """
     spark = vectors.sparkSession
     good = vectors.where(F.col("id").isNotNull() & usable(F.col("embedding"), dimensions)).select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"))
@@ -276,7 +292,9 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFram
         "vector-entries",
     )
     n = entries.count()
-    cells = int(min(MOST_CELLS, max(1, round(math.sqrt(n) / CELL_FACTOR))))
+    if exact:
+        confidence = None
+    cells = 1 if exact else int(min(MOST_CELLS, max(1, round(math.sqrt(n) / CELL_FACTOR))))
     size = min(SAMPLE, SAMPLE_PER_CELL * cells)
     share = min(1.0, size / max(1, n))
     drawn = entries.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(2 * size).toArrow()
@@ -291,11 +309,11 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFram
     sims = sample @ centroids.T
     scale = n / len(sample)
     asked = np.bincount(sims.argmax(axis=1), minlength=len(centroids)) * scale
-    held = (sims >= sims.max(axis=1, keepdims=True) - MARGIN).sum(axis=0) * scale
+    held = (sims >= sims.max(axis=1, keepdims=True) - margin).sum(axis=0) * scale
     asked_blocks = np.maximum(1, np.ceil(asked / QUERY_BLOCK)).astype(np.int64)
     held_blocks = np.maximum(1, np.ceil(held / MEMBER_BLOCK)).astype(np.int64)
-    placed = entries.mapInArrow(_cell_assigner(centroids, asked_blocks, held_blocks), "cell int, part int, asked boolean, held boolean, vid string, ids array<string>, embedding array<float>")
-    found = placed.groupBy("cell", "part").applyInArrow(_cell_searcher(centroids, turn, k), _RESULT)
+    placed = entries.mapInArrow(_cell_assigner(centroids, asked_blocks, held_blocks, margin, spill), "cell int, part int, asked boolean, held boolean, vid string, ids array<string>, embedding array<float>")
+    found = placed.groupBy("cell", "part").applyInArrow(_cell_searcher(centroids, turn, k, confidence), _RESULT)
     if (held_blocks > 1).any():
         found = found.groupBy("vid").applyInArrow(_merge(k), _RESULT)
     found = materialize(found.select("ids", F.arrays_zip("near", "sims").alias("near")), "vector-neighbours")
@@ -312,7 +330,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFram
     )
 
 
-def neighbour_pairs(vectors: DataFrame, k: int = 5, dimensions: int = 64) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, k: int = 5, dimensions: int = 64, exact: bool = False) -> DataFrame:
     """Pairs id_a < id_b of which at least one is among the k most similar others of the other one, once each."""
-    links = neighbours(vectors, k, dimensions)
+    links = neighbours(vectors, k, dimensions, exact=exact)
     return links.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()

@@ -6,6 +6,7 @@ import math
 
 import pytest
 
+from codeloom.llm import source_mixing as module
 from codeloom.llm.source_mixing import mix, mix_shares, solve_multipliers, token_counts
 
 DOCS = "doc_id long, text string, source string, copies int, n_tokens string"
@@ -72,3 +73,13 @@ def test_dirty_and_empty_tables(spark):
 def test_missing_tokenizer(spark):
     with pytest.raises(Exception, match="nowhere"):
         token_counts(build(spark, {"a": [1]}), "/nowhere/x.tiktoken").collect()
+
+
+def test_halving_ends_where_newton_is_left_out(spark, monkeypatch):
+    sizes = spark.createDataFrame([("a", t, 3) for t in range(1, 60)], "source string, n_tokens long, n long")
+    goals = {"a": (0.4 * 3 * sum(range(1, 60)), 30.0, 2)}
+    newton = solve_multipliers(sizes, goals)
+    monkeypatch.setattr(module, "NEWTON_STEPS", 0)
+    assert math.isclose(solve_multipliers(sizes, goals)["a"], newton["a"], rel_tol=1e-6)
+    with pytest.raises(ArithmeticError):
+        solve_multipliers(sizes.withColumn("n", sizes["n"] * float("nan")), goals)

@@ -119,3 +119,16 @@ def test_cell_search_keeps_all_that_may_tie():
     x[100:160] = x[100]
     for places in search_cell(x[100:160], x, x.mean(axis=0), rotation(64), 6):
         assert set(places) >= set(range(100, 160))
+
+
+def test_exact_mode_is_brute_force(spark):
+    x = clustered(1200, 64, 9)
+    x[:40] = x[0]
+    ids = [f"n{i:04d}" for i in range(len(x))]
+    vectors = frame(spark, [(i, v, 1) for i, v in zip(ids, x)])
+    truth = brute(ids, x, 5)
+    found = collect(neighbours(vectors, exact=True))
+    assert {i: [a for a, _ in v] for i, v in found.items()} == {i: [a for a, _ in v] for i, v in truth.items()}
+    assert {tuple(p) for p in neighbour_pairs(vectors, exact=True).collect()} == {tuple(sorted((q, i))) for q, v in truth.items() for i, _ in v}
+    wide = collect(neighbours(vectors, margin=2.0, spill=10_000, confidence=5.0))
+    assert recall(wide, truth) >= recall(collect(neighbours(vectors)), truth) and recall(wide, truth) > 0.999
