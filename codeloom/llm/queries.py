@@ -8,7 +8,7 @@ from ..sources.tables import table
 from .credentials import credential_lines, redacted
 from .documented_functions import documented_functions, documented_rows
 from .leaked_passages import leak_report, leaked_passages
-from .lookalikes import consistent_forms, same_look
+from .lookalikes import consistent_forms, look_classes, same_look, script_report
 from .machine_files import machine_files
 from .source_mixing import mix, mix_shares
 from .unparsable_files import failure_rates, unparsable
@@ -107,11 +107,21 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_forms(table(spark, folder, "documents")).select("doc_id", "form")
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the class of those that look like it."""
+    return look_classes(table(spark, folder, "documents"))
+
+
+def p9_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with tokens that mix look-alikes of several scripts, or could stand whole in another script."""
+    return script_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_exact": p1_exact,
     "p2_found": p2_found, "p2_pairs": p2_pairs,
     "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
-    "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
+    "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms, "p9_classes": p9_classes, "p9_scripts": p9_scripts}
 
 ORACLES: dict[str, str] = {
     "p1_exact": """

@@ -21,11 +21,15 @@ def plain(items, text, length):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(2, 5))
 def test_against_brute_force(items, text, length):
     pairs = [(i, " ".join(x)) for i, x in enumerate(items)]
-    assert PassageIndex(pairs, length).search(" ".join(text)) == plain(pairs, " ".join(text), length)
+    assert PassageIndex(pairs, length).search(words(" ".join(text))) == plain(pairs, " ".join(text), length)
 
 
 def test_differences_that_do_not_count():
-    index = PassageIndex([(1, ITEM)])
+    whole = PassageIndex([(1, ITEM)])
+
+    class index:
+        search = staticmethod(lambda text: whole.search(words(text)))
+
     run = "the ledger first and through which file does the second hop of the"
     assert index.search("x " + run + " y") == {1}
     assert index.search(run.upper().replace(" ", ",\n- ")) == {1}
@@ -40,7 +44,7 @@ def test_operator(spark, monkeypatch):
     items = spark.createDataFrame([(1, "s", ITEM), (1, "s", ITEM), (2, "s", "too short"), (3, "s", None), (None, "s", ITEM), (4, "s", "one two three " * 5), (5, "s", "two three one " * 5)], "item_id long, suite string, text string")
     expected = [(1, 1), (2, 1), (6, 4), (6, 5)]
     assert sorted(map(tuple, leaked_passages(documents, items).collect())) == expected
-    monkeypatch.setattr(module, "BLOCK_CHARACTERS", 100)
+    monkeypatch.setattr(module, "PART_CHARACTERS", 100)
     assert sorted(map(tuple, leaked_passages(documents, items).collect())) == expected
     monkeypatch.undo()
     assert leaked_passages(documents.limit(0), items).count() == 0 and leaked_passages(documents, items.limit(0)).count() == 0

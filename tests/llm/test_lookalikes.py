@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.llm.lookalikes import canonical, consistent_forms, same_look, script_report
+from codeloom.llm import lookalikes
+from codeloom.llm.lookalikes import canonical, confusion, consistent_forms, look_classes, same_look, script_report
 
 
 @pytest.mark.parametrize(
@@ -29,7 +30,20 @@ def test_visibly_different(a, b):
 def test_script_resolution():
     assert canonical("мecto") == canonical("месto")
     assert canonical("жap") == "жар" and canonical("bоок").startswith("boo")
-    assert script_report("sсope") == ("mixed", "scope") and script_report("сосо") == ("whole", "coco") and script_report("жар") == ("single", "жар") and script_report("code")[1] == "code"
+    assert [confusion(w) for w in ("sсope", "сосо", "жар", "frog", "東京タワー", "12", "ꓐank", "жaр", "bя")] == ["mixed", "whole", "", "", "", "", "mixed", "mixed", ""]
+
+
+def test_more_scripts():
+    assert [canonical(w) for w in ("ɡoogle", "ɑpple", "ꓐank", "ⲟpen", "ꓣꓴꓠ")] == ["google", "apple", "Bank", "open", "RUN"]
+    assert canonical("ⲁ") == "ⲁ" and canonical("ı") != canonical("i")
+
+
+def test_reports_and_classes(spark):
+    rows = [(1, "scope ok", None), (2, "sсope ok", None), (3, "сосо sсope", None), (4, None, None), (None, "sсope", None), (5, "", None), (2, "sсope ok", None), (6, "scope ok", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, n_mixed string")
+    assert {tuple(r) for r in script_report(documents).distinct().collect()} == {(2, 1, 0), (3, 1, 1)}
+    assert {tuple(r) for r in look_classes(documents).collect()} == {(1, 1, 3, 2), (2, 1, 3, 2), (6, 1, 3, 2), (3, 3, 1, 1), (5, 5, 1, 1)}
+    assert look_classes(documents.limit(0)).count() == 0 and script_report(documents.limit(0)).count() == 0
 
 
 def test_joiners_stay_where_they_show():
@@ -53,7 +67,8 @@ def test_operator(spark):
     assert same_look(documents.limit(0)).count() == 0
 
 
-def test_large_group_against_brute_force(spark):
+def test_large_group_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "LOOK_BLOCK", 30)
     texts = ["scope", "scоpe", "sсope", "other"]
     rows = [(i, texts[i % 4]) for i in range(400)]
     found = {tuple(r) for r in same_look(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
