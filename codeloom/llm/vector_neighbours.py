@@ -282,8 +282,10 @@ def neighbours(vectors: DataFrame, k: int = 5, dimensions: int = 64, margin: flo
     good = vectors.where(F.col("id").isNotNull() & usable(F.col("embedding"), dimensions)).select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"))
     one = good.groupBy("id").agg(F.max_by("embedding", F.struct("seq", F.xxhash64("embedding"))).alias("embedding"))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    step = one.withColumn("scale", F.lit(GRID) / length).withColumn("direction", F.transform("embedding", lambda x: F.rint(x.cast("double") * F.col("scale")).cast("int")))
-    one = materialize(step.select("id", "embedding", F.xxhash64("direction").alias("v1"), F.xxhash64(F.lit(7), "direction").alias("v2")), "vectors")
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that is computed once and used several times
+    direction = bound(F.lit(GRID) / length, lambda scale: F.transform("embedding", lambda x: F.rint(x.cast("double") * scale).cast("int")))
+    hashes = bound(direction, lambda d: F.struct(F.xxhash64(d).alias("v1"), F.xxhash64(F.lit(7), d).alias("v2")))
+    one = materialize(one.withColumn("h", hashes).select("id", "embedding", "h.v1", "h.v2"), "vectors")
     # copies: the smallest ids of each distinct direction stand for it
     place = F.row_number().over(Window.partitionBy("v1", "v2").orderBy("id"))
     heads = one.withColumn("place", place).where(F.col("place") <= k + 1)
