@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from ..session import materialize
 from .traverse import impacts
 
 MOST_IMPACTS, MOST_CHANGED = 20, 50
@@ -61,10 +62,15 @@ def changed_symbols(graph: PropertyGraph, files: DataFrame) -> DataFrame:
     return found.withColumn("fallback", F.lit(False)).unionByName(fallback.withColumn("fallback", F.lit(True)))
 
 
-def change_impacts(graph: PropertyGraph, changed: DataFrame, limit: int | None = None) -> DataFrame:
-    """Impacts of changed symbols (repository_id, id): the columns of :func:`impacts` with repository_id and place, the highest score
-    first, then the widest; the first ``limit`` of a repository."""
-    scored = changed.select("repository_id", "id").distinct().join(impacts(graph, changed.select("id").distinct()).withColumnRenamed("seed", "id"), "id")
+def change_impacts(graph: PropertyGraph, changed: DataFrame, limit: int | None = None, analysed: int | None = MOST_CHANGED) -> DataFrame:
+    """Impacts of changed symbols (repository_id, path, id): the columns of :func:`impacts` with repository_id and place, the highest
+    score first, then the widest; the first ``limit`` of a repository. The first ``analysed`` symbols of a repository are looked
+    at, by path, then id (None: all)."""
+    symbols = changed.groupBy("repository_id", "id").agg(F.min("path").alias("path"))
+    if analysed is not None:
+        symbols = symbols.withColumn("at", F.row_number().over(Window.partitionBy("repository_id").orderBy("path", "id"))).where(F.col("at") <= analysed)
+    looked = materialize(symbols.select("repository_id", "id"), "analysed")
+    scored = looked.join(impacts(graph, looked.select("id").distinct()).withColumnRenamed("seed", "id"), "id")
     placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("score"), F.desc("blast_radius"), "id")))
     return placed if limit is None else placed.where(F.col("place") <= limit)
 

@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..graph import PropertyGraph
+from ..operators import answers as an
 from ..operators import changes as ch
 from ..operators import resolve as rs
+from ..operators import review as rv
 from ..operators import rules as rl
 from ..operators import search as se
 from ..operators import versions as ve
 from ..operators.snapshot_changes import snapshot_order
+from ..operators.structure import overview
+from ..operators.traverse import impacts
 from ..schema import latest
 from ..session import materialize
 from ..sources import trees
-from ..sources.snapshots import newest, visible_to
+from ..sources.snapshots import active, merged, newest, public_repositories, visible_to
 from ..sources.tables import table
 from ..streaming import deliveries as de
-from .graphs import IMPACT_ROWS, IMPACT_TABLES
+from .graphs import IMPACT_ROWS, IMPACT_TABLES, starts
 from .sql import DEPENDENCY_LIST, GRAPH, graph_sql
 
 #: Fields in which the derived base of a comparison differs.
@@ -134,6 +138,94 @@ def pri_03_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return ch.roll_up(ch.change_impacts(graph, changed), changed)
 
 
+def _changed(spark: SparkSession, folder: str) -> tuple[PropertyGraph, DataFrame, DataFrame]:
+    """The graph, the symbols that the diffs touch, and the files of the diffs."""
+    graph = PropertyGraph.read(spark, folder)
+    patches = materialize(_patches(spark, folder), "patches")
+    return graph, materialize(ch.changed_symbols(graph, patches), "changed"), patches.select("repository_id", "path")
+
+
+def pri_04_review(spark: SparkSession, folder: str) -> DataFrame:
+    """Summary of the review of each repository's diffs."""
+    return rv.review(*_changed(spark, folder)).summary
+
+
+def pri_04_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The first findings of each review, with the number of their tests."""
+    found = rv.review(*_changed(spark, folder)).findings
+    return found.select("repository_id", "place", "id", "severity", "blast_radius", F.size("tests").alias("n_tests"))
+
+
+def top_03_impact_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Ends and lengths of the twelve longest impact paths of each stated start."""
+    graph = PropertyGraph.read(spark, folder)
+    return rv.impact_paths(graph, starts(graph)).select("seed", "id", "place", F.size("path").alias("length"))
+
+
+def rfp_01_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What a plan for changing each stated start may cite."""
+    graph = PropertyGraph.read(spark, folder)
+    return rv.plan_evidence(graph, starts(graph))
+
+
+def rfp_02_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """Stages of a plan for each stated start, with what they cite."""
+    graph = PropertyGraph.read(spark, folder)
+    return rv.plan_stages(graph, materialize(rv.plan_evidence(graph, starts(graph)), "evidence")).select("seed", "stage", "name", F.array_join("evidence", ",").alias("evidence"))
+
+
+def qa_02_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes that each stated question starts from, by mentions and symbol search."""
+    asked, nodes = _questions(spark, folder)
+    hits = se.search(asked, nodes, "symbol", an.MOST_SEEDS)
+    return an.seeds(asked.select("query_id", "query", F.lit(None).cast("string").alias("symbol_id")), nodes.select("id", "type", "name"), hits)
+
+
+def qa_03_route(spark: SparkSession, folder: str) -> DataFrame:
+    """The tool that would answer each document, if it were a question."""
+    return table(spark, folder, "documents").select("doc_id", an.route(F.col("text")).alias("tool"))
+
+
+def qa_05_grounding(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether walks of two calls are grounded in what one hop around their first node shows."""
+    graph = PropertyGraph.read(spark, folder)
+    calls = graph.links("CALLS")
+    first = starts(graph).join(calls.select(F.col("src").alias("id"), F.col("dst").alias("mid")), "id")
+    walks = first.join(calls.select(F.col("src").alias("mid"), F.col("dst").alias("end")), "mid").select(F.concat_ws(">", "id", "mid", "end").alias("answer_id"), "id", "mid", "end")
+    walks = materialize(walks.distinct(), "walks")
+    seen = walks.select("answer_id", F.lit("node").alias("kind"), F.col("id").alias("id")).unionByName(walks.join(graph.links().select(F.col("src").alias("id"), "dst"), "id").select("answer_id", F.lit("node").alias("kind"), F.col("dst").alias("id")))
+    answers = walks.select("answer_id", F.lit("path").alias("intent"), F.lit("").alias("text"), F.array("id").alias("symbols"), F.array().cast("array<string>").alias("edge_ids"), F.array(F.array("id", "mid", "end")).alias("paths"))
+    return an.grounded(answers, seen, graph.dependencies())
+
+
+def qa_06_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The impact of each stated start as a sentence."""
+    graph = PropertyGraph.read(spark, folder)
+    return an.impact_text(impacts(graph, starts(graph)), graph.node_view("id", "name"))
+
+
+def qa_07_architecture(spark: SparkSession, folder: str) -> DataFrame:
+    """Each repository's overview in two sentences."""
+    graph = PropertyGraph.read(spark, folder)
+    return an.architecture_text(overview(graph), graph.node_view("id", "name", "file_path")).select("repository_id", "fact", F.array_join("symbols", ",").alias("symbols"))
+
+
+def prj_02_repositories(spark: SparkSession, folder: str) -> DataFrame:
+    return public_repositories(table(spark, folder, "repositories"))
+
+
+def str_10_active(spark: SparkSession, folder: str) -> DataFrame:
+    """Repositories that are being worked on."""
+    return table(spark, folder, "repositories").select("id", active().alias("active"))
+
+
+def join_15_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots of the first and the last delivery of each commit merged, the last ones winning."""
+    rows = table(spark, folder, "snapshot_nodes").where("id is not null")
+    ends = lambda pick: rows.groupBy("id").agg(pick(F.struct("commit_sha", "hash"), "seq").alias("x")).select("id", "x.*")
+    return merged(ends(F.min_by), ends(F.max_by)).groupBy("commit_sha").agg(F.count("*").alias("n"))
+
+
 def flt_06_globs(spark: SparkSession, folder: str) -> DataFrame:
     """Which of three globs each file path matches."""
     files = PropertyGraph.read(spark, folder).node_view("id", "type", "file_path").where("type = 'File'")
@@ -295,7 +387,7 @@ def flt_08_addresses(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "repositories").select("id", parts["owner"].alias("owner"), parts["name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_01_fields, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_counts, set_05_touched_files, top_03_long_files)}
+QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_01_fields, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_counts, set_05_touched_files, top_03_long_files, pri_04_review, pri_04_findings, top_03_impact_paths, rfp_01_evidence, rfp_02_stages, qa_02_seeds, qa_03_route, qa_05_grounding, qa_06_facts, qa_07_architecture, prj_02_repositories, str_10_active, join_15_merged)}
 QUERIES |= {"sch_02_symbol": _search("symbol"), "sch_03_text": _search("text"), "sch_04_semantic": _search("semantic"), "sch_04_hybrid": _search("hybrid")}
 
 _ORD = "o AS (SELECT repository_id, commit_sha, row_number() OVER (PARTITION BY repository_id ORDER BY min(created_at), commit_sha) AS k FROM graph_snapshots WHERE repository_id IS NOT NULL AND commit_sha IS NOT NULL AND created_at IS NOT NULL GROUP BY repository_id, commit_sha)"
@@ -314,6 +406,7 @@ u AS (SELECT *, 'no-lib-to-app' AS rule_id, 'error' AS severity FROM v WHERE reg
  UNION ALL SELECT *, 'no-helper-calls', 'warning' FROM v WHERE type IN ('CALLS', 'IMPORTS') AND regexp_full_match(lb, '.*[_-]helpers\\...')
  UNION ALL SELECT *, 'python-stays-out', 'warning' FROM v WHERE regexp_full_match(la, '[^a-m].*\\.py') AND regexp_full_match(lb, '.*\\.py')),
 t AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY repository_id, rule_id ORDER BY seq, id) <= 50)"""
+_TEST = "(^|/)(test|tests|__tests__|spec|specs)/|(^|/)test_[^/]*$|(_test\\.py|\\.(test|spec)\\.(jsx?|tsx?))$"
 _STOP = ", ".join(f"'{w}'" for w in se.STOP_WORDS)
 _ASKED = f"""q0 AS (SELECT n.id AS query_id, n.repository_id, lower(trim(CASE WHEN n.type = 'File' THEN 'where is ' || lower(regexp_replace(n.name, '([a-z])([A-Z])', '\\1_\\2', 'g')) ELSE n.name END)) AS q FROM n JOIN s USING (id)),
 q AS (SELECT *, list_filter(list_distinct(regexp_extract_all(q, '[a-z][a-z0-9_]+')), lambda w: w NOT IN ({_STOP})) AS words FROM q0 WHERE q IS NOT NULL),
@@ -403,11 +496,43 @@ ORACLES = {
     "sch_04_hybrid": _found(f"(0.5::DOUBLE * sim + 0.25::DOUBLE * lexical + exact) * {_DAMP}", True),
 }
 # impacts of the changed symbols: the start nodes of the common tables are replaced by them
-_CHANGED = GRAPH.replace("s AS (SELECT DISTINCT id FROM code_nodes WHERE seq % 100 = 0 AND id IS NOT NULL)", "chg AS (" + ORACLES["pri_02_changed_symbols"] + "), s AS (SELECT DISTINCT id FROM chg)")
+_CHANGED = GRAPH.replace(
+    "s AS (SELECT DISTINCT id FROM code_nodes WHERE seq % 100 = 0 AND id IS NOT NULL)",
+    "chg AS (" + ORACLES["pri_02_changed_symbols"] + "), fst AS (SELECT repository_id, id FROM (SELECT repository_id, id, min(path) AS path FROM chg GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY path, id) <= 50), s AS (SELECT DISTINCT id FROM fst)",
+)
 ORACLES["pri_03_rollup"] = (
     f"WITH RECURSIVE {_CHANGED}, {IMPACT_TABLES}, scored AS ({IMPACT_ROWS}) SELECT repository_id, count(DISTINCT path) AS files_changed, count(DISTINCT chg.id) AS symbols_changed, coalesce(max(score), 0) AS score, "
     "CASE WHEN coalesce(max(score), 0) >= 65 THEN 'HIGH' WHEN coalesce(max(score), 0) >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM chg LEFT JOIN scored ON scored.seed = chg.id GROUP BY repository_id"
 )
+_TOP = f"""WITH RECURSIVE {_CHANGED}, {IMPACT_TABLES}, scored AS ({IMPACT_ROWS}), top AS (SELECT fst.repository_id, scored.*, row_number() OVER (PARTITION BY fst.repository_id ORDER BY score DESC, blast_radius DESC, seed) AS place FROM fst JOIN scored ON scored.seed = fst.id QUALIFY place <= 20),
+ tst AS (SELECT DISTINCT q.seed, n.file_path AS path FROM (SELECT seed, id FROM r UNION SELECT r.seed, x.target FROM r JOIN code_edges x ON x.source = r.id AND x.type IN ('READS_FROM', 'WRITES_TO')) q JOIN n ON n.id = q.id WHERE regexp_matches(lower(n.file_path), '{_TEST}'))"""
+ORACLES["pri_04_findings"] = f"{_TOP} SELECT repository_id, place, seed AS id, lower(risk) AS severity, blast_radius, (SELECT count(*) FROM tst WHERE tst.seed = top.seed)::INT AS n_tests FROM top WHERE place <= 8"
+ORACLES["pri_04_review"] = f"""{_TOP}, fl AS ({ORACLES["pri_01_hunks"].replace('SELECT repository_id, path, side, "start", "end" FROM r', 'SELECT DISTINCT repository_id, path FROM p')}),
+ g AS (SELECT top.repository_id, count(*) AS n FROM top JOIN n ON n.id = top.seed WHERE NOT regexp_matches(lower(coalesce(n.file_path, '')), '{_TEST}') AND top.seed NOT IN (SELECT seed FROM tst) GROUP BY 1),
+ u AS (SELECT repository_id, count(DISTINCT path) AS n FROM (SELECT top.repository_id, tst.path FROM top JOIN tst ON tst.seed = top.seed UNION SELECT repository_id, path FROM fl WHERE regexp_matches(lower(path), '{_TEST}')) GROUP BY 1),
+ t AS (SELECT repository_id, max(score) AS score, count(*) FILTER (risk = 'HIGH') AS n_high FROM top GROUP BY 1), k AS (SELECT repository_id, count(DISTINCT id) AS n FROM chg GROUP BY 1),
+ o AS (SELECT fl.repository_id, count(*) AS files_changed, count(*) FILTER (c.path IS NULL) AS files_unmatched FROM fl LEFT JOIN (SELECT DISTINCT repository_id, path FROM chg) c ON c.repository_id = fl.repository_id AND c.path = fl.path GROUP BY 1),
+ z AS (SELECT o.*, coalesce(k.n, 0) AS symbols_changed, coalesce(t.score, 0) AS score, coalesce(t.n_high, 0) AS n_high, coalesce(u.n, 0) AS n_tests, coalesce(g.n, 0) AS n_gaps FROM o LEFT JOIN k USING (repository_id) LEFT JOIN t USING (repository_id) LEFT JOIN u USING (repository_id) LEFT JOIN g USING (repository_id))
+ SELECT repository_id, files_changed, symbols_changed, files_unmatched, score, CASE WHEN score >= 65 THEN 'HIGH' WHEN score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk, n_tests, n_gaps, n_high, symbols_changed > 50 AS truncated,
+ CASE WHEN n_gaps > 0 OR files_unmatched > 0 OR n_high > 0 OR symbols_changed > 50 THEN 'ATTENTION' ELSE 'REVIEW' END AS status FROM z"""
+ORACLES["top_03_impact_paths"] = graph_sql("SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY hops DESC, id) AS place, hops + 1 AS length FROM r QUALIFY place <= 12", IMPACT_TABLES)
+ORACLES["qa_06_facts"] = graph_sql(
+    f"SELECT x.seed, 'Impact of ' || coalesce(n.name, '') || ': ' || risk || ' risk, ' || score || '/100. ' || blast_radius || ' dependents (' || n_direct || ' direct, ' || n_transitive || ' transitive) in ' || n_files || ' files and ' || n_modules || ' modules, at most ' || depth || ' hops away; ' || n_endpoints || ' routes, ' || n_tables || ' entities.' AS fact FROM ({IMPACT_ROWS}) x JOIN n ON n.id = x.seed",
+    IMPACT_TABLES,
+)
+ORACLES["qa_03_route"] = (
+    f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN i = 'architecture' THEN 'repository_overview' WHEN i = 'impact' THEN 'analyze_impact' WHEN i = 'path' THEN 'trace_endpoint' WHEN i = 'dependency' AND ("
+    + " OR ".join(f"contains(lower(text), '{m}')" for m in an._INCOMING)
+    + f") AND NOT regexp_matches(lower(text), '\\b(?:does|do)\\s+.+?\\s+depend on\\b') THEN 'get_dependents' WHEN i = 'dependency' THEN 'get_dependencies' ELSE 'get_neighbors' END AS tool FROM (SELECT doc_id, text, CASE {_INTENT} ELSE 'explanation' END AS i FROM documents)"
+)
+ORACLES["qa_05_grounding"] = graph_sql(
+    """SELECT answer_id, ok AS valid, CASE WHEN NOT ok THEN 'paths' END AS reason FROM (SELECT DISTINCT a.src || '>' || a.dst || '>' || b.dst AS answer_id,
+ (a.src, a.dst) IN (SELECT src, dst FROM d) AND (b.src, b.dst) IN (SELECT src, dst FROM d) AND (b.dst = a.src OR (a.src, b.dst) IN (SELECT source, target FROM code_edges)) AS ok
+ FROM (SELECT DISTINCT source AS src, target AS dst FROM code_edges WHERE type = 'CALLS') a JOIN s ON s.id = a.src JOIN (SELECT DISTINCT source AS src, target AS dst FROM code_edges WHERE type = 'CALLS') b ON b.src = a.dst)"""
+)
+ORACLES["prj_02_repositories"] = "SELECT id, name, kind, status, progress, fingerprint, indexed_sha, latest_github_sha, sync_status, created_at, updated_at FROM repositories"
+ORACLES["str_10_active"] = "SELECT id, coalesce(status IN ('QUEUED', 'CLONING', 'SCANNING', 'PARSING', 'BUILDING_GRAPH', 'EMBEDDING', 'ANALYZING'), false) OR coalesce(sync_status IN ('QUEUED', 'CLONING', 'SCANNING', 'PARSING', 'BUILDING_GRAPH', 'EMBEDDING', 'ANALYZING'), false) AS active FROM repositories"
+ORACLES["join_15_merged"] = "SELECT commit_sha, count(*) AS n FROM (SELECT commit_sha FROM snapshot_nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) GROUP BY commit_sha"
 _NORMAL = "array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(%s, '/'), lambda y: [y])), lambda acc, y: CASE WHEN y[1] IN ('', '.') THEN acc WHEN y[1] = '..' AND len(acc) > 0 AND acc[-1] <> '..' THEN acc[:-2] ELSE list_concat(acc, y) END), '/')"
 ORACLES["res_05_links"] = graph_sql(
     """SELECT i.repository_id, i.file_path, i.module, h.target_path, CASE WHEN h.target_path IS NOT NULL THEN 'file' WHEN starts_with(i.module, '.') THEN 'unresolved' ELSE 'package' END AS kind,

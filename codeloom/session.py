@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # one machine: any of its folders is shared
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     named = "file://" + os.path.join(tempfile.gettempdir(), "codeloom-shared")
     spark.conf.set("spark.checkpoint.dir", named)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 import zlib
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.utils import AnalysisException
 
+from ..session import materialize
+
 # fixed value: the name of the interchange format (compact JSON with sorted keys, zlib level 6, base64)
 FORMAT = "zlib-json-v1"
 KEPT_SNAPSHOTS, KEPT_RUNS, LISTED = 20, 200, 100
@@ -81,6 +84,53 @@ def cascade(tables: dict[str, DataFrame], repository_id: str, key: str = "reposi
     return {n: t.where(~F.coalesce(F.col("id" if n == "repositories" else key) == repository_id, F.lit(False))) for n, t in tables.items()}
 
 
+# fixed values: columns of repositories that are not shown, those that hold JSON, and the columns of a run that are shown
+HIDDEN = ("source_root", "source", "overview", "owner_id")
+JSON_COLUMNS = ("logs", "warnings", "last_pr_guardian")
+RUN_COLUMNS = ("id", "status", "pull_request", "pr_url", "head_sha", "command", "delivery_id", "retry_of", "created_at", "updated_at", "started_at", "completed_at", "failed_at", "review_status", "policy_status", "comment_url", "error")
+# fixed values: states in which a repository is being worked on
+ACTIVE = ("QUEUED", "CLONING", "SCANNING", "PARSING", "BUILDING_GRAPH", "EMBEDDING", "ANALYZING")
+
+
+def public_repositories(rows: DataFrame) -> DataFrame:
+    """Repositories without the columns of HIDDEN; texts of JSON are parsed to variants (unreadable ones are null)."""
+    shown = rows.select(*[c for c in rows.columns if c not in HIDDEN])
+    return shown.withColumns({c: F.try_parse_json(c) for c in JSON_COLUMNS if c in shown.columns})
+
+
+def public_runs(rows: DataFrame) -> DataFrame:
+    """(id, run): the shown columns of each run as JSON, null and empty ones left out."""
+    fields = [F.when(F.col(c).cast("string") != "", F.col(c)).alias(c) for c in RUN_COLUMNS if c in rows.columns]
+    return rows.select("id", F.to_json(F.struct(*fields)).alias("run"))
+
+
+def active(status: Column | str = "status", sync_status: Column | str = "sync_status") -> Column:
+    """Whether a repository is being indexed or synchronised; never null."""
+    on = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).isin(*ACTIVE), F.lit(False))
+    return on(status) | on(sync_status)
+
+
+def sessions(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, repository_id, state) of the sessions ``asked`` for (id, repository_id), once each; one that isn't ``held`` is empty."""
+    empty = json.dumps({"messages": [], "symbols": []})
+    keys = ["id", "repository_id"]
+    return asked.select(*keys).distinct().join(held.select(*keys, "state"), keys, "left").select(*keys, F.coalesce("state", F.lit(empty)).alias("state"))
+
+
+def merged(first: DataFrame, *later: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of several tables, one for each key: that of the last table that has it. Keys must not repeat within a table; rows with a
+    null key are left out."""
+    parts = [part.select(*first.columns).withColumn("rank_", F.lit(i)) for i, part in enumerate((first, *later))]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("rank_").alias("rank_"))
+    return rows.join(best, [key, "rank_"]).select(*first.columns)
+
+
+_SHA = re.compile(r"[0-9a-fA-F]{40,64}")
+
+
 class GraphStore:
     """Versions of graphs in a folder: each is written to a folder of its own, then one small pointer table names it, so readers see
     the old graph or the new one whole. One writer at a time."""
@@ -113,6 +163,41 @@ class GraphStore:
         last = pointers.groupBy("repository_id", "commit_sha").agg(F.max(F.struct("created_at", "version")).alias("s")).select("repository_id", "commit_sha", "s.version", "s.created_at")
         return newest(last, "repository_id", KEPT_SNAPSHOTS, tie="version")
 
+    def prune(self) -> int:
+        """Delete all versions but those of :meth:`snapshots`, and write their pointers anew; returns how many went. A reader that has
+        opened an older version loses it."""
+        pointers = self._pointers()
+        if pointers is None:
+            return 0
+        kept = materialize(self.snapshots(), "kept-versions")
+        gone = [r.version for r in pointers.select("version").distinct().join(kept, "version", "left_anti").collect()]  # one name a version
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in fs.listStatus(path(f"{self.root}/pointers"))]
+        kept.select("repository_id", "commit_sha", "version", "created_at").coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
+        for file in old:  # readers see a version twice for a moment, and never miss one
+            fs.delete(file, False)
+        for version in gone:
+            fs.delete(path(f"{self.root}/versions/{version}"), True)
+        return len(gone)
+
+    def compare(self, repository_id: str, base_sha: str, head_sha: str) -> tuple[DataFrame, DataFrame]:
+        """(changes of nodes, changes of edges) from one version to another. ValueError for names that are no commits or are the same,
+        KeyError with the commits that are missing."""
+        from ..operators.versions import compare_edges, compare_nodes
+
+        if not (_SHA.fullmatch(base_sha) and _SHA.fullmatch(head_sha)):
+            raise ValueError("a commit has 40 to 64 hexadecimal digits")
+        if base_sha == head_sha:
+            raise ValueError("two different versions are needed")
+        held = {r.commit_sha for r in self.snapshots().where((F.col("repository_id") == repository_id) & F.col("commit_sha").isin(base_sha, head_sha)).collect()}
+        missing = [sha for sha in (base_sha, head_sha) if sha not in held]
+        if missing:
+            raise KeyError(*missing)
+        (base, base_edges), (head, head_edges) = self.read(repository_id, base_sha), self.read(repository_id, head_sha)
+        names = merged(base.select("id", "qualified_name", "name"), head.select("id", "qualified_name", "name"))
+        return compare_nodes(base, head), compare_edges(base_edges, head_edges, names)
+
     def read(self, repository_id: str, commit_sha: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of a version, by default the current one; raises KeyError if there is none."""
         rows = self.snapshots().where(F.col("repository_id") == repository_id)

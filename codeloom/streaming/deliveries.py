@@ -102,6 +102,24 @@ def unbound(claims: DataFrame, key: str, owner: str) -> DataFrame:
     return counts.select(key, F.when(F.col("n") == 1, F.col("first")).alias(owner), status.alias("status"))
 
 
+def bindings(claims: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(claim, repository_id, status) of claims (claim, address, owner) on repositories (id, address, owner, null: not claimed yet).
+
+    BOUND: one repository of the address is the owner's, or none is and just one is free, which the first claim by name gets;
+    CONFLICT: another owner's claim got it; AMBIGUOUS: there are several; NOT_FOUND: none. Addresses are compared in lower case.
+    """
+    held = repositories.select(F.col("id").alias("repository_id"), F.lower("address").alias("address"), F.col("owner").alias("holder"))
+    asked = claims.select("claim", F.lower("address").alias("address"), "owner").distinct()
+    own = F.col("holder") == F.col("owner")
+    counts = asked.join(held, "address", "left").groupBy("claim", "address", "owner").agg(F.count_if(own).alias("n_own"), F.min(F.when(own, F.col("repository_id"))).alias("mine"), F.count_if(F.col("repository_id").isNotNull() & F.col("holder").isNull()).alias("n_free"), F.min(F.when(F.col("holder").isNull(), F.col("repository_id"))).alias("free"))
+    takes = (F.col("n_own") == 0) & (F.col("n_free") == 1)
+    winner = counts.where(takes).groupBy("free").agg(F.min(F.struct("claim", "owner"))["owner"].alias("winner"))
+    rows = counts.join(winner, "free", "left")
+    got = takes & (F.col("winner") == F.col("owner"))
+    status = F.when(F.col("n_own") > 1, "AMBIGUOUS").when(F.col("n_own") == 1, "BOUND").when(F.col("n_free") > 1, "AMBIGUOUS").when(F.col("n_free") == 0, "NOT_FOUND").when(got, "BOUND").otherwise("CONFLICT")
+    return rows.select("claim", F.when(F.col("n_own") == 1, F.col("mine")).when(got, F.col("free")).alias("repository_id"), status.alias("status"))
+
+
 def retries(runs: DataFrame, asked: DataFrame) -> DataFrame:
     """Retry rows (id, retry_of) for asked run ids: only for runs in state ERROR, once each; the id is ``retry:`` and the run's id."""
     failed = runs.where("status = 'ERROR'").select(F.col("id").alias("retry_of")).distinct()

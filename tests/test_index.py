@@ -136,3 +136,40 @@ def test_long_ways_and_loops_of_reexports(spark):
     found = triples(graph)
     assert {("near_call", "CALLS", "Service.run"), ("far_call", "CALLS", "Service.run")} <= found
     assert ("lost_call", "CALLS", "lost.run") in triples(graph, "unresolved")
+
+
+def test_impact_of_a_guarded_tree(spark):
+    """A helper two calls below a guard that three routes depend on: 11 dependents in 3 files and 2 modules, 4 hops, 52 points."""
+    tree = {
+        "lib/marks.py": "def read_mark(mark):\n    return {}\n",
+        "core/doors.py": "from lib.marks import read_mark\n\nclass Door:\n    @staticmethod\n    def knock(mark):\n        return read_mark(mark)\n",
+        "web/guard.py": "from fastapi import Header\nfrom core.doors import Door\n\ndef guest(mark=Header()):\n    return Door.knock(mark)\n",
+        "web/pages.py": "from fastapi import FastAPI, Depends\nfrom web.guard import guest\n\napp = FastAPI()\n\n@app.get('/a')\ndef a(who=Depends(guest)):\n    return who\n\n@app.post('/b')\ndef b(who=Depends(guest)):\n    return who\n\n@app.get('/c')\ndef c(who=Depends(guest)):\n    return who\n",
+    }
+    graph, _ = index_files(spark.createDataFrame([("g", p, t) for p, t in tree.items()], "repository_id string, file_path string, text string"))
+    start = graph.nodes.where("name = 'read_mark'").select("id")
+    row = impacts(graph, start).first()
+    assert (row.n_direct, row.n_transitive, row.n_files, row.n_modules, row.depth, row.n_endpoints, row.n_tables) == (2, 9, 3, 2, 4, 3, 0)
+    assert (row.score, row.risk) == (52, "MEDIUM")
+
+
+def test_templates_angles_and_brackets():
+    text = "const s = `a ${call(1)} ${list.map(x => `n${deep(x)}`)} ) }`.trim();\nfunction f<T extends Map<string, Array<number>>>(a: T) { if (a < b) { return x > y } return `x${g(a)}` }\nexport default class K { m() { return `t${this.n({ a: 1 })}`; } n() {} }\n"
+    record = extract("r", "a.ts", text)
+    calls = [(x["target"], x["scope"]) for x in record.refs if x["kind"] == "CALLS"]
+    assert {("call", ""), ("list.map", ""), ("deep", f"callback@1:{text.index('x =>')}"), ("g", "f"), ("this.n", "K.m")} <= set(calls) and not record.warnings
+    assert [(s["dotted"], s["is_default"]) for s in record.symbols if s["type"] == "Class"] == [("K", True)]
+    deep = "f(" + "[{(" * 40 + "x" + ")}]" * 40 + "); g();"
+    assert {x["target"] for x in extract("r", "a.js", deep).refs if x["kind"] == "CALLS"} == {"f", "g"}
+    stray = "function a() { b(" + "[" * 8 + "; }\nfunction c() { d(); }\n"  # brackets that nothing closes
+    assert {"a", "c"} <= {s["name"] for s in extract("r", "a.js", stray).symbols}
+    typed = "const m = new Map<" + ", ".join(["string"] * 500) + ">(k);\nuse(m);\n"
+    assert {"Map", "use"} <= {x["target"] for x in extract("r", "a.ts", typed).refs if x["kind"] == "CALLS"}
+    chain = "start(1)" + ".then(" + "x" * 400 + ")" + ".done();"
+    assert any(x["target"].endswith(".done") for x in extract("r", "a.js", chain).refs)
+
+
+def test_imports_and_long_chains_of_operators():
+    record = extract("r", "a.py", "import a.b\nimport a.b as c\nfrom .. import d\nfrom ..e import f as g\n\ndef h():\n    import x\n    from y import d\n\nz = " + " + ".join(["call()"] * 3000) + "\n")
+    assert {k: v[:2] for k, v in record.imports.items()} == {"a": ("a", "*"), "c": ("a.b", "*"), "d": ("y", "d"), "g": ("..e", "f"), "x": ("x", "*")}
+    assert not record.warnings and sum(x["target"] == "call" for x in record.refs) == 3000

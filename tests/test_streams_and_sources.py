@@ -11,7 +11,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.sources import trees
+from codeloom.schema import EDGES, NODES
+from codeloom.sources import snapshots, trees
 from codeloom.sources.snapshots import GraphStore, cascade, decode_snapshot, encode_snapshot, newest, pack_text, set_where, unpack_text, upsert, visible_to
 from codeloom.sources.trees import read_archives, scan_tree, skip_reason, zip_members
 from codeloom.streaming import deliveries as de
@@ -170,3 +171,45 @@ def test_table_updates(spark):
     assert seen("a") == {"1"} and seen("local") == {"2"}
     left = cascade({"repositories": spark.createDataFrame([("r",), ("q",)], "id string"), "runs": table}, "r")
     assert [r.id for r in left["repositories"].collect()] == ["q"] and [r.id for r in left["runs"].collect()] == ["3"]
+
+
+def test_store_prunes_and_compares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "KEPT_SNAPSHOTS", 2)
+    store = snapshots.GraphStore(spark, f"file://{tmp_path}/store")
+    node = lambda i, h: (0, i, i, "Function", "r", i, "a.py", "Python", 1, 2, "", "", "", h, "m", False, "", "", [])
+    edge = (0, "e", "a", "b", "CALLS", "a.py", 1, 1.0, "resolved", "syntax")
+    shas = [c * 40 for c in "abc"]
+    for k, sha in enumerate(shas):
+        store.publish("r", sha, spark.createDataFrame([node("a", str(k)), node("b", "1")], NODES), spark.createDataFrame([edge], EDGES))
+    store.publish("r", shas[2], spark.createDataFrame([node("a", "9"), node("b", "1")], NODES), spark.createDataFrame([], EDGES))
+    assert store.prune() == 2 and store.prune() == 0
+    assert len(list((tmp_path / "store" / "versions").iterdir())) == 2 and {r.commit_sha for r in store.snapshots().collect()} == set(shas[1:])
+    nodes, edges = store.compare("r", shas[1], shas[2])
+    assert [(r.id, r.change, list(r.changed_fields)) for r in nodes.collect()] == [("a", "modified", ["hash"])] and [(r.id, r.change) for r in edges.collect()] == [("e", "removed")]
+    with pytest.raises(KeyError, match=shas[0]):
+        store.compare("r", shas[0], shas[1])
+    for bad in ((shas[1], shas[1]), ("x", shas[1])):
+        with pytest.raises(ValueError):
+            store.compare("r", *bad)
+    assert snapshots.GraphStore(spark, f"file://{tmp_path}/none").prune() == 0
+
+
+def test_projections_and_sessions(spark):
+    repos = spark.createDataFrame([("r", "secret", '["a"]', "no json", "READY", None), ("s", "x", None, "", "CLONING", "READY"), ("t", "x", None, None, None, "PARSING")], "id string, source string, logs string, warnings string, status string, sync_status string")
+    shown = snapshots.public_repositories(repos)
+    assert "source" not in shown.columns and {r.id: (r.a, r.b) for r in shown.select("id", F.try_variant_get("logs", "$[0]", "string").alias("a"), F.col("warnings").isNull().alias("b")).collect()}["r"] == ("a", True)
+    assert {r.id: r.a for r in repos.select("id", snapshots.active().alias("a")).collect()} == {"r": False, "s": True, "t": True}
+    runs = spark.createDataFrame([("1", "ERROR", "", None, "kept out")], "id string, status string, error string, head_sha string, token string")
+    assert snapshots.public_runs(runs).first().run == '{"id":"1","status":"ERROR"}'
+    held = spark.createDataFrame([("c", "r", "{}")], "id string, repository_id string, state string")
+    asked = spark.createDataFrame([("c", "r"), ("c", "s"), ("c", "s")], "id string, repository_id string")
+    assert {(r.repository_id, r.state) for r in snapshots.sessions(held, asked).collect()} == {("r", "{}"), ("s", '{"messages": [], "symbols": []}')}
+    later = held.withColumn("state", F.lit("new")).unionByName(spark.createDataFrame([("d", "r", "x"), (None, "r", "x")], held.schema))
+    assert {(r.id, r.state) for r in snapshots.merged(held, later).collect()} == {("c", "new"), ("d", "x")}
+
+
+def test_claims(spark):
+    repos = spark.createDataFrame([("a", "H/a", None), ("b", "h/b", "me"), ("c", "h/c", None), ("c2", "h/c", None), ("d", "h/d", "me"), ("d2", "h/d", "me"), ("e", "h/e", "other"), ("f", "h/f", None), ("f2", "h/f", "other")], "id string, address string, owner string")
+    claims = spark.createDataFrame([("1", "h/A", "me"), ("2", "h/a", "you"), ("3", "h/b", "me"), ("4", "h/c", "me"), ("5", "h/d", "me"), ("6", "h/e", "me"), ("7", "h/f", "me"), ("8", "none", "me"), ("9", None, "me")], "claim string, address string, owner string")
+    found = {r.claim: (r.repository_id, r.status) for r in de.bindings(claims, repos).collect()}
+    assert found == {"1": ("a", "BOUND"), "2": (None, "CONFLICT"), "3": ("b", "BOUND"), "4": (None, "AMBIGUOUS"), "5": (None, "AMBIGUOUS"), "6": (None, "NOT_FOUND"), "7": ("f", "BOUND"), "8": (None, "NOT_FOUND"), "9": (None, "NOT_FOUND")}
