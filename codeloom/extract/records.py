@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 SYMBOL = "id string, name string, type string, dotted string, start_line int, end_line int, signature string, source string, docstring string, parameters string, returns string, exported boolean, is_default boolean, hash string, place int"
-REFERENCE = "owner string, target string, kind string, line int, scope string, arguments string"
+REFERENCE = "owner string, target string, kind string, line int, scope string, found string, is_open boolean, models array<struct<target:string,found:string,is_open:boolean>>"
 SCHEMA = (
     "repository_id string, file_path string, id string, module string, language string, end_line int, hash string, source string, warnings array<string>, "
     f"symbols array<struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>>, "
@@ -16,6 +16,11 @@ SCHEMA = (
     "bindings array<struct<key:string,target:string>>, shadowed array<string>, "
     "endpoints array<struct<id:string,name:string,handler:string,start_line:int,end_line:int,source:string>>"
 )
+# fixed values: names of operations on models
+WRITES = ("create", "save", "update", "delete", "add", "insert", "insert_one")
+READS = ("find", "find_one", "filter", "get", "all", "select", "query")
+_OPERATIONS = frozenset((*WRITES, *READS))
+_MODEL = re.compile(r"\b([A-Z]\w*)\b", re.ASCII)
 # fixed values: patterns of names, of routes and prefixes in decorators, and of what a call injects
 NAME = re.compile(r"[A-Za-z_$][\w$]*\Z")
 DOTTED = re.compile(r"[\w.]+\Z")
@@ -102,10 +107,50 @@ class FileRecord:
             for method in methods:
                 self.endpoint(method, route, key, start, end, decorators.strip())
 
+    def settle(self, target: str, scope: str) -> tuple[str | None, bool]:
+        """(id of the symbol of this file that a name stands for, whether other files must be asked): scopes from the innermost
+        outwards, then members of the innermost class around. (None, False) is a name that nothing here leads to."""
+        target = target.removesuffix("()")
+        parts = scope.split(".") if scope else []
+        around = [".".join(parts[:n]) for n in range(len(parts), -1, -1)]
+        names = target.split(".")
+        hidden = [p for p in around if f"{p}:{names[0]}" in self.shadowed]
+        if len(names) == 1 and hidden and not all(f"{p}:{target}" in self.bindings for p in hidden):
+            return None, False
+        for p in around:
+            if symbol := self._known.get(f"{p}.{target}" if p else target):
+                return symbol["id"], False
+        if names[0] in ("self", "cls", "this") and len(names) > 1:
+            inner = next((p for p in around if (s := self._known.get(p)) and s["type"] == "Class"), None)
+            if inner is not None and (symbol := self._known.get(f"{inner}.{'.'.join(names[1:])}")):
+                return symbol["id"], False
+        if not hidden and names[0] in self.imports:
+            return None, True
+        for n in range(1, len(names)):
+            receiver = ".".join(names[:n])
+            inits = ("", ".__init__", ".constructor") if names[0] in ("self", "this") and n > 1 else ("",)
+            if any(f"{p}{x}:{receiver}" in self.bindings for p in around for x in inits):
+                return None, True
+        return None, False
+
+    def _settled(self, ref: dict) -> dict:
+        """A reference with what it is found to be, and the models that an operation may be about."""
+        arguments = ref.pop("arguments")
+        found, open_ = (None, False) if ref["kind"] == "DEFINES" else self.settle(ref["target"], ref["scope"])
+        models = []
+        if ref["kind"] == "CALLS" and ref["target"].rsplit(".", 1)[-1] in _OPERATIONS:
+            for name in dict.fromkeys([ref["target"].split(".", 1)[0], *_MODEL.findall(arguments)]):
+                model = self.settle(name, ref["scope"])
+                if model != (None, False):
+                    models.append({"target": name, "found": model[0], "is_open": model[1]})
+        return {**ref, "found": found, "is_open": open_, "models": models}
+
     def row(self) -> dict:
         folder = self.path.rpartition("/")[0]
+        self._known = {s["dotted"]: s for s in self.symbols}
+        refs = [self._settled(dict(r)) for r in self.refs]
         return {
             "repository_id": self.repository_id, "file_path": self.path, "id": self.id, "module": folder or "root", "language": self.language, "end_line": max(1, len(self.text.splitlines())), "hash": key_of(self.text),
-            "source": self.text, "warnings": self.warnings, "symbols": self.symbols, "imports": [{"local": k, "module": m, "imported": i, "line": n} for k, (m, i, n) in self.imports.items()], "refs": self.refs,
+            "source": self.text, "warnings": self.warnings, "symbols": self.symbols, "imports": [{"local": k, "module": m, "imported": i, "line": n} for k, (m, i, n) in self.imports.items()], "refs": refs,
             "bindings": [{"key": k, "target": t} for k, t in self.bindings.items()], "shadowed": sorted(self.shadowed), "endpoints": self.endpoints,
         }

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..extract.records import WRITES
 from ..extract.runner import extracted
 from ..graph import PropertyGraph
 from ..schema import CONFIDENCE, NODES, latest, stable_id
@@ -15,9 +16,7 @@ from .resolve import directories, folder_of, lexical_targets, resolve_modules, s
 
 #: Rounds of resolution through bindings and imports at most, as many as the reference's; they end when no query is open.
 ROUNDS = 20
-# fixed values: names of operations on models, and bases that make a class a model
-WRITES = ("create", "save", "update", "delete", "add", "insert", "insert_one")
-READS = ("find", "find_one", "filter", "get", "all", "select", "query")
+# fixed value: bases that make a class a model
 _MODEL_BASE = r"(^|\.)(Model|Base|Document)$"
 _AT = ["repository_id", "file_path"]
 
@@ -181,25 +180,26 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     outside = materialize(outside.select(*_AT, "source", "line", "local", "module", local.alias("is_local"), label.alias("label"), stable_id("repository_id", F.when(local, "unresolved-module").otherwise("package"), label).alias("target")), "outside")
     nodes.append(_nodes(outside, id=c("target"), name=c("label"), type=F.when(c("is_local"), "Module").otherwise("ExternalPackage"), repository_id=c("repository_id"), qualified_name=c("module")))
     edges.append(_edges(outside, F.when(c("is_local"), "IMPORTS").otherwise("USES_PACKAGE"), F.when(c("is_local"), "unresolved").otherwise("resolved")))
-    # references, imported names and handlers are resolved together
-    refs = parsed.select(*at, "module", F.posexplode("refs").alias("pos", "r")).select(*_AT, "module", F.xxhash64("repository_id", "file_path", "pos", lit("r")).alias("qid"), c("r.owner").alias("source"), "r.target", "r.kind", "r.line", "r.scope", "r.arguments")
+    # references, imported names and handlers are resolved together; what a file alone tells was found when it was read
+    refs = parsed.select(*at, "module", F.posexplode("refs").alias("pos", "r")).select(*_AT, "module", F.xxhash64("repository_id", "file_path", "pos", lit("r")).alias("qid"), c("r.owner").alias("source"), "r.target", "r.kind", "r.line", "r.scope", "r.found", "r.is_open", "r.models")
     refs = materialize(refs, "refs")
     named = r.imports.where("to is not null").select(*_AT, F.xxhash64("repository_id", "file_path", "local", lit("i")).alias("qid"), c("local").alias("target"), lit("").alias("scope"), "line")
     handled = endpoints.select(*_AT, F.xxhash64("repository_id", "file_path", "e.id", lit("h")).alias("qid"), c("e.handler").alias("target"), lit("").alias("scope"), c("e.id").alias("source"), c("e.start_line").alias("line"), c("e.end_line").alias("last"))
     known = symbols.select(c("s.id").alias("target")).distinct()
     open_refs = refs.where("kind <> 'DEFINES'")
     direct = handled.join(known, "target", "left_semi").select("qid", c("target").alias("id"))
-    asked = open_refs.select("qid", *_AT, "target", "scope").unionByName(named.select("qid", *_AT, "target", "scope")).unionByName(handled.join(known, "target", "left_anti").select("qid", *_AT, "target", "scope"))
+    pending = open_refs.where("is_open")
+    asked = pending.select("qid", *_AT, "target", "scope").unionByName(named.select("qid", *_AT, "target", "scope")).unionByName(handled.join(known, "target", "left_anti").select("qid", *_AT, "target", "scope"))
     operation = F.element_at(F.split("target", r"\."), -1)
-    calls = refs.where("kind = 'CALLS'").where(operation.isin(*WRITES, *READS)).select("qid", *_AT, "source", "scope", "line", F.when(operation.isin(*WRITES), "WRITES_TO").otherwise("READS_FROM").alias("kind"), F.array_distinct(F.concat(F.array(F.split("target", r"\.")[0]), F.regexp_extract_all("arguments", lit(r"\b([A-Z]\w*)\b"), 1))).alias("models"))
-    of_models = calls.select("*", F.posexplode("models").alias("k", "target")).select(F.xxhash64("qid", "k").alias("qid"), *_AT, "source", "scope", "line", "kind", "target")
-    found = materialize(r.resolve(asked.unionByName(of_models.select("qid", *_AT, "target", "scope"))).unionByName(direct), "resolved")
+    calls = refs.where(F.size("models") > 0).select("qid", *_AT, "source", "scope", "line", F.when(operation.isin(*WRITES), "WRITES_TO").otherwise("READS_FROM").alias("kind"), F.posexplode("models").alias("k", "m"))
+    of_models = calls.select(F.xxhash64("qid", "k").alias("qid"), *_AT, "source", "scope", "line", "kind", "m.target", "m.found", "m.is_open")
+    found = materialize(r.resolve(asked.unionByName(of_models.where("is_open").select("qid", *_AT, "target", "scope"))).unionByName(direct), "resolved")
     edges.append(_edges(refs.where("kind = 'DEFINES'"), "DEFINES", "resolved"))
     shown = named.join(found, "qid").join(r.files.select(*_AT, c("id").alias("source")), _AT).join(r.files.select(c("id")), "id", "left_anti")
     edges.append(_edges(shown.select("source", c("id").alias("target"), "file_path", "line"), "REFERENCES", "resolved"))
-    hit = open_refs.join(found, "qid")
-    edges.append(_kinded(hit.select("source", c("id").alias("target"), "file_path", "line", "kind"), "resolved"))
-    missed = open_refs.join(found, "qid", "left_anti").withColumn("id", stable_id("repository_id", "file_path", "scope", lit("unresolved"), "target"))
+    hit = pending.join(found, "qid").drop("found").withColumnRenamed("id", "found").select(*open_refs.columns).unionByName(open_refs.where("found is not null"))
+    edges.append(_kinded(hit.select("source", c("found").alias("target"), "file_path", "line", "kind"), "resolved"))
+    missed = open_refs.where("found is null and not is_open").unionByName(pending.join(found, "qid", "left_anti")).withColumn("id", stable_id("repository_id", "file_path", "scope", lit("unresolved"), "target"))
     nodes.append(_nodes(missed, id=c("id"), name=c("target"), type=lit("UnresolvedSymbol"), repository_id=c("repository_id"), file_path=c("file_path"), start_line=c("line"), end_line=c("line"), qualified_name=c("target"), module=c("module")))
     edges.append(_kinded(missed.select("source", c("id").alias("target"), "file_path", "line", "kind"), "unresolved"))
     used = refs.where("kind = 'CALLS'").withColumn("local", F.split("target", r"\.")[0]).join(outside.where("not is_local").select(*_AT, "local", c("target").alias("package_id")), [*_AT, "local"])
@@ -215,7 +215,8 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     entity_nodes = entities.join(symbols.select(c("s.id").alias("of"), "*"), "of")
     texts.append(_nodes(entity_nodes, **{**fields, "id": c("entity"), "type": lit("DatabaseEntity")}, repository_id=c("repository_id"), file_path=c("file_path"), language=c("language"), module=c("module"), qualified_name=F.concat_ws(":", "file_path", "s.dotted")))
     edges.append(_edges(models.select("source", c("entity").alias("target"), "file_path", "line"), "BELONGS_TO", "resolved", "orm-pattern"))
-    touched = of_models.join(found, "qid").join(entities.withColumnRenamed("of", "id"), "id")
+    models_hit = of_models.where("is_open").drop("found").join(found, "qid").select("source", "file_path", "line", "kind", "id").unionByName(of_models.where("found is not null").select("source", "file_path", "line", "kind", c("found").alias("id")))
+    touched = models_hit.join(entities.withColumnRenamed("of", "id"), "id")
     edges.append(_kinded(touched.select("source", c("entity").alias("target"), "file_path", "line", "kind"), "probable", "orm-pattern"))
     all_edges = reduce(DataFrame.unionByName, edges)
     columns = [f.name for f in NODES.fields[1:]]
