@@ -6,15 +6,15 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-SYMBOL = "id string, name string, type string, dotted string, start_line int, end_line int, signature string, source string, docstring string, parameters string, returns string, exported boolean, is_default boolean, hash string, place int"
-REFERENCE = "owner string, target string, kind string, line int, scope string, found string, is_open boolean, models array<struct<target:string,found:string,is_open:boolean>>"
+SYMBOL = "id string, name string, type string, dotted string, start_line int, end_line int, signature string, source string, docstring string, parameters string, returns string, exported boolean, is_default boolean, hash string, place int, is_last boolean"
+REFERENCE = "owner string, target string, kind string, line int, scope string, found string, is_open boolean, by_import boolean, models array<struct<target:string,found:string,is_open:boolean>>"
 SCHEMA = (
     "repository_id string, file_path string, id string, module string, language string, end_line int, hash string, source string, warnings array<string>, "
     f"symbols array<struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>>, "
     "imports array<struct<local:string,module:string,imported:string,line:int>>, "
     f"refs array<struct<{REFERENCE.replace(' ', ':').replace(',:', ',')}>>, "
     "bindings array<struct<key:string,target:string>>, shadowed array<string>, "
-    "endpoints array<struct<id:string,name:string,handler:string,start_line:int,end_line:int,source:string>>"
+    "endpoints array<struct<id:string,name:string,handler:string,handler_id:string,start_line:int,end_line:int,source:string>>"
 )
 # fixed values: names of operations on models
 WRITES = ("create", "save", "update", "delete", "add", "insert", "insert_one")
@@ -143,14 +143,17 @@ class FileRecord:
                 model = self.settle(name, ref["scope"])
                 if model != (None, False):
                     models.append({"target": name, "found": model[0], "is_open": model[1]})
-        return {**ref, "found": found, "is_open": open_, "models": models}
+        return {**ref, "found": found, "is_open": open_, "by_import": ref["target"].split(".", 1)[0] in self.imports, "models": models}
 
     def row(self) -> dict:
         folder = self.path.rpartition("/")[0]
         self._known = {s["dotted"]: s for s in self.symbols}
         refs = [self._settled(dict(r)) for r in self.refs]
+        ids = {s["id"] for s in self.symbols}
+        symbols = [{**s, "is_last": self._known[s["dotted"]] is s} for s in self.symbols]
+        endpoints = [{**e, "handler_id": e["handler"] if e["handler"] in ids else None} for e in self.endpoints]
         return {
             "repository_id": self.repository_id, "file_path": self.path, "id": self.id, "module": folder or "root", "language": self.language, "end_line": max(1, len(self.text.splitlines())), "hash": key_of(self.text),
-            "source": self.text, "warnings": self.warnings, "symbols": self.symbols, "imports": [{"local": k, "module": m, "imported": i, "line": n} for k, (m, i, n) in self.imports.items()], "refs": refs,
-            "bindings": [{"key": k, "target": t} for k, t in self.bindings.items()], "shadowed": sorted(self.shadowed), "endpoints": self.endpoints,
+            "source": self.text, "warnings": self.warnings, "symbols": symbols, "imports": [{"local": k, "module": m, "imported": i, "line": n} for k, (m, i, n) in self.imports.items()], "refs": refs,
+            "bindings": [{"key": k, "target": t} for k, t in self.bindings.items()], "shadowed": sorted(self.shadowed), "endpoints": endpoints,
         }

@@ -26,7 +26,7 @@ class Resolver:
 
     def __init__(self, parsed: DataFrame):
         at = [F.col(c) for c in _AT]
-        self.symbols = materialize(parsed.select(*at, F.posexplode("symbols").alias("pos", "s")).groupBy(*_AT, F.col("s.dotted").alias("dotted")).agg(F.max_by(F.struct("s.id", "s.type"), "pos").alias("x")).select(*_AT, "dotted", "x.id", "x.type"), "symbols")
+        self.symbols = materialize(parsed.select(*at, F.explode("symbols").alias("s")).where("s.is_last").select(*_AT, "s.dotted", "s.id", "s.type"), "symbols")
         self.bindings = materialize(parsed.select(*at, F.explode("bindings").alias("b")).select(*_AT, "b.key", F.col("b.target").alias("bound")), "bindings")
         self.shadowed = materialize(parsed.select(*at, F.explode("shadowed").alias("key")), "shadowed")
         imports = parsed.select(*at, F.explode("imports").alias("i")).select(*_AT, "i.local", "i.module", "i.imported", "i.line")
@@ -76,7 +76,7 @@ class Resolver:
             onward.where("target <> ''").select(F.xxhash64("qid", F.lit("import")).alias("qid"), *_AT, "target", F.lit("").alias("scope"), "seen")
         )
         inner = self.resolve(sub, rounds - 1)
-        whole = onward.where("target = ''").join(self.files, _AT).select("qid", "id")
+        whole = onward.where("target = ''").select("qid", stable_id(*_AT).alias("id"))
         named = onward.select("qid", F.xxhash64("qid", F.lit("import")).alias("sub")).join(inner.withColumnRenamed("qid", "sub"), "sub").select("qid", "id")
         through = self._members(bound, inner).withColumn("way", F.lit(0)).unionByName(whole.unionByName(named).withColumn("way", F.lit(1)))
         return materialize(local.unionByName(through.groupBy("qid").agg(F.min_by("id", "way").alias("id"))), "found")
@@ -172,37 +172,37 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
         _edges(endpoints.select(c("id").alias("source"), c("e.id").alias("target"), "file_path", c("e.start_line").alias("line")), "DEFINES", "resolved"),
     ]
     # imports
-    to_file = r.imports.where("to is not null").join(r.files.select("repository_id", c("file_path").alias("to"), c("id").alias("target")), ["repository_id", "to"]).join(r.files.select(*_AT, c("id").alias("source")), _AT)
+    own = stable_id(*_AT)  # the key of a file
+    to_file = r.imports.where("to is not null").select("file_path", "line", own.alias("source"), stable_id("repository_id", "to").alias("target"))
     edges.append(_edges(to_file.select("source", "target", "file_path", "line"), "IMPORTS", "resolved"))
-    outside = r.imports.where("to is null").join(r.files.select(*_AT, c("id").alias("source")), _AT)
+    outside = r.imports.where("to is null").withColumn("source", own)
     local = c("kind_1") != "package"
     label = F.when(local, c("module")).otherwise(c("package"))
     outside = materialize(outside.select(*_AT, "source", "line", "local", "module", local.alias("is_local"), label.alias("label"), stable_id("repository_id", F.when(local, "unresolved-module").otherwise("package"), label).alias("target")), "outside")
     nodes.append(_nodes(outside, id=c("target"), name=c("label"), type=F.when(c("is_local"), "Module").otherwise("ExternalPackage"), repository_id=c("repository_id"), qualified_name=c("module")))
     edges.append(_edges(outside, F.when(c("is_local"), "IMPORTS").otherwise("USES_PACKAGE"), F.when(c("is_local"), "unresolved").otherwise("resolved")))
     # references, imported names and handlers are resolved together; what a file alone tells was found when it was read
-    refs = parsed.select(*at, "module", F.posexplode("refs").alias("pos", "r")).select(*_AT, "module", F.xxhash64("repository_id", "file_path", "pos", lit("r")).alias("qid"), c("r.owner").alias("source"), "r.target", "r.kind", "r.line", "r.scope", "r.found", "r.is_open", "r.models")
+    refs = parsed.select(*at, "module", F.posexplode("refs").alias("pos", "r")).select(*_AT, "module", F.xxhash64("repository_id", "file_path", "pos", lit("r")).alias("qid"), c("r.owner").alias("source"), "r.target", "r.kind", "r.line", "r.scope", "r.found", "r.is_open", "r.by_import", "r.models")
     refs = materialize(refs, "refs")
     named = r.imports.where("to is not null").select(*_AT, F.xxhash64("repository_id", "file_path", "local", lit("i")).alias("qid"), c("local").alias("target"), lit("").alias("scope"), "line")
-    handled = endpoints.select(*_AT, F.xxhash64("repository_id", "file_path", "e.id", lit("h")).alias("qid"), c("e.handler").alias("target"), lit("").alias("scope"), c("e.id").alias("source"), c("e.start_line").alias("line"), c("e.end_line").alias("last"))
-    known = symbols.select(c("s.id").alias("target")).distinct()
+    handled = endpoints.select(*_AT, F.xxhash64("repository_id", "file_path", "e.id", lit("h")).alias("qid"), c("e.handler").alias("target"), "e.handler_id", lit("").alias("scope"), c("e.id").alias("source"), c("e.start_line").alias("line"), c("e.end_line").alias("last"))
     open_refs = refs.where("kind <> 'DEFINES'")
-    direct = handled.join(known, "target", "left_semi").select("qid", c("target").alias("id"))
+    direct = handled.where("handler_id is not null").select("qid", c("handler_id").alias("id"))
     pending = open_refs.where("is_open")
-    asked = pending.select("qid", *_AT, "target", "scope").unionByName(named.select("qid", *_AT, "target", "scope")).unionByName(handled.join(known, "target", "left_anti").select("qid", *_AT, "target", "scope"))
+    asked = pending.select("qid", *_AT, "target", "scope").unionByName(named.select("qid", *_AT, "target", "scope")).unionByName(handled.where("handler_id is null").select("qid", *_AT, "target", "scope"))
     operation = F.element_at(F.split("target", r"\."), -1)
     calls = refs.where(F.size("models") > 0).select("qid", *_AT, "source", "scope", "line", F.when(operation.isin(*WRITES), "WRITES_TO").otherwise("READS_FROM").alias("kind"), F.posexplode("models").alias("k", "m"))
     of_models = calls.select(F.xxhash64("qid", "k").alias("qid"), *_AT, "source", "scope", "line", "kind", "m.target", "m.found", "m.is_open")
     found = materialize(r.resolve(asked.unionByName(of_models.where("is_open").select("qid", *_AT, "target", "scope"))).unionByName(direct), "resolved")
     edges.append(_edges(refs.where("kind = 'DEFINES'"), "DEFINES", "resolved"))
-    shown = named.join(found, "qid").join(r.files.select(*_AT, c("id").alias("source")), _AT).join(r.files.select(c("id")), "id", "left_anti")
+    shown = named.join(found, "qid").withColumn("source", own).join(r.files.select(c("id")), "id", "left_anti")
     edges.append(_edges(shown.select("source", c("id").alias("target"), "file_path", "line"), "REFERENCES", "resolved"))
     hit = pending.join(found, "qid").drop("found").withColumnRenamed("id", "found").select(*open_refs.columns).unionByName(open_refs.where("found is not null"))
     edges.append(_kinded(hit.select("source", c("found").alias("target"), "file_path", "line", "kind"), "resolved"))
     missed = open_refs.where("found is null and not is_open").unionByName(pending.join(found, "qid", "left_anti")).withColumn("id", stable_id("repository_id", "file_path", "scope", lit("unresolved"), "target"))
     nodes.append(_nodes(missed, id=c("id"), name=c("target"), type=lit("UnresolvedSymbol"), repository_id=c("repository_id"), file_path=c("file_path"), start_line=c("line"), end_line=c("line"), qualified_name=c("target"), module=c("module")))
     edges.append(_kinded(missed.select("source", c("id").alias("target"), "file_path", "line", "kind"), "unresolved"))
-    used = refs.where("kind = 'CALLS'").withColumn("local", F.split("target", r"\.")[0]).join(outside.where("not is_local").select(*_AT, "local", c("target").alias("package_id")), [*_AT, "local"])
+    used = refs.where("kind = 'CALLS' and by_import").withColumn("local", F.split("target", r"\.")[0]).join(outside.where("not is_local").select(*_AT, "local", c("target").alias("package_id")), [*_AT, "local"])
     edges.append(_edges(used.select("source", c("package_id").alias("target"), "file_path", "line"), "USES_PACKAGE", "resolved"))
     bound = handled.join(found, "qid")
     edges.append(_edges(bound.select("source", c("id").alias("target"), "file_path", "line"), "HANDLES", "resolved"))
@@ -224,9 +224,9 @@ def index_files(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     bare = reduce(DataFrame.unionByName, nodes).groupBy("id").agg(F.max_by(F.struct(*columns[1:]), last).alias("x")).select("id", "x.*")
     whole = latest(reduce(DataFrame.unionByName, texts).withColumn("seq", F.col("start_line").cast("long")), *columns)
     node_rows = materialize(bare, "bare-nodes").unionByName(whole)
-    best = F.struct(F.col("confidence"), F.when(F.col("analysis_method") == "syntax", 0).otherwise(1))
-    edge_rows = all_edges.groupBy("id").agg(F.max_by(F.struct(*[x for x in all_edges.columns if x != "id"]), best).alias("x")).select("id", "x.*")
-    graph = PropertyGraph(node_rows.withColumn("seq", F.lit(None).cast("long")), materialize(edge_rows.withColumn("seq", F.lit(None).cast("long")), "edges"))
+    best = F.coalesce((F.col("confidence") * 100).cast("long"), F.lit(-1)) * 2 + (F.col("analysis_method") != "syntax").cast("long")
+    edge_rows = latest(materialize(all_edges, "raw-edges").withColumn("seq", best), *all_edges.columns, wide=True)
+    graph = PropertyGraph(node_rows.withColumn("seq", F.lit(None).cast("long")), edge_rows.withColumn("seq", F.lit(None).cast("long")))
     return graph, parsed.select(*_AT, F.explode("warnings").alias("warning"))
 
 

@@ -71,14 +71,14 @@ def stable_key(*parts: str) -> str:
     return hashlib.sha256(":".join(parts).encode()).hexdigest()[:24]
 
 
-def latest(rows: DataFrame, *columns: str, key: str = "id") -> DataFrame:
+def latest(rows: DataFrame, *columns: str, key: str = "id", wide: bool | None = None) -> DataFrame:
     """One row for each ``key``, the one with the highest seq (null lowest), with ``columns`` only; rows with a null key are left out.
 
     Select few columns: they are what is shuffled. Columns of WIDE are not: which delivery of a repeated key holds is found on
     (key, seq) alone, and the others are taken out of the scan by a join with the repeated keys, a written table whose size
-    Spark checks before it broadcasts it. Of rows with one key and one seq an arbitrary but whole one is kept.
+    Spark checks before it broadcasts it (``wide``: always, or never). Of rows with one key and one seq an arbitrary but whole one is kept.
     """
-    if set(columns) & set(WIDE):
+    if bool(set(columns) & set(WIDE)) if wide is None else wide:
         return _latest_wide(rows, columns, key)
     rest = [c for c in columns if c != key]
     place = F.coalesce("seq", F.lit(-(2**63)))
