@@ -67,6 +67,24 @@ class GraphEngine:
         """(id, source) of nodes, cut to SOURCE_PART characters."""
         return self.graph.node_view("id", "source").join(self._starts(starts).select("id").distinct(), "id", "left_semi").select("id", F.substring("source", 1, SOURCE_PART).alias("source"))
 
+    def files(self, repository_id: str) -> DataFrame:
+        """(id, file_path, module, language, end_line) of a repository's files, by path; files of no module are of "root"."""
+        rows = self.graph.node_view("id", "type", "repository_id", "file_path", "module", "language", "end_line").where((F.col("type") == "File") & (F.col("repository_id") == repository_id))
+        return rows.select("id", "file_path", F.coalesce(F.when(F.col("module") != "", F.col("module")), F.lit("root")).alias("module"), "language", "end_line").orderBy("file_path", "id")
+
+    def source_at(self, repository_id: str, path: str) -> DataFrame:
+        """(id, source) of the file that stands at exactly this path, whole."""
+        at = (F.col("type") == "File") & (F.col("repository_id") == repository_id) & (F.col("file_path") == path)
+        return PropertyGraph(self.graph.nodes.where(at), self.graph.edges).node_view("id", "source")
+
+    def only(self, node_type: str | None = None, relationship: str | None = None) -> GraphEngine:
+        """The graph of the nodes of one type, and the edges of one type between them (None: of any type)."""
+        nodes = self.graph.nodes if node_type is None else self.graph.nodes.where(F.col("type") == node_type)
+        edges = self.graph.edges if relationship is None else self.graph.edges.where(F.col("type") == relationship)
+        ends = nodes.select("id").distinct()
+        kept = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
+        return GraphEngine(PropertyGraph(nodes, kept.select(*edges.columns)))
+
     def neighbours(self, starts: DataFrame | str, depth: int = 1, types: tuple[str, ...] = (), direction: str = "both", limit: int = traverse.LIMIT) -> DataFrame:
         return traverse.neighbourhood(self.graph, self._starts(starts), depth, types, direction, limit)
 

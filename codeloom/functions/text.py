@@ -83,10 +83,18 @@ def markdown_tables(rows: DataFrame, by: str, columns: list[str], order: str, li
 
 
 def answer_events(answers: DataFrame) -> DataFrame:
-    """(answer_id, place, event): an answer (answer_id, text) as JSON lines, one for each word with the blanks behind it, then the result."""
-    parts = answers.where("text is not null").select("answer_id", "text", F.posexplode(F.concat(F.regexp_extract_all("text", F.lit(r"(\S+(?:\s+|$))"), 1), F.array(F.lit(None).cast("string")))).alias("place", "delta"))
-    event = F.when(F.col("delta").isNotNull(), F.to_json(F.struct(F.lit("delta").alias("type"), F.col("delta").alias("text")))).otherwise(F.to_json(F.struct(F.lit("result").alias("type"), F.col("text"))))
-    return parts.select("answer_id", "place", event.alias("event"))
+    """(answer_id, place, event): an answer (answer_id, text, and if there are such columns, steps: array of texts, error) as JSON lines.
+
+    First a status for each step, then a delta for each word with the blanks behind it and the result, or the error in their place.
+    An answer with neither text nor error has its steps only.
+    """
+    line = lambda kind, name, value: F.to_json(F.struct(F.lit(kind).alias("type"), value.alias(name)))
+    none = F.array().cast("array<string>")
+    steps = F.coalesce(F.transform("steps", lambda s: line("status", "message", s)), none) if "steps" in answers.columns else none
+    error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"(\S+(?:\s+|$))"), 1), lambda w: line("delta", "text", w))
+    rest = F.when(error.isNotNull(), F.array(line("error", "message", error))).when(F.col("text").isNotNull(), F.concat(words, F.array(line("result", "text", F.col("text"))))).otherwise(none)
+    return answers.select("answer_id", F.posexplode(F.concat(steps, rest)).alias("place", "event"))
 
 
 class EvidenceBudget:

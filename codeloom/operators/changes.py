@@ -66,11 +66,21 @@ def change_impacts(graph: PropertyGraph, changed: DataFrame, limit: int | None =
     """Impacts of changed symbols (repository_id, path, id): the columns of :func:`impacts` with repository_id and place, the highest
     score first, then the widest; the first ``limit`` of a repository. The first ``analysed`` symbols of a repository are looked
     at, by path, then id (None: all)."""
+    looked = first_changed(changed, analysed)
+    return ranked_impacts(looked, impacts(graph, looked.select("id").distinct()), limit)
+
+
+def first_changed(changed: DataFrame, analysed: int | None = MOST_CHANGED) -> DataFrame:
+    """(repository_id, id): the first ``analysed`` changed symbols (repository_id, path, id) of each repository, by path, then id."""
     symbols = changed.groupBy("repository_id", "id").agg(F.min("path").alias("path"))
     if analysed is not None:
         symbols = symbols.withColumn("at", F.row_number().over(Window.partitionBy("repository_id").orderBy("path", "id"))).where(F.col("at") <= analysed)
-    looked = materialize(symbols.select("repository_id", "id"), "analysed")
-    scored = looked.join(impacts(graph, looked.select("id").distinct()).withColumnRenamed("seed", "id"), "id")
+    return materialize(symbols.select("repository_id", "id"), "analysed")
+
+
+def ranked_impacts(looked: DataFrame, impacts_: DataFrame, limit: int | None = None) -> DataFrame:
+    """Impacts (seed, ...) of symbols (repository_id, id) with their place in the repository."""
+    scored = looked.join(impacts_.withColumnRenamed("seed", "id"), "id")
     placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("score"), F.desc("blast_radius"), "id")))
     return placed if limit is None else placed.where(F.col("place") <= limit)
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..session import materialize
-from .changes import MOST_CHANGED, MOST_IMPACTS, change_impacts, is_test_path
-from .traverse import impact_reach, walk_back
+from .changes import MOST_CHANGED, MOST_IMPACTS, changed_symbols, first_changed, is_test_path, ranked_impacts
+from .index import index_files
+from .rules import cycle_violations, forbidden, summary
+from .traverse import impact_reach, impacts, walk_back
 
 MOST_PATHS, MOST_FINDINGS, MOST_EVIDENCE, MOST_SHOWN = 12, 8, 40, 300
 
@@ -20,11 +22,10 @@ def _first(rows: DataFrame, by: str, limit: int, *order) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= limit)
 
 
-def impact_parts(graph: PropertyGraph, starts: DataFrame) -> DataFrame:
+def impact_parts(graph: PropertyGraph, starts: DataFrame, walked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(seed, id, part, hops): members of each start ("selected"), what depends on them within 8 hops ("dependent"), and what
-    either reads or writes ("database", hops null), each once a part."""
-    selected, reached = impact_reach(graph, starts)
-    reached = materialize(reached, "reached")
+    either reads or writes ("database", hops null), each once a part; ``walked`` may be :func:`impact_reach` of the starts."""
+    selected, reached = walked or impact_reach(graph, starts)
     own = selected.select("seed", "id").withColumn("own", F.lit(True))
     parts = reached.join(own, ["seed", "id"], "left").select("seed", "id", F.when(F.col("own"), "selected").otherwise("dependent").alias("part"), "hops")
     stores = graph.edges.where(F.col("type").isin("READS_FROM", "WRITES_TO")).select(F.col("source").alias("id"), "target").dropna().distinct()
@@ -35,7 +36,6 @@ def impact_parts(graph: PropertyGraph, starts: DataFrame) -> DataFrame:
 def impact_paths(graph: PropertyGraph, starts: DataFrame, limit: int = MOST_PATHS) -> DataFrame:
     """(seed, id, place, path): of each start the ``limit`` longest of the shortest paths from what depends on it, ties by id."""
     _, reached = impact_reach(graph, starts)
-    reached = materialize(reached, "reached")
     far = _first(reached.select("seed", "id", "hops"), "seed", limit, F.desc("hops"), "id").select("seed", "id", "place")
     return far.join(walk_back(reached, far), ["seed", "id"]).select("seed", "id", "place", F.reverse("path").alias("path"))
 
@@ -64,12 +64,19 @@ def review(graph: PropertyGraph, changed: DataFrame, files: DataFrame, analysed:
 
     The first ``analysed`` symbols of a repository, by path then id, are looked at; the ``listed`` with the highest score, then the
     widest reach, then by id, are its impacts. A symbol outside of tests that no test is connected with is a gap. Summary:
-    files_changed, symbols_changed, files_unmatched, score, risk, n_tests (related or changed test files), n_gaps, n_high,
+    files_changed, symbols_changed, files_unmatched, affected_files, affected_endpoints (of all analysed), score, risk, n_tests (related or changed test files), n_gaps, n_high,
     truncated, status (ATTENTION with a gap, an unmatched file, a high risk or a cut list, else REVIEW).
     """
     symbols = changed.select("repository_id", "id").distinct()
-    top = materialize(change_impacts(graph, changed, listed, analysed), "impacts")
-    parts = materialize(impact_parts(graph, top.select("id").distinct()), "impact-parts")
+    looked = first_changed(changed, analysed)
+    seeds = looked.select("id").distinct()
+    walked = impact_reach(graph, seeds)  # one walk for all that follows
+    top = materialize(ranked_impacts(looked, impacts(graph, seeds, walked), listed), "impacts")
+    all_parts = materialize(impact_parts(graph, seeds, walked), "impact-parts")
+    kinds = graph.node_view("id", "type", "file_path")
+    affected = looked.withColumnRenamed("id", "seed").join(all_parts.where("part = 'dependent'"), "seed").join(kinds, "id")
+    reach = affected.groupBy("repository_id").agg(F.countDistinct(F.when(F.col("file_path") != "", F.col("file_path"))).alias("affected_files"), F.countDistinct(F.when(F.col("type") == "Endpoint", F.col("id"))).alias("affected_endpoints"))
+    parts = all_parts.join(top.select(F.col("id").alias("seed")), "seed", "left_semi")
     tests = materialize(related_tests(parts, graph), "related-tests")
     of_symbol = tests.groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_set("path")).alias("tests"))  # files of at most one impact
     own = graph.node_view("id", "name", "file_path", "start_line", "end_line")
@@ -87,13 +94,23 @@ def review(graph: PropertyGraph, changed: DataFrame, files: DataFrame, analysed:
         .join(top.groupBy("repository_id").agg(F.max("score").alias("score"), F.count_if(F.col("risk") == "HIGH").alias("n_high")), "repository_id", "left")
         .join(all_tests.groupBy("repository_id").agg(F.count("*").alias("n_tests")), "repository_id", "left")
         .join(gaps.groupBy("repository_id").agg(F.count("*").alias("n_gaps")), "repository_id", "left")
-        .fillna(0, ["symbols_changed", "score", "n_high", "n_tests", "n_gaps"])
+        .join(reach, "repository_id", "left")
+        .fillna(0, ["affected_files", "affected_endpoints", "symbols_changed", "score", "n_high", "n_tests", "n_gaps"])
     )
     risk = F.when(F.col("score") >= 65, "HIGH").when(F.col("score") >= 30, "MEDIUM").otherwise("LOW")
     cut = F.col("symbols_changed") > analysed
     status = F.when((F.col("n_gaps") > 0) | (F.col("files_unmatched") > 0) | (F.col("n_high") > 0) | cut, "ATTENTION").otherwise("REVIEW")
-    summary = rows.select("repository_id", "files_changed", "symbols_changed", "files_unmatched", "score", risk.alias("risk"), "n_tests", "n_gaps", "n_high", cut.alias("truncated"), status.alias("status"))
-    return Review(top, findings, gaps, shown, summary)
+    outcome = rows.select("repository_id", "files_changed", "symbols_changed", "files_unmatched", "affected_files", "affected_endpoints", "score", risk.alias("risk"), "n_tests", "n_gaps", "n_high", cut.alias("truncated"), status.alias("status"))
+    return Review(top, findings, gaps, shown, outcome)
+
+
+def review_of_head(files: DataFrame, patches: DataFrame, rules: list[dict]) -> tuple[Review, DataFrame]:
+    """(review, outcome of the rules) of the heads of changes: the source files as they are there (``files``: repository_id, file_path,
+    text) are indexed afresh, and the diffs (``patches``: repository_id, path, previous_path, patch) are mapped to that graph."""
+    graph, _ = index_files(files)
+    changed = materialize(changed_symbols(graph, patches), "changed")
+    broken = forbidden(graph, rules).select("repository_id", "rule_id", "severity").unionByName(cycle_violations(graph, rules).select("repository_id", "rule_id", "severity"))
+    return review(graph, changed, patches), summary(broken, rules, patches)
 
 
 def plan_evidence(graph: PropertyGraph, starts: DataFrame, limit: int = MOST_EVIDENCE) -> DataFrame:

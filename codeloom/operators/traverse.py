@@ -207,14 +207,13 @@ def impact_reach(graph: PropertyGraph, starts: DataFrame) -> tuple[DataFrame, Da
     return selected, reach(selected, reverse(graph.dependencies()), FAR_HOPS)
 
 
-def impacts(graph: PropertyGraph, starts: DataFrame) -> DataFrame:
-    """What a change of each start node may affect, one row a known start.
+def impacts(graph: PropertyGraph, starts: DataFrame, walked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What a change of each start node may affect, one row a known start; ``walked`` may be :func:`impact_reach` of the starts.
 
     seed, n_direct, n_transitive, blast_radius, n_endpoints, n_files, n_modules, n_tables (entities read or written), n_writes,
     depth, the six features, score (their sum), risk. Reads and writes count also where they are unresolved.
     """
-    selected, reached = impact_reach(graph, starts)
-    reached = materialize(reached, "reached")
+    selected, reached = walked or impact_reach(graph, starts)
     nodes = graph.node_view("id", "type", "file_path", "module")
     dependents = reached.join(selected, ["seed", "id"], "left_anti")
     filled = lambda c: F.when(F.col(c) != "", F.col(c))

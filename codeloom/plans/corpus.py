@@ -359,6 +359,12 @@ def str_11_memory(spark: SparkSession, folder: str) -> DataFrame:
     return de.memory(table(spark, folder, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at")), "user_id", "at", 4).select("user_id", "event_id", "place")
 
 
+def str_12_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by type that each document would be told in, if it were an answer."""
+    told = tx.answer_events(table(spark, folder, "documents").select(F.col("doc_id").alias("answer_id"), "text"))
+    return told.groupBy("answer_id").agg(F.count_if(F.get_json_object("event", "$.type") == "delta").alias("n_deltas"), F.count_if(F.get_json_object("event", "$.type") == "result").alias("n_results"))
+
+
 def str_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events by hour and type."""
     return de.counts_stream(table(spark, folder, "events"), "ts", "event_type")
@@ -387,7 +393,7 @@ def flt_08_addresses(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "repositories").select("id", parts["owner"].alias("owner"), parts["name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_01_fields, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_counts, set_05_touched_files, top_03_long_files, pri_04_review, pri_04_findings, top_03_impact_paths, rfp_01_evidence, rfp_02_stages, qa_02_seeds, qa_03_route, qa_05_grounding, qa_06_facts, qa_07_architecture, prj_02_repositories, str_10_active, join_15_merged)}
+QUERIES = {f.__name__: f for f in (qa_01_intent, flt_08_addresses, dif_01_nodes, dif_01_fields, dif_02_edges, dif_03_risk, dif_04_evidence, pol_02_forbidden, pol_04_summary, pri_01_hunks, pri_02_changed_symbols, pri_03_rollup, flt_06_globs, flt_07_test_paths, vec_01_topk, vec_02_texts, vec_03_reuse, eval_metrics, res_01_directories, res_05_links, res_13_fingerprint, src_01_scan_filters, src_12_repositories, src_16_snapshots, snk_07_retention, str_01_dedupe, str_04_coalesce, str_05_sync, str_07_lifecycle, str_11_memory, str_counts, str_12_events, set_05_touched_files, top_03_long_files, pri_04_review, pri_04_findings, top_03_impact_paths, rfp_01_evidence, rfp_02_stages, qa_02_seeds, qa_03_route, qa_05_grounding, qa_06_facts, qa_07_architecture, prj_02_repositories, str_10_active, join_15_merged)}
 QUERIES |= {"sch_02_symbol": _search("symbol"), "sch_03_text": _search("text"), "sch_04_semantic": _search("semantic"), "sch_04_hybrid": _search("hybrid")}
 
 _ORD = "o AS (SELECT repository_id, commit_sha, row_number() OVER (PARTITION BY repository_id ORDER BY min(created_at), commit_sha) AS k FROM graph_snapshots WHERE repository_id IS NOT NULL AND commit_sha IS NOT NULL AND created_at IS NOT NULL GROUP BY repository_id, commit_sha)"
@@ -486,6 +492,7 @@ ORACLES = {
     "str_05_sync": "SELECT id, CASE WHEN indexed_sha IS NULL OR latest_github_sha IS NULL THEN 'UNKNOWN' WHEN indexed_sha = latest_github_sha THEN 'CURRENT' ELSE 'STALE' END AS state FROM repositories",
     "str_07_lifecycle": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events, string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (i <= 100) AS log FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) GROUP BY user_id",
     "str_11_memory": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 4",
+    "str_12_events": "SELECT doc_id AS answer_id, sum(len(regexp_extract_all(text, '\\S+(?:\\s+|$)')))::BIGINT AS n_deltas, count(*) AS n_results FROM documents WHERE text IS NOT NULL GROUP BY doc_id",
     "str_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "set_05_touched_files": "SELECT file_path AS path FROM code_nodes WHERE file_path <> '' UNION SELECT source_file FROM code_edges WHERE source_file <> ''",
     "top_03_long_files": graph_sql("SELECT repository_id, id, row_number() OVER (PARTITION BY repository_id ORDER BY end_line DESC, id) AS place FROM n WHERE type = 'File' QUALIFY place <= 3"),
@@ -511,9 +518,10 @@ ORACLES["pri_04_review"] = f"""{_TOP}, fl AS ({ORACLES["pri_01_hunks"].replace('
  g AS (SELECT top.repository_id, count(*) AS n FROM top JOIN n ON n.id = top.seed WHERE NOT regexp_matches(lower(coalesce(n.file_path, '')), '{_TEST}') AND top.seed NOT IN (SELECT seed FROM tst) GROUP BY 1),
  u AS (SELECT repository_id, count(DISTINCT path) AS n FROM (SELECT top.repository_id, tst.path FROM top JOIN tst ON tst.seed = top.seed UNION SELECT repository_id, path FROM fl WHERE regexp_matches(lower(path), '{_TEST}')) GROUP BY 1),
  t AS (SELECT repository_id, max(score) AS score, count(*) FILTER (risk = 'HIGH') AS n_high FROM top GROUP BY 1), k AS (SELECT repository_id, count(DISTINCT id) AS n FROM chg GROUP BY 1),
+ y AS (SELECT fst.repository_id, count(DISTINCT nullif(n.file_path, '')) AS af, count(DISTINCT n.id) FILTER (n.type = 'Endpoint') AS ae FROM fst JOIN dep ON dep.seed = fst.id JOIN n ON n.id = dep.id GROUP BY 1),
  o AS (SELECT fl.repository_id, count(*) AS files_changed, count(*) FILTER (c.path IS NULL) AS files_unmatched FROM fl LEFT JOIN (SELECT DISTINCT repository_id, path FROM chg) c ON c.repository_id = fl.repository_id AND c.path = fl.path GROUP BY 1),
- z AS (SELECT o.*, coalesce(k.n, 0) AS symbols_changed, coalesce(t.score, 0) AS score, coalesce(t.n_high, 0) AS n_high, coalesce(u.n, 0) AS n_tests, coalesce(g.n, 0) AS n_gaps FROM o LEFT JOIN k USING (repository_id) LEFT JOIN t USING (repository_id) LEFT JOIN u USING (repository_id) LEFT JOIN g USING (repository_id))
- SELECT repository_id, files_changed, symbols_changed, files_unmatched, score, CASE WHEN score >= 65 THEN 'HIGH' WHEN score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk, n_tests, n_gaps, n_high, symbols_changed > 50 AS truncated,
+ z AS (SELECT o.*, coalesce(k.n, 0) AS symbols_changed, coalesce(y.af, 0) AS affected_files, coalesce(y.ae, 0) AS affected_endpoints, coalesce(t.score, 0) AS score, coalesce(t.n_high, 0) AS n_high, coalesce(u.n, 0) AS n_tests, coalesce(g.n, 0) AS n_gaps FROM o LEFT JOIN k USING (repository_id) LEFT JOIN t USING (repository_id) LEFT JOIN u USING (repository_id) LEFT JOIN g USING (repository_id) LEFT JOIN y USING (repository_id))
+ SELECT repository_id, files_changed, symbols_changed, files_unmatched, affected_files, affected_endpoints, score, CASE WHEN score >= 65 THEN 'HIGH' WHEN score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk, n_tests, n_gaps, n_high, symbols_changed > 50 AS truncated,
  CASE WHEN n_gaps > 0 OR files_unmatched > 0 OR n_high > 0 OR symbols_changed > 50 THEN 'ATTENTION' ELSE 'REVIEW' END AS status FROM z"""
 ORACLES["top_03_impact_paths"] = graph_sql("SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY hops DESC, id) AS place, hops + 1 AS length FROM r QUALIFY place <= 12", IMPACT_TABLES)
 ORACLES["qa_06_facts"] = graph_sql(

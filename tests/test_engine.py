@@ -53,3 +53,14 @@ def test_policy_files(tmp_path):
         (tmp_path / "bad.yml").write_text(text)
         with pytest.raises(ValueError):
             rules.read_policy([str(tmp_path / "bad.yml")])
+
+
+def test_files_sources_and_parts(spark):
+    row = lambda i, t, path, module="m", s="": (0, i, i, t, "r", i, path, "Python", 1, 2, "", s, "", "", module, False, "", "", [])
+    edge = lambda a, b, k: (0, a + b, a, b, k, "", 1, 1.0, "resolved", "syntax")
+    nodes = [row("f", "File", "b.py", "", "x" * 9000), row("g", "File", "a.py"), row("h", "Function", "b.py"), row("i", "Function", "b.py")]
+    graph = GraphEngine(PropertyGraph(spark.createDataFrame([*nodes, nodes[0]], NODES), spark.createDataFrame([edge("h", "i", "CALLS"), edge("f", "h", "DEFINES")], EDGES)))
+    assert [(r.file_path, r.module) for r in graph.files("r").collect()] == [("a.py", "m"), ("b.py", "root")] and graph.files("q").count() == 0
+    assert [len(r.source) for r in graph.source_at("r", "b.py").collect()] == [9000] and graph.source_at("r", "c.py").count() == 0
+    part = graph.only("Function", "CALLS").graph
+    assert part.nodes.count() == 2 and [r.id for r in part.edges.collect()] == ["hi"] and graph.only().graph.edges.count() == 2 and graph.only("Endpoint").graph.edges.count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph
-from codeloom.operators import answers, review, structure
+from codeloom.operators import answers, review, rules, structure
 from codeloom.operators.traverse import impacts
 from codeloom.schema import EDGES, NODES
 
@@ -38,6 +38,7 @@ def test_review(spark, graph):
     found = review.review(graph, changed, files)
     rows = {r.repository_id: r for r in found.summary.collect()}
     assert (rows["r"].files_changed, rows["r"].symbols_changed, rows["r"].files_unmatched, rows["r"].n_tests, rows["r"].n_gaps, rows["r"].status) == (4, 2, 2, 2, 1, "ATTENTION")
+    assert (rows["r"].affected_files, rows["r"].affected_endpoints) == (4, 1)
     assert (rows["q"].files_changed, rows["q"].files_unmatched, rows["q"].score, rows["q"].risk) == (1, 1, 0, "LOW")
     assert [(r.id, list(r.tests)) for r in found.findings.orderBy("place").collect()] == [("core", ["tests/test_a.py"]), ("lone", [])]
     assert [r.id for r in found.gaps.collect()] == ["lone"] and {r.id for r in found.shown.collect()} == {"core", "lone", "aaa", "bbb", "GET /x", "t1", "ent"}
@@ -93,3 +94,14 @@ def test_facts_and_citations(spark, graph):
     assert text.fact.startswith("1 source files") and text.symbols[0] == "aaa" and "0 dependency cycles" in text.fact
     cited = spark.createDataFrame([("q", "core", 2), ("q", "aaa", 1), ("q", "core", 5), ("q", "nowhere", 0)], "answer_id string, id string, at int")
     assert [(r.place, r.id) for r in answers.citations(graph, cited).orderBy("place").collect()] == [(1, "aaa"), (2, "core")]
+
+
+def test_review_of_a_head(spark):
+    tree = {"app/a.py": "from lib.b import helper\n\ndef run():\n    return helper()\n", "lib/b.py": "def helper():\n    return 1\n", "tests/test_a.py": "from app.a import run\n\ndef test_run():\n    run()\n"}
+    files = spark.createDataFrame([("r", p, t) for p, t in tree.items()], "repository_id string, file_path string, text string")
+    patches = spark.createDataFrame([("r", "lib/b.py", None, "@@ -1,2 +1,2 @@"), ("r", "gone.py", None, None)], "repository_id string, path string, previous_path string, patch string")
+    policy = rules.validated({"version": 1, "rules": [{"id": "no-lib", "type": "forbid_dependency", "from": "app/*", "to": "lib/*"}]})
+    found, outcome = review.review_of_head(files, patches, policy)
+    row = found.summary.first()
+    assert (row.symbols_changed, row.files_unmatched, row.n_tests, row.n_gaps, row.affected_files) == (1, 1, 1, 0, 2)
+    assert outcome.first().status == "FAIL" and [r.name for r in found.findings.collect()] == ["helper"]

@@ -32,6 +32,8 @@ def test_reports_and_streams(spark):
     assert len(tx.markdown_tables(rows, "k", ["n", "t"], "n", most=40).where("k = 'r'").first().report) <= 40
     events = tx.answer_events(spark.createDataFrame([(1, "It  is\nso."), (2, None)], "answer_id int, text string")).orderBy("place").collect()
     assert [json.loads(e.event)["text"] for e in events] == ["It  ", "is\n", "so.", "It  is\nso."]
+    told = tx.answer_events(spark.createDataFrame([(1, "So.", ["look"], None), (2, "So.", ["look", "ask"], "no model"), (3, None, None, None)], "answer_id int, text string, steps array<string>, error string"))
+    assert [(r.answer_id, json.loads(r.event)["type"]) for r in told.orderBy("answer_id", "place").collect()] == [(1, "status"), (1, "delta"), (1, "result"), (2, "status"), (2, "status"), (2, "error")]
 
 
 def test_evidence_budget(spark):
