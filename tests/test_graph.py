@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -202,6 +206,58 @@ def test_search_modes(spark):
         search.search(asked, nodes, "magic")
 
 
+def _brute_search(asked, nodes, near, mode, k):
+    """{query_id: [(id, score, semantic_score, mechanism)]} by Python over all pairs; near: {(query_id, id): similarity}."""
+    half_up = lambda x: float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    out = {}
+    for query, text, of in asked:
+        q = text.lower().strip()
+        words = [w for w in dict.fromkeys(re.findall(r"[a-z][a-z0-9_]+", q)) if w not in search.STOP_WORDS]
+        hits = []
+        for id_, kind, repository, name, source in nodes:
+            if kind in search.NOT_SEARCHED or (of is not None and of != repository):
+                continue
+            exact = 1.0 if q == name.lower() else 0.9 if name.lower() in words else 0.65 if q in name.lower() else 0.0
+            lexical = sum(w in source.lower() for w in words) / max(1, len(words))
+            s, damp = near.get((query, id_), 0.0), 0.65 if kind == "File" else 1.0
+            raw = (0.5 * s + 0.25 * lexical + exact) * damp if mode == "hybrid" else (0.85 * s + 0.15 * lexical) * damp if s > 0 else 0.0
+            if raw > 0:
+                hits.append((id_, half_up(raw), half_up(s), "symbol" if exact > 0 else "semantic" if s > 0 else "text"))
+        if hits:
+            out[query] = sorted(hits, key=lambda h: (-h[1], h[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("mode", ["semantic", "hybrid"])
+@pytest.mark.parametrize("most", [20_000, 40])
+def test_blocks_of_a_search_give_the_best_of_all_pairs(spark, monkeypatch, mode, most):
+    monkeypatch.setattr(search, "NODES_A_TASK", most)
+    r = random.Random(5)
+    words = ["order", "orders", "pay", "payment", "get_user", "user", "élan", "x9", "find", "File"]
+    nodes = [(f"n{i:03d}", r.choice(["Function", "File", "Class", "Directory"]), r.choice("rs"), r.choice([*words, "get", ""]), r.choice([" ", "_", "\u00e9"]).join(r.choices(words, k=r.randrange(5)))) for i in range(300)]
+    asked = [(f"q{i:02d}", " ".join(r.choices([*words, "where", "is"], k=r.randrange(4))), r.choice(["r", "s", "none", None])) for i in range(40)]
+    near = {(f"q{i:02d}", f"n{j:03d}"): round(r.uniform(-0.2, 1), 4) for i in range(40) for j in r.sample(range(300), 20)}
+    frame = spark.createDataFrame([node(i, t, repository_id=repo, name=name, source=source) for i, t, repo, name, source in nodes], NODES)
+    queries = spark.createDataFrame(asked, "query_id string, query string, repository_id string")
+    found: dict = {}
+    for h in search.search(queries, frame, mode, 7, spark.createDataFrame([(*p, s) for p, s in near.items()], "query_id string, id string, similarity double")).orderBy("query_id", "place").collect():
+        found.setdefault(h.query_id, []).append((h.id, h.score, h.semantic_score, h.mechanism))
+        assert len(found[h.query_id]) == h.place
+    assert found == _brute_search(asked, nodes, near, mode, 7)
+
+
+@pytest.mark.parametrize("mode", ["semantic", "hybrid"])
+def test_no_text_leaves_the_stage_that_scores(spark, mode):
+    """All pairs of queries and nodes, with the nodes' texts, were shuffled for the sake of their similarities."""
+    nodes = spark.createDataFrame([node(f"n{i:03d}", name="order", source="persist order " * 50) for i in range(200)], NODES)
+    asked = spark.createDataFrame([(f"q{i}", "order", "r") for i in range(50)], "query_id string, query string, repository_id string")
+    near = spark.createDataFrame([(f"q{i}", f"n{i:03d}", 0.5) for i in range(50)], "query_id string, id string, similarity double")
+    tracked = search.search(asked, nodes, mode, 3, near)
+    assert tracked.count() == (50 if mode == "semantic" else 150)
+    plan = tracked._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join.*query_id", plan)
+
+
 def test_vectors(spark):
     vectors = spark.createDataFrame([("a", "r", [1.0, 0.0]), ("b", "r", [1.0, 1.0]), ("c", "r", [-1.0, 0.0]), ("d", "q", [1.0, 0.0]), ("z", "r", [0.0, 0.0]), ("s", "r", [1.0]), ("n", "r", None)], "id string, repository_id string, embedding array<float>")
     asked = spark.createDataFrame([("q", "r", [2.0, 0.0]), ("bad", "r", [0.0, 0.0])], "query_id string, repository_id string, vector array<float>")
