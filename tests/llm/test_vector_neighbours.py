@@ -132,3 +132,18 @@ def test_exact_mode_is_brute_force(spark):
     assert {tuple(p) for p in neighbour_pairs(vectors, exact=True).collect()} == {tuple(sorted((q, i))) for q, v in truth.items() for i, _ in v}
     wide = collect(neighbours(vectors, margin=2.0, spill=10_000, confidence=5.0))
     assert recall(wide, truth) >= recall(collect(neighbours(vectors)), truth) and recall(wide, truth) > 0.999
+
+
+def test_a_cell_loses_nothing_without_codes(spark):
+    x = clustered(3000, 24, 4)
+    ids = [f"n{i:04d}" for i in range(len(x))]
+    found = collect(neighbours(frame(spark, [(i, v, 1) for i, v in zip(ids, x.tolist())]), dimensions=24, margin=2.0, spill=10_000))
+    assert recall(found, brute(ids, x, 5)) == 1
+
+
+def test_best_of_blocks_are_merged_by_the_engine(spark):
+    near = [("v", ["v"], [("b", 0.5), ("c", 0.5), ("z", -0.25)], True), ("v", ["v"], [("v", 1.0), ("a", 0.5), ("y", 0.0)], True), ("w", ["w", "x"], [("w", 1.0)], True)]
+    found = spark.createDataFrame(near, "vid string, ids array<string>, near array<struct<near: string, sims: double>>, parted boolean")
+    merged = module._merged(found, 4)
+    assert "Python" not in (plan := merged._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan
+    assert {r.vid: (r.ids, [tuple(e) for e in r.near]) for r in merged.collect()} == {"v": (["v"], [("v", 1.0), ("a", 0.5), ("b", 0.5), ("c", 0.5), ("y", 0.0)]), "w": (["w", "x"], [("w", 1.0)])}
