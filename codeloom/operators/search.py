@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, sifted
 
 MOST_RESULTS, LEAST_CANDIDATES = 50, 30
 #: Queries of no repository that are sent to all nodes at once, about.
@@ -59,7 +59,7 @@ def search(queries: DataFrame, nodes: DataFrame, mode: str = "hybrid", k: int =
     ``queries``: query_id, query, repository_id (null: any). ``nodes``: rows of the node table, one for each id. ``similarities``:
     query_id, id, similarity, one row for each pair; without it the semantic mode finds nothing. Scores are rounded to 4; hits score
     above 0; k is kept within 1 and 50. Queries of a repository meet its nodes only. Queries are a stated set: each node's text is
-    shuffled once, large repositories are split into tasks to each of which their queries are sent, and only scores leave that
+    shuffled once (in the semantic mode those of similar nodes only), large repositories are split into tasks to each of which their queries are sent, and only scores leave that
     stage; in the semantic and hybrid modes those of the k best nodes of each query and task, similarities being sent to the task that
     holds their node.
     """
@@ -95,6 +95,8 @@ def _best_of_blocks(asked: DataFrame, found: DataFrame, mode: str, k: int, simil
     if similarities is not None:
         near = similarities.where("query_id is not null and id is not null and similarity <> 0 and not isnan(similarity)").join(asked.select("query_id", "of").distinct(), "query_id")
         near = materialize(near.select(F.col("of").alias("repository_id"), "id", "query_id", F.col("similarity").cast("double").alias("similarity")), "search-similarities")
+        if mode == "semantic":  # no other node scores above 0
+            held = sifted(held, near.select("id"))
 
     def best(mine: DataFrame, nodes: DataFrame, those: Column, key: Column) -> DataFrame:
         if similarities is not None:

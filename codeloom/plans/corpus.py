@@ -18,7 +18,7 @@ from ..operators.snapshot_changes import snapshot_order
 from ..operators.structure import overview
 from ..operators.traverse import impacts
 from ..schema import latest
-from ..session import materialize
+from ..session import materialize, sifted
 from ..sources import trees
 from ..sources.snapshots import active, merged, newest, public_repositories, visible_to
 from ..sources.tables import table
@@ -240,10 +240,10 @@ def flt_07_test_paths(spark: SparkSession, folder: str) -> DataFrame:
 def _questions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The stated queries: names of the nodes one of whose rows has a seq divisible by 100, within their repository; and all nodes."""
     graph = PropertyGraph.read(spark, folder)
-    asked = graph.nodes.where("seq % 100 = 0 and id is not null").select("id").distinct()
+    asked = materialize(starts(graph), "asked-nodes")
     nodes = graph.node_view("id", "type", "repository_id", "name", "qualified_name", "docstring", "source")
     words = F.concat(F.lit("where is "), F.lower(F.regexp_replace("name", "([a-z])([A-Z])", "$1_$2")))
-    return nodes.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "repository_id", F.when(F.col("type") == "File", words).otherwise(F.col("name")).alias("query")), nodes
+    return sifted(nodes, asked).join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "repository_id", F.when(F.col("type") == "File", words).otherwise(F.col("name")).alias("query")), nodes
 
 
 def _search(mode: str):
@@ -260,9 +260,9 @@ def _search(mode: str):
 
 def _similar(spark: SparkSession, folder: str, k: int) -> DataFrame:
     graph = PropertyGraph.read(spark, folder)
-    vectors = materialize(graph.node_view("id", "repository_id", "embedding").where("repository_id is not null"), "node-vectors")
-    asked = graph.nodes.where("seq % 100 = 0 and id is not null").select("id").distinct()
-    queries = vectors.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "repository_id", F.col("embedding").alias("vector"))
+    vectors = graph.node_view("id", "repository_id", "embedding").where("repository_id is not null")
+    asked = materialize(starts(graph), "asked-nodes")
+    queries = sifted(vectors, asked).join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "repository_id", F.col("embedding").alias("vector"))
     return se.vector_search(queries, vectors, k)
 
 

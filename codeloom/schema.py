@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import materialize
+from .session import counted, marked
 
 # fixed values: columns of the two tables
 NODES = T.StructType(
@@ -50,6 +50,9 @@ EDGES = T.StructType(
 #: Columns that are too wide to be shuffled for the sake of a few repeated rows.
 WIDE = ("source", "docstring", "embedding")
 
+#: Repeated keys that are broadcast at most; if there are more, rows that may have one are told by a bit filter.
+BROADCAST_KEYS = 100_000
+
 # fixed values: edge types that are dependencies, and the structural rest
 DEPENDENCIES = ("CALLS", "IMPORTS", "REFERENCES", "EXTENDS", "IMPLEMENTS", "HANDLES", "ROUTES_TO", "DEPENDS_ON", "USES_PACKAGE", "READS_FROM", "WRITES_TO")
 STRUCTURE = ("CONTAINS", "DEFINES", "BELONGS_TO")
@@ -75,8 +78,9 @@ def latest(rows: DataFrame, *columns: str, key: str = "id", wide: bool | None =
     """One row for each ``key``, the one with the highest seq (null lowest), with ``columns`` only; rows with a null key are left out.
 
     Select few columns: they are what is shuffled. Columns of WIDE are not: which delivery of a repeated key holds is found on
-    (key, seq) alone, and the others are taken out of the scan by a join with the repeated keys, a written table whose size
-    Spark checks before it broadcasts it (``wide``: always, or never). Of rows with one key and one seq an arbitrary but whole one is kept.
+    (key, seq) alone, and the others are taken out of the scan by a join with the repeated keys (``wide``: always, or never). At most
+    BROADCAST_KEYS of these are broadcast; if there are more, only rows that a bit filter lets through are shuffled for the join. Of
+    rows with one key and one seq an arbitrary but whole one is kept, of wide rows the one with the greatest values.
     """
     if bool(set(columns) & set(WIDE)) if wide is None else wide:
         return _latest_wide(rows, columns, key)
@@ -96,13 +100,19 @@ def _latest_wide(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataFra
     place = F.coalesce("seq", F.lit(-(2**63)))
     whole = rows.where(F.col(key).isNotNull())
     counts = whole.groupBy(key, place.alias("_seq")).agg(F.count("*").alias("n")).groupBy(key).agg(F.max("_seq").alias("_top"), F.max_by("n", "_seq").alias("_tied"), F.sum("n").alias("n"))
-    repeated = materialize(counts.where("n > 1").select(key, "_top", "_tied"), "repeated-keys")
-    once = whole.select(*dict.fromkeys([key, *columns]), place.alias("_seq")).join(repeated, key, "left").where("_top is null or _seq = _top")
+    repeated, n = counted(counts.where("n > 1").select(key, "_top", "_tied"), "repeated-keys")
+    rows_ = whole.select(*dict.fromkeys([key, *columns]), place.alias("_seq"))
+    if n <= BROADCAST_KEYS:
+        joined = rows_.join(F.broadcast(repeated), key, "left")
+    else:
+        tested = marked(rows_, repeated, key, "_may")
+        joined = tested.where("_may").join(repeated, key, "left").drop("_may").unionByName(tested.where("not _may").drop("_may"), allowMissingColumns=True)
+    once = joined.where("_top is null or _seq = _top")
     kept = once.where("_tied is null or _tied = 1").select(*columns)
     if repeated.where("_tied > 1").isEmpty():
         return kept
     rest = [c for c in columns if c != key]
-    tied = once.where("_tied > 1").groupBy(key).agg(F.any_value(F.struct(*rest)).alias("_"))
+    tied = once.where("_tied > 1").groupBy(key).agg(F.max(F.struct(*rest)).alias("_"))  # the same one whenever the view is read
     return kept.unionByName(tied.select(*[F.col(c) if c == key else F.col(f"_.{c}").alias(c) for c in columns]))
 
 

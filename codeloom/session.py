@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import os
 import re
 import tempfile
@@ -13,6 +14,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys a 64-bit word of a filter is made for, and words at most (64 MB): beyond, more rows pass, and none is lost.
+KEYS_PER_WORD, MOST_WORDS = 5, 1 << 22
+
 
 def build_session(app: str = "codeloom", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings tests and the bench use; on a cluster, use the cluster's own session."""
@@ -86,6 +90,21 @@ def _clean_up(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked(rows: DataFrame, keys: DataFrame, key: str = "id", mark: str = "may_be") -> DataFrame:
+    """``rows`` with a column ``mark``: true where the row's ``key`` is among those of ``keys``, and in about one of a hundred other rows;
+    else false. Nothing of ``rows`` is shuffled: they are tested against a bit filter, which is broadcast. ``keys`` is read twice."""
+    words = min(MOST_WORDS, 1 << max(6, math.ceil(math.log2(keys.count() / KEYS_PER_WORD + 1))))
+    word, bit = F.pmod(F.xxhash64(key), F.lit(words)), lambda shift: f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{key}`, 1), {shift}) & 63 as int))"
+    mask = F.expr(f"{bit(0)} | {bit(6)} | {bit(12)}")
+    bits = keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))  # at most MOST_WORDS rows
+    return rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn(mark, F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_word", "_bits")
+
+
+def sifted(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """The rows that :func:`marked` marks: before a join with few keys, so that the other rows aren't shuffled for it."""
+    return marked(rows, keys, key, "_may_be").where("_may_be").drop("_may_be")
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Repartition a scan that has fewer splits than the session has cores, before CPU-heavy Python work.
 

@@ -10,10 +10,12 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from codeloom import schema
 from codeloom.graph import PropertyGraph
 from codeloom.operators import changes, rules, search, structure, traverse, versions
 from codeloom.operators.resolve import directories, module_candidates, normal_path, resolve_modules
 from codeloom.schema import EDGES, NODES, stable_id, stable_key
+from codeloom.session import marked, sifted
 
 
 def node(i, type_="Function", **kw):
@@ -258,6 +260,64 @@ def test_no_text_leaves_the_stage_that_scores(spark, mode):
     assert not re.search(r"Join.*query_id", plan)
 
 
+def shuffled_bytes(df):
+    """Bytes that the last query of ``df`` shuffles, before compression."""
+    df.collect()
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += plan.metrics().apply("dataSize").value()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+@pytest.fixture
+def no_small_broadcasts(spark):
+    """Spark broadcasts nothing for its size, as with tables that are beyond its threshold."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_texts_are_not_shuffled_for_repeated_keys(spark, monkeypatch, no_small_broadcasts, most):
+    """Beyond Spark's threshold for broadcasts all texts were shuffled to be joined with the repeated keys."""
+    monkeypatch.setattr(schema, "BROADCAST_KEYS", most)
+    rows = [node(f"n{i:04d}", source=f"{i} " * 200, seq=i) for i in range(1000)] + [node(f"n{i:04d}", source="later", seq=i + 2000) for i in range(0, 1000, 100)] + [node("n0001", source="old", seq=None), node(None, source="none", seq=9)]
+    # one row for each id, also of two with one seq, and the same one each time
+    tied = [node("t", source=s, seq=7) for s in ("b", "c", "a")]
+    view = PropertyGraph(spark.createDataFrame(rows, NODES), None).node_view("id", "source")
+    assert {r.id: r.source for r in view.collect()} == {f"n{i:04d}": "later" if i % 100 == 0 else f"{i} " * 200 for i in range(1000)} and view.count() == 1000
+    assert shuffled_bytes(view) < 0.1 * sum(len(r[NODES.fieldNames().index("source")]) for r in rows)
+    both = PropertyGraph(spark.createDataFrame(rows + tied, NODES), None).node_view("id", "source")
+    assert both.count() == 1001 and {r.source for r in both.where("id = 't'").collect()} == {"c"}
+
+
+def test_rows_are_sifted_by_few_keys(spark):
+    rows = spark.range(20_000).selectExpr("cast(id as string) as id").unionByName(spark.createDataFrame([(None,)], "id string"))
+    keys = rows.where("id % 50 = 0")
+    assert keys.join(sifted(rows, keys), "id", "left_anti").isEmpty() and sifted(rows, keys).count() < 400 + 0.03 * 20_000
+    assert marked(rows, keys).count() == 20_001 and marked(rows, keys).columns == ["id", "may_be"] and sifted(rows, keys.limit(0)).isEmpty()
+
+
+def test_semantic_search_shuffles_texts_of_similar_nodes_only(spark, no_small_broadcasts):
+    """The texts of all nodes were sent to the tasks that score."""
+    nodes = spark.createDataFrame([node(f"n{i:03d}", name="order", source=f"persist order {i} " * 100) for i in range(500)], NODES)
+    asked = spark.createDataFrame([("q", "order", "r")], "query_id string, query string, repository_id string")
+    near = spark.createDataFrame([("q", "n007", 0.5), ("q", "n008", -0.5)], "query_id string, id string, similarity double")
+    hits = search.search(asked, nodes, "semantic", 3, near)
+    assert [(h.id, h.place) for h in hits.collect()] == [("n007", 1)]
+    assert shuffled_bytes(hits) < 0.2 * 500 * len("persist order 100 " * 100)
+
+
 def test_vectors(spark):
     vectors = spark.createDataFrame([("a", "r", [1.0, 0.0]), ("b", "r", [1.0, 1.0]), ("c", "r", [-1.0, 0.0]), ("d", "q", [1.0, 0.0]), ("z", "r", [0.0, 0.0]), ("s", "r", [1.0]), ("n", "r", None)], "id string, repository_id string, embedding array<float>")
     asked = spark.createDataFrame([("q", "r", [2.0, 0.0]), ("bad", "r", [0.0, 0.0])], "query_id string, repository_id string, vector array<float>")
